@@ -20,6 +20,14 @@ def fold(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + term(x))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``.
+
+    Without it a total inside a lambda is recomputed for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def mass(d: Column | str) -> Column:
     """Sum of the probabilities of a map."""
     return fold(F.map_values(_c(d)), lambda p: p)
@@ -35,7 +43,7 @@ def normalise(d: Column | str, on_error: str = "raise") -> Column:
     d = _c(d)
     total = mass(d)
     bad = F.exists(F.map_values(d), lambda p: p < 0) | (total <= 0)
-    scaled = F.transform_values(d, lambda k, p: p / total)
+    scaled = let(total, lambda t: F.transform_values(d, lambda k, p: p / t))
     if on_error == "null":
         return F.when(~bad, scaled)
     problem = F.raise_error(F.lit("probabilities must be non-negative and not all zero"))
@@ -131,7 +139,7 @@ def temper(d: Column | str, t: Column | float) -> Column:
     powered = F.transform_values(
         _c(d), lambda k, p: F.pow(F.greatest(p, F.lit(TEMPER_FLOOR)), F.lit(1.0) / t)
     )
-    return F.transform_values(powered, lambda k, p: p / mass(powered))
+    return let(powered, lambda m: let(mass(m), lambda s: F.transform_values(m, lambda k, p: p / s)))
 
 
 def apply_platt(p: Column | str, slope: Column | float, intercept: Column | float) -> Column:
@@ -157,7 +165,8 @@ def odds_reading(fmt: Column, yes: Column, levels: Column, chosen: Column) -> Co
 def renormalised_errors(read: Column, star: Column) -> Column:
     """Struct of errors of a reading against stated odds, raw and renormalised."""
     total = fold(read, lambda x: x)
-    norm = F.transform(read, lambda x: x / F.greatest(total, F.lit(1e-9)))
+    floored = F.greatest(total, F.lit(1e-9))
+    norm = let(floored, lambda t: F.transform(read, lambda x: x / t))
 
     def gap(a, b):
         return fold(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda x: x)
@@ -190,7 +199,7 @@ def valid_spread(d: Column | str, keys: Column | str) -> Column:
     keys = _c(keys)
     part = F.map_filter(_c(d), lambda k, p: F.array_contains(keys, k))
     total = mass(part)
-    inside = F.transform(F.map_values(part), lambda p: p / total)
+    inside = let(total, lambda t: F.transform(F.map_values(part), lambda p: p / t))
     return F.when(total <= 0, 0.0).when(F.size(keys) < 2, 0.0).otherwise(
         entropy_of(inside) / F.ln(F.size(keys))
     )
@@ -241,7 +250,7 @@ def label_distribution(counts: Column | str) -> Column:
     """Annotator counts to probabilities."""
     c = _c(counts)
     total = F.aggregate(F.map_values(c), F.lit(0.0), lambda a, x: a + x)
-    return F.transform_values(c, lambda k, v: v / total)
+    return let(total, lambda t: F.transform_values(c, lambda k, v: v / t))
 
 
 def ideal_distribution(
@@ -249,11 +258,14 @@ def ideal_distribution(
 ) -> Column:
     """Ideal answer: stated option, stated chances, or uniform over what is left."""
     left = F.array_except(options, ruled_out)
-    spread = F.map_from_arrays(
-        options,
-        F.transform(
+    spread = let(
+        left,
+        lambda kept: F.map_from_arrays(
             options,
-            lambda o: F.when(F.array_contains(left, o), F.lit(1.0) / F.size(left)).otherwise(0.0),
+            F.transform(
+                options,
+                lambda o: F.when(F.array_contains(kept, o), F.lit(1.0) / F.size(kept)).otherwise(0.0),
+            ),
         ),
     )
     point = F.map_from_arrays(

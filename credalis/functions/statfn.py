@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.96
 """Normal quantile of the closed-form 95 % intervals (fixed value)."""
@@ -72,13 +73,13 @@ def t_cdf_array(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(t > 0, 1 - tail, tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     """Student t distribution function of result rows."""
     return pd.Series(t_cdf_array(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Normal distribution function of result rows."""
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None)
@@ -103,7 +104,7 @@ def canonical_json(text: str) -> str:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def request_fingerprint(
     model: pd.Series, state: pd.Series, questions: pd.Series, replicate: pd.Series
 ) -> pd.Series:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credalis.operators.prefix import attach, hash_rank, key_sizes
 from credalis.functions.seeded import DRAWS_PER_HASH, key_hash, pick, poisson1, uniform
@@ -41,7 +42,7 @@ def item_weights(df: DataFrame, unit: Sequence[str], b: int, seed: str = "boot")
     return drawn.withColumn("w", w.cast("double")).filter(F.col("w") > 0).drop("_c", "_h", "_j")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _poisson_counts(n: pd.Series, h: pd.Series) -> pd.Series:
     """Poisson(n) draw keyed by a hash, so independent of partitioning."""
     out = np.empty(len(n))

@@ -320,7 +320,7 @@ def label_distribution(t: Tables) -> DataFrame:
 
 @query(
     "subset_mass",
-    summary_sql({"valid": "pa + pc", "ruled_out": "pb + pd", "confidence": "greatest(known, 1 - known)", "right": "((known >= 0.5) = (gold IN ('A','B')))::INT"}),
+    summary_sql({"valid": "pa + pc", "ruled_out": "pb + pd", "confidence": "greatest(known, 1 - known)", "is_right": "((known >= 0.5) = (gold IN ('A','B')))::INT"}),
     "answers",
 )
 def subset_mass(t: Tables) -> DataFrame:
@@ -328,7 +328,7 @@ def subset_mass(t: Tables) -> DataFrame:
     return summary(t.answers, {
         "valid": D.subset_mass("dist", F.array(F.lit("A"), F.lit("C"))),
         "ruled_out": D.subset_mass("dist", F.array(F.lit("B"), F.lit("D"))),
-        "confidence": D.verification_confidence("known"), "right": (F.col("known") >= 0.5) == truth,
+        "confidence": D.verification_confidence("known"), "is_right": (F.col("known") >= 0.5) == truth,
     })
 
 

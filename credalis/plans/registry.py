@@ -3,6 +3,8 @@
 from credalis.plans import (  # noqa: F401
     overview,
     q_dist,
+    q_sources,
+    q_text,
 )
 from credalis.plans.catalog import ORACLES, QUERIES
 

@@ -59,7 +59,7 @@ def with_bucket(df: DataFrame, score: str, edges: Sequence[float], out: str = "_
     if not edges:
         return df.withColumn(out, F.lit(0.0))
     splits = [-float("inf"), *edges, float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol=out).transform(df)
+    return Bucketizer(splits=splits, inputCol=score, outputCol=out, handleInvalid="keep").transform(df)
 
 
 def running_sums(

@@ -24,18 +24,16 @@ def levels(
 ) -> DataFrame:
     """Weight of positives and negatives per key and score value.
 
-    ``+ 0.0`` folds negative zero into zero, which group keys would keep apart
-    in other engines.
+    Rows without a score or a label weigh nothing. They are not filtered out: a
+    filter on a derived score would be pushed below its projection and compute
+    the score twice.
     """
     w = F.lit(1.0) if weight is None else _col(weight).cast("double")
     y = _col(positive).cast("boolean")
-    return (
-        df.filter(F.col(score).isNotNull() & y.isNotNull())
-        .groupBy(*keys, (F.col(score).cast("double") + F.lit(0.0)).alias("score"))
-        .agg(
-            F.sum(F.when(y, w).otherwise(0.0)).alias("pos"),
-            F.sum(F.when(y, 0.0).otherwise(w)).alias("neg"),
-        )
+    scored = F.col(score).isNotNull()
+    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        F.sum(F.when(scored & y, w).otherwise(0.0)).alias("pos"),
+        F.sum(F.when(scored & ~y, w).otherwise(0.0)).alias("neg"),
     )
 
 
@@ -84,6 +82,8 @@ def weighted_percentiles(
     The exact ``percentile`` aggregate holds every distinct value of a group in
     one task; this one walks the level table, so a group may be of any size.
     """
+    if edges is None:
+        edges = score_edges(df, value)
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     lv = df.filter(F.col(value).isNotNull())
     lv = lv.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(w.alias("w"))
@@ -106,13 +106,15 @@ def weighted_percentiles(
 
 def fpr_at_tpr(
     df: DataFrame, keys: Sequence[str], score: str, positive: Column | str, tpr: float = 0.95,
-    weight: str | None = None,
+    weight: str | None = None, edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Share of negatives at or above the score that catches ``tpr`` of positives."""
+    if edges is None:
+        edges = score_edges(df, score)
     y = _col(positive)
     base = df.select(*keys, F.col(score).alias("s"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     base = base.groupBy(*keys, "s", "y").agg(F.sum("w").alias("w"))
-    cut = weighted_percentiles(base.filter("y"), keys, "s", "w", [1 - tpr]).withColumnRenamed("q0", "q")
+    cut = weighted_percentiles(base.filter("y"), keys, "s", "w", [1 - tpr], edges).withColumnRenamed("q0", "q")
     neg = base.filter(~F.col("y"))
     j = attach(neg, cut, keys, "left")
     return j.groupBy(*keys).agg(
@@ -123,6 +125,11 @@ def fpr_at_tpr(
     )
 
 
+def falling_edges(df: DataFrame, score: str) -> list[float]:
+    """Bucket edges for descending order, found on the input rather than on its levels."""
+    return score_edges(df.select((-F.col(score).cast("double")).alias("_s")), "_s")
+
+
 def ordered_rows(
     df: DataFrame, keys: Sequence[str], score: str, sums: dict[str, Column], tie: str
 ) -> DataFrame:
@@ -149,7 +156,8 @@ def average_precision(
         ap = F.sum(F.col("_hit") * F.col("cum__hit") / F.col("k")) / hits
         return rows.groupBy(*keys).agg(F.when(hits > 0, ap).alias("average_precision"))
     lv = levels(df, keys, score, positive, weight).withColumn("score", -F.col("score"))
-    cum = running_sums(lv.withColumn("all", F.col("pos") + F.col("neg")), keys, ["score"], ["pos", "all"])
+    lv = lv.withColumn("all", F.col("pos") + F.col("neg"))
+    cum = running_sums(lv, keys, ["score"], ["pos", "all"], falling_edges(df, score))
     tp = F.col("before_pos") + F.col("pos")
     hits = F.sum("pos")
     ap = F.sum(F.col("pos") * tp / (F.col("before_all") + F.col("all"))) / hits
@@ -195,7 +203,7 @@ def risk_coverage(
         return j.groupBy(*keys).agg(*out)
     lv = levels(df, keys, confidence, err.cast("boolean")).withColumn("score", -F.col("score"))
     lv = lv.withColumn("c", F.col("pos") + F.col("neg"))
-    cum = running_sums(lv, keys, ["score"], ["pos", "c"])
+    cum = running_sums(lv, keys, ["score"], ["pos", "c"], falling_edges(df, confidence))
     total = lv.groupBy(*keys).agg(F.sum("c").alias("_n"))
     j = attach(cum, total, keys)
     c, e0, k0, n = F.col("c"), F.col("before_pos"), F.col("before_c"), F.col("_n")
@@ -267,25 +275,32 @@ def weighted_accuracy_at(
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None) -> DataFrame:
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None,
+    edges: Sequence[float] | None = None,
+) -> DataFrame:
     """Average rank of each distinct value (ties share their mean rank)."""
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     lv = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(w.alias("_c"))
     lv = lv.withColumn("_v", F.col(value).cast("double"))
-    cum = running_sums(lv, keys, ["_v"], ["_c"])
+    cum = running_sums(lv, keys, ["_v"], ["_c"], edges)
     return cum.select(*keys, value, (F.col("before__c") + (F.col("_c") + 1) / 2).alias(out))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+def spearman(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None,
+    edges: tuple[Sequence[float], Sequence[float]] | None = None,
+) -> DataFrame:
     """Pearson correlation of average ranks; null when either side is constant.
 
     Rows collapse to (x, y) pairs before ranks are joined.
     """
+    ex, ey = edges if edges is not None else (score_edges(df, x), score_edges(df, y))
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     pairs = both.groupBy(*keys, x, y).agg(w.alias("_w"))
-    rx = average_ranks(pairs, keys, x, "_rx", "_w")
-    ry = average_ranks(pairs, keys, y, "_ry", "_w")
+    rx = average_ranks(pairs, keys, x, "_rx", "_w", ex)
+    ry = average_ranks(pairs, keys, y, "_ry", "_w", ey)
     j = null_safe_join(null_safe_join(pairs, rx, [*keys, x]), ry, [*keys, y])
     n = F.sum("_w")
     mean = (n + 1) / 2

@@ -28,6 +28,8 @@ def with_ctes(names: tuple[str, ...], body: str) -> str:
         return body
     body = body.strip()
     joined = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {joined},\n{body[5:]}"
     return f"WITH {joined}\n{body}"

@@ -3,6 +3,7 @@
 from credalis.plans import (  # noqa: F401
     overview,
     q_dist,
+    q_rank,
     q_sources,
     q_text,
 )

@@ -205,12 +205,18 @@ def valid_spread(d: Column | str, keys: Column | str) -> Column:
     )
 
 
+def _scored(d: Column, option: Column, position: Column) -> Column:
+    return F.named_struct(
+        F.lit("p"), prob(d, option), F.lit("pos"), -position, F.lit("option"), option
+    )
+
+
 def ranked_options(d: Column | str, options: Column | str) -> Column:
     """Options as structs ``(p, pos, option)``, best first, ties by display order."""
     d = _c(d)
     scored = F.transform(
         _c(options),
-        lambda o, i: F.struct(prob(d, o).alias("p"), (-i).alias("pos"), o.alias("option")),
+        lambda o, i: _scored(d, o, i),
     )
     return F.sort_array(scored, asc=False)
 
@@ -218,12 +224,7 @@ def ranked_options(d: Column | str, options: Column | str) -> Column:
 def top_option(d: Column | str, options: Column | str) -> Column:
     """Most likely option, the first listed on ties."""
     d = _c(d)
-    return F.array_max(
-        F.transform(
-            _c(options),
-            lambda o, i: F.struct(prob(d, o).alias("p"), (-i).alias("pos"), o.alias("option")),
-        )
-    )["option"]
+    return F.array_max(F.transform(_c(options), lambda o, i: _scored(d, o, i)))["option"]
 
 
 def runner_up_share(ranked: Column) -> Column:

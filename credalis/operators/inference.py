@@ -100,7 +100,7 @@ def auroc_draws(
     cluster: str | None = None, seed: str = "boot", scheme: str = "item",
 ) -> DataFrame:
     """AUROC per resample of items or whole clusters, from weighted score levels."""
-    edges = score_edges(df, score)
+    edges = score_edges(df, score, keys=keys)
     if cluster is None:
         w = item_draws(df, keys, unit, [score, positive], b, seed, scheme)
         lv = R.levels(w, [*keys, "b"], score, positive, "w")
@@ -139,7 +139,7 @@ def detection_interval(
     seed: str = "boot", scheme: str = "item",
 ) -> DataFrame:
     """AUROC and FPR at 95 % TPR with intervals; one-class resamples are skipped."""
-    edges = score_edges(df, score)
+    edges = score_edges(df, score, keys=keys)
     w = item_draws(df, keys, unit, [score, positive], b, seed, scheme)
     w = w.groupBy(*keys, "b", score, positive).agg(F.sum("w").alias("w"))
     kb = [*keys, "b"]
@@ -165,7 +165,7 @@ def paired_auroc_difference(
     Both scores ride on one set of weights: rows are weighted once, then stacked.
     """
     kb = [*keys, "b", "name"]
-    edges = score_edges(stack_scores(df, [a, c], [positive]), "score")
+    edges = score_edges(stack_scores(df, [a, c], keys), "score", keys=keys)
     if cluster is None:
         w = item_draws(df, keys, unit, [a, c, positive], b, seed, scheme)
         stacked = stack_scores(w, [a, c], [*keys, "b", positive, "w"])
@@ -230,7 +230,7 @@ def spearman_interval(
 ) -> DataFrame:
     """Rank correlation with a bootstrap interval."""
     w = item_draws(df, keys, unit, [x, y], b, seed, scheme)
-    edges = (score_edges(df, x), score_edges(df, y))
+    edges = (score_edges(df, x, keys=keys), score_edges(df, y, keys=keys))
     d = R.spearman(w, [*keys, "b"], x, y, "w", edges)
     iv = d.groupBy(*keys).agg(*B.interval(d, keys, "rho"), tail_share("rho", threshold, "le").alias("tail"))
     return attach(R.spearman(df, keys, x, y, edges=edges), iv, keys)

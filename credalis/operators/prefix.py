@@ -29,13 +29,19 @@ MAX_BUCKETS = 4096
 
 
 def score_edges(
-    df: DataFrame, score: str, rows_per_bucket: int = PLAIN_LEVELS, distinct: bool = True
+    df: DataFrame, score: str, rows_per_bucket: int = PLAIN_LEVELS, distinct: bool = True,
+    keys: Sequence[str] = (),
 ) -> list[float]:
     """Bucket edges of a numeric column; empty when a plain window is enough.
 
-    A value that holds more than one bucket's share of the rows gets a bucket of
-    its own, ``[v, next double)``.
+    A plain window is enough when the largest key holds few rows, or the column
+    few values. A value that holds more than one bucket's share of the rows gets a
+    bucket of its own, ``[v, next double)``.
     """
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= rows_per_bucket:
+            return []
     size = F.approx_count_distinct(score, 0.02) if distinct else F.count(score)
     n = df.agg(size.alias("n")).first()["n"]
     if n <= rows_per_bucket:
@@ -78,7 +84,7 @@ def running_sums(
     keys = list(keys)
     head = order[0]
     if edges is None:
-        edges = score_edges(df, head, distinct=len(order) == 1)
+        edges = score_edges(df, head, distinct=len(order) == 1, keys=keys)
     asc = [F.col(o).asc() for o in order]
     if not edges:
         w = Window.partitionBy(*keys).orderBy(*asc)

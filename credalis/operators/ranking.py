@@ -54,7 +54,7 @@ def auroc(
 ) -> DataFrame:
     """Mann-Whitney AUROC, ties half; null for a single class."""
     if edges is None:
-        edges = score_edges(df, score)
+        edges = score_edges(df, score, keys=keys)
     return auroc_of_levels(levels(df, keys, score, positive, weight), keys, edges)
 
 
@@ -83,7 +83,7 @@ def weighted_percentiles(
     one task; this one walks the level table, so a group may be of any size.
     """
     if edges is None:
-        edges = score_edges(df, value)
+        edges = score_edges(df, value, keys=keys)
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     lv = df.filter(F.col(value).isNotNull())
     lv = lv.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(w.alias("w"))
@@ -110,7 +110,7 @@ def fpr_at_tpr(
 ) -> DataFrame:
     """Share of negatives at or above the score that catches ``tpr`` of positives."""
     if edges is None:
-        edges = score_edges(df, score)
+        edges = score_edges(df, score, keys=keys)
     y = _col(positive)
     base = df.select(*keys, F.col(score).alias("s"), y.alias("y"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     base = base.groupBy(*keys, "s", "y").agg(F.sum("w").alias("w"))
@@ -125,9 +125,9 @@ def fpr_at_tpr(
     )
 
 
-def falling_edges(df: DataFrame, score: str) -> list[float]:
+def falling_edges(df: DataFrame, score: str, keys: Sequence[str]) -> list[float]:
     """Bucket edges for descending order, found on the input rather than on its levels."""
-    return score_edges(df.select((-F.col(score).cast("double")).alias("_s")), "_s")
+    return score_edges(df.select(*keys, (-F.col(score).cast("double")).alias("_s")), "_s", keys=keys)
 
 
 def ordered_rows(
@@ -157,7 +157,7 @@ def average_precision(
         return rows.groupBy(*keys).agg(F.when(hits > 0, ap).alias("average_precision"))
     lv = levels(df, keys, score, positive, weight).withColumn("score", -F.col("score"))
     lv = lv.withColumn("all", F.col("pos") + F.col("neg"))
-    cum = running_sums(lv, keys, ["score"], ["pos", "all"], falling_edges(df, score))
+    cum = running_sums(lv, keys, ["score"], ["pos", "all"], falling_edges(df, score, keys))
     tp = F.col("before_pos") + F.col("pos")
     hits = F.sum("pos")
     ap = F.sum(F.col("pos") * tp / (F.col("before_all") + F.col("all"))) / hits
@@ -203,7 +203,7 @@ def risk_coverage(
         return j.groupBy(*keys).agg(*out)
     lv = levels(df, keys, confidence, err.cast("boolean")).withColumn("score", -F.col("score"))
     lv = lv.withColumn("c", F.col("pos") + F.col("neg"))
-    cum = running_sums(lv, keys, ["score"], ["pos", "c"], falling_edges(df, confidence))
+    cum = running_sums(lv, keys, ["score"], ["pos", "c"], falling_edges(df, confidence, keys))
     total = lv.groupBy(*keys).agg(F.sum("c").alias("_n"))
     j = attach(cum, total, keys)
     c, e0, k0, n = F.col("c"), F.col("before_pos"), F.col("before_c"), F.col("_n")
@@ -295,7 +295,7 @@ def spearman(
 
     Rows collapse to (x, y) pairs before ranks are joined.
     """
-    ex, ey = edges if edges is not None else (score_edges(df, x), score_edges(df, y))
+    ex, ey = edges if edges is not None else (score_edges(df, x, keys=keys), score_edges(df, y, keys=keys))
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
     pairs = both.groupBy(*keys, x, y).agg(w.alias("_w"))

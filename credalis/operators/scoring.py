@@ -169,11 +169,10 @@ def order_invariance(answers: DataFrame, unit: Sequence[str]) -> DataFrame:
     Equal distributions collapse first: only distinct ones are paired, weighted
     by how many order pairs they stand for.
     """
-    k = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("dist"))))
+    k = F.array_sort(F.map_entries("dist"))
     distinct = answers.groupBy(*unit, k.alias("_k")).agg(
-        F.any_value("dist").alias("dist"), F.any_value("options").alias("options"),
-        F.count(F.lit(1)).cast("double").alias("c"),
-    )
+        F.any_value("options").alias("options"), F.count(F.lit(1)).cast("double").alias("c"),
+    ).withColumn("dist", F.map_from_entries("_k"))
     a = distinct.select(*unit, F.col("_k").alias("_ka"), F.col("dist").alias("_da"), F.col("c").alias("_ca"))
     b = distinct.select(*unit, F.col("_k").alias("_kb"), F.col("dist").alias("_db"), F.col("c").alias("_cb"))
     pairs = a.join(b, list(unit)).filter("_ka < _kb")

@@ -297,17 +297,17 @@ def reliability_bins(t: Tables) -> DataFrame:
     f"""WITH RECURSIVE {BINS_SQL},
        walk AS (SELECT set_name, bin, 0 AS island, confidence, accuracy, n::DOUBLE AS n FROM g WHERE bin = 0
          UNION ALL SELECT g.set_name, g.bin,
-           CASE WHEN round_even(w.confidence, 2) = round_even(g.confidence, 2) THEN w.island ELSE w.island + 1 END,
-           CASE WHEN round_even(w.confidence, 2) = round_even(g.confidence, 2) THEN (w.confidence * w.n + g.confidence * g.n) / (w.n + g.n) ELSE g.confidence END,
-           CASE WHEN round_even(w.confidence, 2) = round_even(g.confidence, 2) THEN (w.accuracy * w.n + g.accuracy * g.n) / (w.n + g.n) ELSE g.accuracy END,
-           CASE WHEN round_even(w.confidence, 2) = round_even(g.confidence, 2) THEN w.n + g.n ELSE g.n END
+           CASE WHEN round_even(w.confidence, 1) = round_even(g.confidence, 1) THEN w.island ELSE w.island + 1 END,
+           CASE WHEN round_even(w.confidence, 1) = round_even(g.confidence, 1) THEN (w.confidence * w.n + g.confidence * g.n) / (w.n + g.n) ELSE g.confidence END,
+           CASE WHEN round_even(w.confidence, 1) = round_even(g.confidence, 1) THEN (w.accuracy * w.n + g.accuracy * g.n) / (w.n + g.n) ELSE g.accuracy END,
+           CASE WHEN round_even(w.confidence, 1) = round_even(g.confidence, 1) THEN w.n + g.n ELSE g.n END
          FROM walk w JOIN g ON g.set_name = w.set_name AND g.bin = w.bin + 1)
        SELECT set_name, island AS bin, round(arg_max(confidence, bin), 8) AS confidence, round(arg_max(accuracy, bin), 8) AS accuracy, arg_max(n, bin)::BIGINT AS n FROM walk GROUP BY 1, 2""",
     "rows",
 )
 def merge_tied_bins(t: Tables) -> DataFrame:
     bins = C.reliability_bins(R.with_tie(t.rows, "unit"), ["set_name"], "p_max", "correct", 10, "tie")
-    return rnd(C.merge_tied_bins(bins, ["set_name"], 2))
+    return rnd(C.merge_tied_bins(bins, ["set_name"], 1))
 
 
 @query(

@@ -4,6 +4,7 @@ from credalis.plans import (  # noqa: F401
     overview,
     q_dist,
     q_rank,
+    q_score,
     q_sources,
     q_text,
 )

@@ -28,6 +28,12 @@ MAX_BUCKETS = 4096
 """Largest number of value buckets (and of literals sent to the tasks)."""
 
 
+def small_groups(df: DataFrame, keys: Sequence[str], limit: int = PLAIN_LEVELS) -> bool:
+    """Whether no key holds more than ``limit`` rows (reads the key columns only)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= limit
+
+
 def score_edges(
     df: DataFrame, score: str, rows_per_bucket: int = PLAIN_LEVELS, distinct: bool = True,
     keys: Sequence[str] = (),
@@ -38,10 +44,8 @@ def score_edges(
     few values. A value that holds more than one bucket's share of the rows gets a
     bucket of its own, ``[v, next double)``.
     """
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        if (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= rows_per_bucket:
-            return []
+    if keys and small_groups(df, keys, rows_per_bucket):
+        return []
     size = F.approx_count_distinct(score, 0.02) if distinct else F.count(score)
     n = df.agg(size.alias("n")).first()["n"]
     if n <= rows_per_bucket:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credalis.functions import dist as D
-from credalis.operators.prefix import attach, running_sums
+from credalis.operators.prefix import attach, running_sums, small_groups
 
 CONFIDENT = 0.5
 """Top probability from which a wrong answer counts as confident (fixed value)."""
@@ -57,7 +57,8 @@ def replicate_spread(answers: DataFrame, unit: Sequence[str], options: str = "op
         F.count(F.lit(1)).cast("double").alias("c")
     )
     reps = lv.groupBy(*unit, "option").agg(F.sum("c").alias("reps"))
-    cum = attach(running_sums(lv, [*unit, "option"], ["x"], ["c"]), reps, [*unit, "option"])
+    edges = [] if small_groups(answers, unit) else None
+    cum = attach(running_sums(lv, [*unit, "option"], ["x"], ["c"], edges), reps, [*unit, "option"])
     part = F.col("x") * F.col("c") * (2 * F.col("before_c") + F.col("c") - F.col("reps"))
     r = F.max("reps")
     return cum.groupBy(*unit).agg(

@@ -3,7 +3,9 @@
 from credalis.plans import (  # noqa: F401
     overview,
     q_dist,
+    q_join,
     q_rank,
+    q_resample,
     q_score,
     q_sources,
     q_text,

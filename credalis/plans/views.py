@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credalis.functions.dist import fold, let
 from credalis.functions.seeded import key_hash
 
 CUTOFF = "1999-07"
@@ -56,25 +57,26 @@ class Tables:
 
     @cached_property
     def answers(self) -> DataFrame:
-        """Three answers per unit over options A-D, with gold option and a yes/no answer."""
-        base = self.rows.select(
-            "unit", "set_name", "month", "post",
-            F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("replicate"),
+        """Three answers per unit over options A-D, with gold option and a yes/no answer.
+
+        The hash and the distribution are generator outputs: a generator is a
+        barrier, so filters on derived columns above do not copy these expressions.
+        """
+        base = self.rows.select("unit", "set_name", "month", "post", key_hash("gold", "unit").alias("_g"))
+        call = F.transform(
+            F.array(*[F.lit(i) for i in range(3)]),
+            lambda r: F.named_struct(F.lit("replicate"), r, F.lit("h"), key_hash("rep", F.col("unit"), r)),
         )
-        h = key_hash("rep", "unit", "replicate")
-        base = base.withColumn("_h", h).withColumn("_g", key_hash("gold", "unit"))
-        raw = {o: (hex4(F.col("_h"), i) + 1).alias(f"_{o}") for i, o in enumerate(OPTIONS)}
-        base = base.withColumns({f"_{o}": c for o, c in raw.items()})
-        total = sum((F.col(f"_{o}") for o in OPTIONS), F.lit(0.0))
-        dist = F.create_map(*[x for o in OPTIONS for x in (F.lit(o), F.col(f"_{o}") / total)])
+        base = base.select("unit", "set_name", "month", "post", "_g", F.inline(call))
         opts = F.array(*[F.lit(o) for o in OPTIONS])
-        gold = F.element_at(opts, (hex4(F.col("_g"), 0) % 4 + 1).cast("int"))
-        return base.select(
-            "unit", "set_name", "month", "post", "replicate", opts.alias("options"),
-            dist.alias("dist"), gold.alias("gold"),
-            (hex4(F.col("_h"), 4) / 65536).alias("known"), (hex4(F.col("_h"), 5) / 65536 * 9).alias("level"),
-            F.concat(F.lit("m"), (hex4(F.col("_h"), 6) % 2).cast("int").cast("string")).alias("model"),
-        )
+        raw = F.array(*[hex4(F.col("h"), i) + 1 for i in range(len(OPTIONS))])
+        dist = let(raw, lambda w: let(fold(w, lambda x: x), lambda s: F.map_from_arrays(opts, F.transform(w, lambda x: x / s))))
+        answer = F.array(F.named_struct(
+            F.lit("dist"), dist, F.lit("gold"), F.element_at(opts, (hex4(F.col("_g"), 0) % 4 + 1).cast("int")),
+            F.lit("known"), hex4(F.col("h"), 4) / 65536, F.lit("level"), hex4(F.col("h"), 5) / 65536 * 9,
+            F.lit("model"), F.concat(F.lit("m"), (hex4(F.col("h"), 6) % 2).cast("int").cast("string")),
+        ))
+        return base.select("unit", "set_name", "month", "post", "replicate", opts.alias("options"), F.inline(answer))
 
     @cached_property
     def cells(self) -> DataFrame:

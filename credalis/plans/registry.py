@@ -5,6 +5,7 @@ from credalis.plans import (  # noqa: F401
     q_dist,
     q_join,
     q_rank,
+    q_recal,
     q_resample,
     q_score,
     q_sources,

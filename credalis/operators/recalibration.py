@@ -6,9 +6,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,24 +32,58 @@ def split_half(df: DataFrame, key: str, seed: str = "half", by: Sequence[str] =
     return df.join(half, [*by, key])
 
 
-def fit_temperature(df: DataFrame, dist: str = "dist", gold: str = "gold", rounds: int = 5, points: int = 13) -> float:
-    """Temperature minimising the log loss of the gold option, on ``ln t`` in [-3, 3].
+def _stepper(step, x: float):
+    """Bind ``x``; Spark lambdas may not have default arguments."""
+    return lambda acc, l: step(x, acc, l)
+
+
+def fit_temperature(df: DataFrame, dist: str = "dist", gold: str = "gold", steps: int = 12, tol: float = 1e-7) -> float:
+    """Temperature minimising the log loss of the gold option, ``ln t`` in [-3, 3].
 
-    Each round evaluates a grid in one aggregation over the rows and narrows to the
-    neighbours of the best point; only the losses come back.
+    In ``beta = 1 / t`` the loss ``ln sum exp(beta l) - beta l_gold`` is convex, with
+    ``l`` the floored log-probabilities. Bracketed Newton steps on its derivative
+    each need one aggregation that returns two numbers.
     """
-    lo, hi = -3.0, 3.0
-    for _ in range(rounds):
-        grid = np.linspace(lo, hi, points)
-        losses = df.agg(
-            *[
-                F.avg(D.log_score(D.temper(dist, float(np.exp(g))), gold)).alias(f"l{i}")
-                for i, g in enumerate(grid)
-            ]
-        ).first()
-        best = min(range(points), key=lambda i: losses[f"l{i}"])
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
-    return float(np.exp((lo + hi) / 2))
+    logs = F.transform(F.map_values(dist), lambda p: F.ln(F.greatest(p, F.lit(D.TEMPER_FLOOR))))
+    own = F.ln(F.greatest(D.prob(dist, F.col(gold)), F.lit(D.TEMPER_FLOOR)))
+    base = df.select(logs.alias("l"), own.alias("g"))
+    lo, hi = math.exp(-3), math.exp(3)
+    beta = 1.0
+    zero = F.struct(*[F.lit(0.0).alias(f"s{i}") for i in range(3)])
+
+    def step(x: Column, acc: Column, l: Column) -> Column:
+        e = F.exp(F.lit(x) * l)
+        return F.struct((acc["s0"] + e).alias("s0"), (acc["s1"] + e * l).alias("s1"), (acc["s2"] + e * l * l).alias("s2"))
+
+    def slopes(*betas: float):
+        sums = [F.aggregate("l", zero, _stepper(step, v)).alias(f"m{i}") for i, v in enumerate(betas)]
+        out = []
+        for i in range(len(betas)):
+            mean = F.col(f"m{i}.s1") / F.col(f"m{i}.s0")
+            out += [F.avg(mean - F.col("g")).alias(f"d1_{i}"), F.avg(F.col(f"m{i}.s2") / F.col(f"m{i}.s0") - mean * mean).alias(f"d2_{i}")]
+        return base.select("g", *sums).agg(*out).first()
+
+    ends = slopes(lo, beta, hi)
+    if ends["d1_0"] >= 0:
+        return 1.0 / lo
+    if ends["d1_2"] <= 0:
+        return 1.0 / hi
+    d = {"d1": ends["d1_1"], "d2": ends["d2_1"]}
+    for _ in range(steps):
+        if d["d1"] > 0:
+            hi = beta
+        else:
+            lo = beta
+        new = beta - d["d1"] / d["d2"] if d["d2"] > 0 else math.sqrt(lo * hi)
+        if not lo < new < hi:
+            new = math.sqrt(lo * hi)
+        done = abs(math.log(new / beta)) < tol
+        beta = new
+        if done:
+            break
+        got = slopes(beta)
+        d = {"d1": got["d1_0"], "d2": got["d2_0"]}
+    return 1.0 / beta
 
 
 def _features(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

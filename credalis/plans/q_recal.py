@@ -17,6 +17,7 @@ from credalis.plans.catalog import query
 from credalis.plans.q_rank import rnd
 from credalis.plans.q_score import scope
 from credalis.plans.views import CUTOFF, Tables
+from credalis.session import checkpointed
 
 
 @query("fit_temperature")
@@ -56,9 +57,9 @@ def split_half(t: Tables) -> DataFrame:
 def heldout(t: Tables) -> DataFrame:
     """Fit on half of the earlier units, evaluate on the other half and on the later period."""
     s = scope(t).filter("replicate = 0").select("unit", "post", "dist", "gold", "p_max", "correct", "known")
-    h = RC.split_half(s, "unit")
+    h = checkpointed(RC.split_half(s, "unit"))
     fit = h.filter(F.col("fit") & ~F.col("post"))
-    temp, ab = RC.fit_temperature(fit, rounds=4), RC.fit_platt(fit)
+    temp, ab = RC.fit_temperature(fit), RC.fit_platt(fit)
     m = RC.logistic_map(fit, ["p_max", "known"], "correct")
     known = RC.apply_logistic(m, [F.col("p_max"), F.col("known")])
     test = h.filter(~F.col("fit") | F.col("post"))

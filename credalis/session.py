@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -29,17 +28,17 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only when it is unset."""
-    named = spark.conf.get(CHECKPOINT, None) or os.environ.get("SPARK_CHECKPOINT_DIR")
-    if not named:
-        named = tempfile.mkdtemp(prefix="credalis-checkpoint-")
-        spark.conf.set(CHECKPOINT, named)
-    return named
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder the session names.
 
-
-def checkpointed(df):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    Only where neither the setting nor an earlier call names one, as in tests, a
+    temporary folder is used.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT, None)
+    if named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="credalis-checkpoint-"))
     return df.checkpoint()

@@ -128,7 +128,7 @@ def stratified_oof_scores(t: Tables) -> DataFrame:
 @query("text_oof_scores")
 def text_oof_scores(t: Tables) -> DataFrame:
     """How much of the quality label can be read off the text alone."""
-    df = t.scores_binary.select("doc_id", "text", "positive")
+    df = t.scores_binary.select("doc_id", "text", "positive").repartition("doc_id")
     s = X.text_oof_scores(df, "text", "positive", ["doc_id"], features=1 << 16)
     return rnd(R.auroc(s, [], "oof", "positive"), digits=4)
 

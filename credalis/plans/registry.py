@@ -7,6 +7,7 @@ from credalis.plans import (  # noqa: F401
     q_rank,
     q_recal,
     q_resample,
+    q_sample,
     q_score,
     q_sources,
     q_text,

@@ -10,7 +10,9 @@ from credalis.plans import (  # noqa: F401
     q_sample,
     q_score,
     q_sources,
+    q_stream,
     q_text,
+    studies,
 )
 from credalis.plans.catalog import ORACLES, QUERIES
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder, or a temporary one in tests."""
+    named = spark.conf.get(CHECKPOINT, None)
+    if named:
+        return f"{named.rstrip('/')}/credalis-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="credalis-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder the session names.
 

@@ -21,8 +21,9 @@ def key_hash(seed: str | int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 
-def hash_uniform(h: Column) -> Column:
+def hash_uniform(h: Column | str) -> Column:
     """First 32 bits of a hex hash as a double in [0, 1)."""
+    h = F.col(h) if isinstance(h, str) else h
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.operators.prefix import attach, hash_rank, key_sizes
-from credalis.functions.seeded import DRAWS_PER_HASH, key_hash, pick, poisson1, uniform
+from credalis.functions.seeded import DRAWS_PER_HASH, hash_uniform, key_hash, pick, poisson1, uniform
 
 
 def resample_index(spark, b: int) -> DataFrame:
@@ -42,20 +42,36 @@ def item_weights(df: DataFrame, unit: Sequence[str], b: int, seed: str = "boot")
     return drawn.withColumn("w", w.cast("double")).filter(F.col("w") > 0).drop("_c", "_h", "_j")
 
 
+SMALL_MEAN = 50.0
+"""Up to this mean a Poisson draw inverts the distribution function for a whole batch."""
+
+
 @F.pandas_udf(T.DoubleType())
-def _poisson_counts(n: pd.Series, h: pd.Series) -> pd.Series:
-    """Poisson(n) draw keyed by a hash, so independent of partitioning."""
-    out = np.empty(len(n))
-    for i, (k, key) in enumerate(zip(n.to_numpy(float), h, strict=True)):
-        out[i] = np.random.Generator(np.random.Philox(key=int(key[:16], 16))).poisson(k)
+def _poisson_counts(n: pd.Series, u: pd.Series, h: pd.Series) -> pd.Series:
+    """Poisson(n) draw keyed by a hash (``u`` is its uniform), so independent of partitioning."""
+    lam, u = n.to_numpy(float), u.to_numpy(float)
+    out = np.zeros(len(lam))
+    small = np.flatnonzero(lam <= SMALL_MEAN)
+    p = np.exp(-lam[small])
+    cdf, k = p.copy(), 0
+    open_ = u[small] > cdf
+    while open_.any() and k < 400:
+        k += 1
+        p = p * lam[small] / k
+        out[small[open_]] += 1
+        cdf += p
+        open_ = u[small] > cdf
+    for i in np.flatnonzero(lam > SMALL_MEAN):
+        out[i] = np.random.Generator(np.random.Philox(key=int(h.iat[i][:16], 16))).poisson(lam[i])
     return pd.Series(out)
 
 
 def level_weights(levels: DataFrame, level: Sequence[str], count: str, b: int, seed: str = "boot") -> DataFrame:
     """Levels times resamples with weight ``w`` ~ Poisson(count)."""
     drawn = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    drawn = drawn.withColumn("w", _poisson_counts(F.col(count), key_hash(seed, *level, "b")))
-    return drawn.filter(F.col("w") > 0)
+    drawn = drawn.withColumn("_h", key_hash(seed, *level, "b"))
+    drawn = drawn.withColumn("w", _poisson_counts(F.col(count), hash_uniform("_h"), F.col("_h")))
+    return drawn.filter(F.col("w") > 0).drop("_h")
 
 
 def dense_index(clusters: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credalis.functions import dist as D
@@ -27,8 +27,9 @@ def replicate_mean(
     per = long.groupBy(*unit, "pos", "option").agg(
         F.avg(D.prob(probabilities, F.col("option"))).alias("p"), F.count(F.lit(1)).alias("n_reps")
     )
-    total = per.groupBy(*unit).agg(F.sum("p").alias("_total"))
-    return attach(per, total, unit).withColumn(
+    # one row per listed option is left, so this window holds one option list
+    total = F.sum("p").over(Window.partitionBy(*unit))
+    return per.withColumn("_total", total).withColumn(
         "p", F.when(F.col("_total") > 0, F.col("p") / F.col("_total")).otherwise(0.0)
     ).drop("_total")
 
@@ -52,13 +53,19 @@ def replicate_spread(answers: DataFrame, unit: Sequence[str], options: str = "op
     values: a level with ``c`` copies of ``x`` after ``k0`` smaller values of
     ``R`` contributes ``x c (2 k0 + c - R)``.
     """
-    long = answers.select(*unit, probabilities, F.explode(options).alias("option"))
+    small = small_groups(answers, unit)
+    # with few replicates per unit, one exchange by unit serves every later step
+    rows = answers.repartition(*unit) if small else answers
+    long = rows.select(*unit, probabilities, F.explode(options).alias("option"))
     lv = long.groupBy(*unit, "option", D.prob(probabilities, F.col("option")).alias("x")).agg(
         F.count(F.lit(1)).cast("double").alias("c")
     )
-    reps = lv.groupBy(*unit, "option").agg(F.sum("c").alias("reps"))
-    edges = [] if small_groups(answers, unit) else None
-    cum = attach(running_sums(lv, [*unit, "option"], ["x"], ["c"], edges), reps, [*unit, "option"])
+    k = [*unit, "option"]
+    cum = running_sums(lv, k, ["x"], ["c"], [] if small else None)
+    if small:
+        cum = cum.withColumn("reps", F.sum("c").over(Window.partitionBy(*k)))
+    else:
+        cum = attach(cum, lv.groupBy(*k).agg(F.sum("c").alias("reps")), k)
     part = F.col("x") * F.col("c") * (2 * F.col("before_c") + F.col("c") - F.col("reps"))
     r = F.max("reps")
     return cum.groupBy(*unit).agg(

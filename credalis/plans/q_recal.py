@@ -16,7 +16,7 @@ from credalis.operators import trend as TR
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import rnd
 from credalis.plans.q_score import scope
-from credalis.plans.views import CUTOFF, Tables
+from credalis.plans.views import CUTOFF, Tables, spread
 from credalis.session import checkpointed
 
 
@@ -128,7 +128,7 @@ def stratified_oof_scores(t: Tables) -> DataFrame:
 @query("text_oof_scores")
 def text_oof_scores(t: Tables) -> DataFrame:
     """How much of the quality label can be read off the text alone."""
-    df = t.scores_binary.select("doc_id", "text", "positive").repartition("doc_id")
+    df = spread(t.scores_binary.select("doc_id", "text", "positive"), "doc_id")
     s = X.text_oof_scores(df, "text", "positive", ["doc_id"], features=1 << 16)
     return rnd(R.auroc(s, [], "oof", "positive"), digits=4)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credalis.functions import statfn, text
 from credalis.functions.seeded import uniform
 from credalis.plans.catalog import query
-from credalis.plans.views import Tables
+from credalis.plans.views import Tables, spread
 
 MONTH_LIST = "[" + ",".join(f"'{m}'" for m in text.MONTHS.split("|")) + "]"
 # The checking engine's regex has no lookaround; the derived questions need none.
@@ -68,7 +68,7 @@ def mask_dates(t: Tables) -> DataFrame:
 def mask_dates_documents(t: Tables) -> DataFrame:
     """Whole document texts; checked against a reference regex engine in the tests."""
     m = text.mask_dates("text")
-    return t.documents.select("doc_id", F.md5(m).alias("h"), (F.length("text") - F.length(m)).alias("removed"))
+    return spread(t.documents, "doc_id").select("doc_id", F.md5(m).alias("h"), (F.length("text") - F.length(m)).alias("removed"))
 
 
 @query(

@@ -235,11 +235,11 @@ def within_item_slope(t: Tables) -> DataFrame:
 @query(
     "complete_dose_slope",
     """WITH c AS (SELECT item FROM cells WHERE dose IN (1, 2, 4) GROUP BY item HAVING count(DISTINCT dose) = 3)
-       SELECT item, round(regr_slope(value, log2(dose)), 11) AS slope FROM cells JOIN c USING (item) WHERE dose IN (1, 2, 4) GROUP BY item""", "cells",
+       SELECT item, round(regr_slope(ln(value), log2(dose)), 8) AS slope FROM cells JOIN c USING (item) WHERE dose IN (1, 2, 4) GROUP BY item""", "cells",
 )
 def complete_dose_slope(t: Tables) -> DataFrame:
     full = DO.complete_items(t.cells, "item", "dose", (1, 2, 4))
-    return rnd(DO.within_item_slope(full, ["item"], F.log2("dose"), F.col("value")), digits=11)
+    return rnd(DO.within_item_slope(full, ["item"], F.log2("dose"), F.ln("value")))
 
 
 @query(

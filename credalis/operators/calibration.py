@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalis.operators.prefix import attach, null_safe_join, running_sums
+from credalis.operators.prefix import attach, attach_rows, null_safe_join, running_sums
 
 LEVEL_DIGITS = 9
 """Score values are grouped after rounding to this many digits (fixed value)."""
@@ -45,7 +45,7 @@ def reliability_bins(
     base = df.withColumns({"_v": F.col(confidence).cast("double"), "_one": F.lit(1.0)})
     ranked = running_sums(base, keys, ["_v", tie], ["_one"])
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = attach(ranked, total, keys)
+    j = attach_rows(ranked, total, keys)
     size, longer = F.floor(F.col("_n") / bins), F.col("_n") % bins
     head = longer * (size + 1)
     pos = F.col("before__one")

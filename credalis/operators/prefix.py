@@ -144,6 +144,22 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     return df.join(F.broadcast(per_key), F.lit(True), "left" if how == "left" else "inner")
 
 
+FEW_KEYS = 10_000
+"""Up to this many distinct keys, one row per key is broadcast to the rows."""
+
+
+def attach_rows(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Like :func:`attach` for row-sized ``df``: the key count is checked first.
+
+    With few keys the per-key rows are broadcast, so a hot key does not draw its
+    rows through one exchange; with many keys the join is left to the optimizer.
+    """
+    if not keys:
+        return attach(df, per_key, keys)
+    few = df.select(*keys).distinct().limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return null_safe_join(df, F.broadcast(per_key) if few else per_key, list(keys))
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], hash_col: str, out: str = "rank", digits: int = 4) -> DataFrame:
     """Exact 1-based rank by a hex hash inside each key, with no group in one task.
 

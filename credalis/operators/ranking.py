@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credalis.functions.seeded import key_hash
-from credalis.operators.prefix import attach, null_safe_join, running_sums, score_edges
+from credalis.operators.prefix import attach, attach_rows, null_safe_join, running_sums, score_edges
 
 
 def _col(c: Column | str) -> Column:
@@ -191,7 +191,7 @@ def risk_coverage(
     if ties == "input_order":
         rows = ordered_rows(df, keys, confidence, {"_err": err}, tie)
         total = rows.groupBy(*keys).agg(F.max("k").alias("_n"))
-        j = attach(rows, total, keys)
+        j = attach_rows(rows, total, keys)
         risk = F.col("cum__err") / F.col("k")
         out = [
             F.avg(risk).alias("aurc"),
@@ -236,7 +236,7 @@ def selective_at(
     base = df.withColumns({"_ok": ok, "_cov": cov})
     rows = ordered_rows(base, keys, score, {"_err": (~ok).cast("double")}, tie)
     total = rows.groupBy(*keys).agg(F.max("k").alias("_n"))
-    j = attach(rows, total, keys)
+    j = attach_rows(rows, total, keys)
     want = F.bround(F.col("_cov") * F.col("_n"), 0)
     taken = F.col("k") <= want
     answered = F.count_if(taken)
@@ -318,7 +318,7 @@ def rank_groups(df: DataFrame, keys: Sequence[str], value: str, groups: int, tie
     base = df.withColumns({"_v": F.col(value).cast("double"), "_one": F.lit(1.0)})
     ranked = running_sums(base, keys, ["_v", tie], ["_one"]).withColumn("_rank", F.col("before__one") + 1)
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    j = attach(ranked, total, keys)
+    j = attach_rows(ranked, total, keys)
     q = F.ceil(F.round((F.col("_rank") - 1) * groups / (F.col("_n") - 1), 9)) - 1
     return j.withColumn(
         "group", F.greatest(F.lit(0), F.least(F.lit(groups - 1), q)).cast("int")
@@ -329,7 +329,7 @@ def value_groups(df: DataFrame, keys: Sequence[str], value: str, groups: int) ->
     """Groups by percentile edges of the value itself: equal values share a group."""
     cuts = [i / groups for i in range(1, groups)]
     names = [f"q{i}" for i in range(groups - 1)]
-    j = attach(df, weighted_percentiles(df, keys, value, None, cuts), keys)
+    j = attach_rows(df, weighted_percentiles(df, keys, value, None, cuts), keys)
     above = sum(((F.col(value) > F.col(n)).cast("int") for n in names), F.lit(0))
     return j.withColumn("group", above).drop(*names)
 
@@ -337,7 +337,7 @@ def value_groups(df: DataFrame, keys: Sequence[str], value: str, groups: int) ->
 def quantile_filter(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """Rows at or below their group's ``q``-quantile."""
     cut = weighted_percentiles(df, keys, value, None, [q])
-    return attach(df, cut, keys).filter(F.col(value) <= F.col("q0")).drop("q0")
+    return attach_rows(df, cut, keys).filter(F.col(value) <= F.col("q0")).drop("q0")
 
 
 def with_tie(df: DataFrame, *unit: str) -> DataFrame:

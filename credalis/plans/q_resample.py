@@ -65,7 +65,9 @@ def bootstrap_mean_levels(t: Tables) -> DataFrame:
 def percentile_ci(t: Tables) -> DataFrame:
     """Linear percentiles; NaN values are ignored."""
     v = F.when(F.col("event_id") % 9 == 0, float("nan")).otherwise(F.col("value"))
-    return rnd(B.percentile_interval(t.events.withColumn("v", v), ["event_type"], "v"))
+    df = t.events.select("event_type", v.alias("v")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    q = R.weighted_percentiles(df, ["event_type"], "v", None, [0.025, 0.975])
+    return rnd(q.select("event_type", F.col("q0").alias("lo"), F.col("q1").alias("hi")))
 
 
 @query(

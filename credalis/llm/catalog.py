@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credalis.llm import naming, secret_scan, sharding, urls
+from credalis.llm import decontaminate, naming, pieces, secret_scan, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,20 @@ best AS (SELECT host, path, (SELECT max({{'n': length(h || p), 'r': h || p, 'v':
 SELECT page_id, host, path, b.r AS rule, coalesce(b.v, 'allow') AS verdict FROM parts JOIN best USING (host, path)"""
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = pieces.piece_trie(*pieces.spaced_vocabulary(VOCABULARY))
+    return pieces.piece_counts(table(spark, sf_dir, "documents"), trie, b" ")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from credalis.llm.frames import arrow_of, batch_of, id_type, stored, text_chunks
 
 BLOCK_BYTES = 1024
-SORT_ROWS = 200_000
+SORT_ROWS = 50_000
 """Rows of one sorted bucket, on average."""
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credalis.llm import decontaminate, naming, pieces, secret_scan, sharding, urls
+from credalis.llm import decontaminate, mixing, naming, pieces, secret_scan, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WINDOW g AS (PARTITION BY t)"""
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
@@ -71,6 +77,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_counts(table(spark, sf_dir, "documents"), trie, b" ")
 
 
+# Wanted shares of tokens by (quality, toxic).
+SHARES = {(0, 0): 0.25, (0, 1): 0.01, (1, 0): 0.72, (1, 1): 0.02}
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixing_rates(docs, mixing.domain_labels(table(spark, sf_dir, "labels"), list(SHARES)), list(SHARES.values()))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

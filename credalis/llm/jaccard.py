@@ -135,7 +135,7 @@ def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pair[:, 0], "entry": pa.array(pair[:, 1], pa.int32()), "more": pa.array(marks, pa.int64())})
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
+def id_filter(ids: DataFrame) -> np.ndarray:
     """Fixed-size filter: a bit for the hash of each id. Only 2**FILTER_BITS bits are ever collected."""
     h = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     words = ids.groupBy(F.shiftright(h, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) % 64 as int))")).alias("bits"))
@@ -254,7 +254,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need = least - F.ceil(least * PERCENT / 100) + 1  # the extension of the smallest set that may be linked
     marked = entries.where("n > 0").join(more, ["chunk", "entry"], "left").where(F.col("marks") + F.coalesce("more", F.lit(0)) >= need)
     marked = stored(marked.select("sig", "n", F.explode("members").alias("i")).withColumn("h", F.xxhash64("i")))
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(marked.select("h")))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(marked.select("h")))
     set_ddl = "sig binary, tokens array<long>"
     chosen = pairs.select(F.xxhash64("i").alias("h"), "t").mapInArrow(_chosen_sets(held, width, arrow_of(set_ddl)), set_ddl)
     chosen = chosen.groupBy("sig").agg(F.first("tokens").alias("tokens"))

@@ -1,5 +1,6 @@
 """Near copies and repeated passages against brute force."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from credalis.llm import components, jaccard
+from credalis.llm import components, jaccard, passages, suffixes
 
 SCHEMA = "doc_id long, text string, n long, component int, sig string, rid int, key int, chunk int, tokens string"
 
@@ -100,3 +101,55 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7), (50, 50)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 105: 100, 103: 100}
+
+
+def passage_brute(rows, span=50):
+    big = 1 << 62
+    low = {}
+    for d, t in rows:
+        t = (t or "").encode()
+        for i in range(len(t) - span + 1):
+            s = t[i : i + span]
+            low[s] = min(low.get(s, big), big if d is None else d)
+    out = []
+    for d, t in rows:
+        t = (t or "").encode()
+        gone = bytearray(len(t))
+        for i in range(len(t) - span + 1):
+            if low[t[i : i + span]] < (big if d is None else d):
+                gone[i : i + span] = b"\1" * span
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages(spark, monkeypatch, seed):
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 3000)
+    rng = random.Random(seed)
+    letters = "abcdefgh é" if seed < 3 else "ab"
+    say = lambda n: "".join(rng.choices(letters, k=n))
+    shared = [say(rng.choice([49, 50, 51, 60, 90, 200])) for _ in range(12)] + ["x" * 130, "ab" * 60]
+    texts = [None, "", "a", "y" * 49, "y" * 50, "y" * 300, "é" * 60, "z" * 5000]
+    for _ in range(120):
+        parts = [say(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            s = rng.choice(shared)
+            cut = rng.randint(0, 20)
+            parts += [s[cut:] if rng.random() < 0.3 else s, say(rng.randint(0, 40))]
+        texts.append("".join(parts))
+    texts += rng.choices(texts, k=40) + [shared[9] + say(5) + shared[9]] * 2
+    rng.shuffle(texts)
+    rows = [(i // 2 if i % 5 == 0 else 3 * i % 211, t) for i, t in enumerate(texts)] + [(None, texts[5]), (None, shared[0] + "tail"), (None, shared[0] + "tail"), (5, texts[9]), (5, texts[9])]
+    got = sorted((tuple(r) for r in passages.repeated_passages(frame(spark, rows, 4)).collect()), key=str)
+    assert got == passage_brute(rows)
+    assert passages.repeated_passages(frame(spark, [])).count() == 0
+    assert passages.repeated_passages(frame(spark, [(1, None), (2, "q" * 80)])).count() == 2
+
+
+def test_suffix_array():
+    rng = random.Random(4)
+    for _ in range(500):
+        s = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 60))] + [0]
+        assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])  # noqa: B023

@@ -144,7 +144,7 @@ def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     window: int = WINDOW, part_bytes: int = PART_BYTES, keep: bool = False,
 ) -> DataFrame:
-    """Per row: id, n_words, runs of hit words (b, e), items (sorted ids as strings). ``keep`` carries the whole row as ``row``."""
+    """Per row: id, n_words, runs of hit words (b, e), items (sorted ids as strings). ``keep`` carries the whole row as ``row`` instead of the id."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     ident = F.struct("*") if keep else F.col(id_col)
@@ -157,7 +157,7 @@ def benchmark_hits(
         rows = rows.select("i", "t", "runs", "items").mapInArrow(_search(search_tables(pairs, window), arrow_of(ddl), part < parts - 1), ddl)
         rows = stored(rows) if part < parts - 1 else rows
     out = rows.select("i", "n_words", "runs", "items")
-    return out.select("i.*", "n_words", "runs", "items") if keep else out.withColumnRenamed("i", id_col)
+    return out.withColumnRenamed("i", "row" if keep else id_col)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credalis.llm.components import components
+from credalis.llm.filters import filtered, key_filter
 from credalis.llm.frames import arrow_of, batch_of, id_type, stored, text_chunks
 from credalis.llm.words import MIX, shingles, words_of
 
@@ -40,7 +40,6 @@ RARE = 64
 """Sets that share a token indexed alone, at most."""
 CLASS_TOKENS = 64
 """Tokens of a set for each hash class."""
-FILTER_BITS = 24
 MANY = np.uint32(0xFFFFFFFF)
 
 
@@ -135,27 +134,13 @@ def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pair[:, 0], "entry": pa.array(pair[:, 1], pa.int32()), "more": pa.array(marks, pa.int64())})
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Fixed-size filter: a bit for the hash of each id. Only 2**FILTER_BITS bits are ever collected."""
-    h = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    words = ids.groupBy(F.shiftright(h, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _chosen_sets(held: Broadcast, width: int, schema: pa.Schema):
-    """Token sets of the rows whose id hash passes the filter."""
+def _sets(width: int, schema: pa.Schema):
+    """Signature and tokens of the distinct sets of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            passed = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
-            for _, _, texts in text_chunks(iter([batch.filter(pa.array(passed))])):
-                sets, place, _ = _entries(texts, width)
-                yield batch_of(schema, list(place), [s.view(np.int64) for s in sets])
+        for _, _, texts in text_chunks(batches):
+            sets, place, _ = _entries(texts, width)
+            yield batch_of(schema, list(place), [s.view(np.int64) for s in sets])
 
     return run
 
@@ -254,9 +239,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need = least - F.ceil(least * PERCENT / 100) + 1  # the extension of the smallest set that may be linked
     marked = entries.where("n > 0").join(more, ["chunk", "entry"], "left").where(F.col("marks") + F.coalesce("more", F.lit(0)) >= need)
     marked = stored(marked.select("sig", "n", F.explode("members").alias("i")).withColumn("h", F.xxhash64("i")))
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(marked.select("h")))
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(marked.select("h")))
     set_ddl = "sig binary, tokens array<long>"
-    chosen = pairs.select(F.xxhash64("i").alias("h"), "t").mapInArrow(_chosen_sets(held, width, arrow_of(set_ddl)), set_ddl)
+    chosen = filtered(pairs.select("t", F.xxhash64("i").alias("h")), held).select("h", "t").mapInArrow(_sets(width, arrow_of(set_ddl)), set_ddl)
     chosen = chosen.groupBy("sig").agg(F.first("tokens").alias("tokens"))
     keys = marked.groupBy("sig").agg(F.max("n").alias("n"))
     sets = stored(chosen.join(keys, "sig").withColumn("rid", F.monotonically_increasing_id()))
@@ -268,3 +253,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = entries.where("n > 0").join(named, "sig").select(F.explode("members").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     empty = entries.where("n = 0").select(F.explode("members").alias(id_col), F.lit(0).cast("long").alias("n_shingles"))
     return full.unionByName(empty.withColumn("component_id", F.col(id_col)))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of linked documents keeps the one with the smallest id.
+
+    Rows alike in id and text are one document. Only rows of groups are shuffled whole.
+    """
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    member = F.struct(F.col("i").isNull().alias("none"), F.col("i").alias("id"), "h")
+    near = stored(near_copies(named.select(member.alias("m"), "t"), "m", "t", width).select("m", F.col("component_id").alias("c")))
+    crowd = near.groupBy("c").agg(F.count("*").alias("size")).where("size > 1").select("c")
+    grouped = stored(near.join(crowd, "c").select(F.col("m.h").alias("h"), (F.col("m") == F.col("c")).alias("stays")))
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(grouped.select("h")))
+    rows = named.select("row", "h")
+    maybe = filtered(rows, held).join(grouped.groupBy("h").agg(F.max("stays").alias("stays")), "h", "left")
+    alone = maybe.where("stays is null").select("row")
+    kept = maybe.where("stays").dropDuplicates(["h"]).select("row")
+    return filtered(rows, held, False).select("row").unionByName(alone).unionByName(kept).select("row.*")

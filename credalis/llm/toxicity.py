@@ -134,12 +134,12 @@ def _score(held: Broadcast, schema: pa.Schema):
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: id, held_out, score, predicted. ``keep`` carries the whole row instead of the id."""
+    """Per row: id, held_out, score, predicted. ``keep`` carries the whole row as ``row`` instead of the id."""
     rows = docs.select((F.struct("*") if keep else F.col(id_col)).alias("i"), F.col(text_col).alias("t"))
     ddl = f"i {rows.schema['i'].dataType.simpleString()}, score double"
     held = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_score(held, arrow_of(ddl)), ddl)
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     if keep:
-        return out.select("i.*", "score", predicted)
+        return out.select(F.col("i").alias("row"), "score", predicted)
     return out.select(F.col("i").alias(id_col), held_out(F.col("i")).alias("held_out"), "score", predicted)

@@ -45,7 +45,7 @@ def test_toxicity(tables):
     assert right > 0.97 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert all(not r.predicted for r in got if r.doc_id in (5000, 5001, 5002))
     kept = toxicity.toxicity(docs, model, keep=True)
-    assert kept.columns == [*docs.columns, "score", "predicted"]
+    assert kept.columns == ["row", "score", "predicted"] and kept.select("row.*").columns == docs.columns
 
 
 def test_toxicity_empty(tables):

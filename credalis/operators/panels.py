@@ -55,31 +55,32 @@ def isotonic_predict(v: np.ndarray, n: np.ndarray, k: np.ndarray, at: np.ndarray
     return np.interp(at, v[has], pool_adjacent(k[has] / n[has], n[has]))
 
 
-def best_interval_partition(counts: np.ndarray) -> tuple[float, np.ndarray]:
-    """Exact contiguous grouping of levels with the least period-conditional error.
+def _period_error(n: np.ndarray) -> np.ndarray:
+    """Error of groups with columns ``n_pre, k_pre, n_post, k_post``: the smaller period's size times the gap of the accuracies."""
+    small = np.minimum(n[:, 0], n[:, 2])
+    both = small > 0
+    out = np.zeros(len(n))
+    out[both] = small[both] * np.abs(n[both, 1] / n[both, 0] - n[both, 3] / n[both, 2])
+    return out
 
-    ``counts`` has columns ``n_pre, k_pre, n_post, k_post`` in score order. Returns
-    the cost and the group of each level.
+
+def cheapest_grouping(counts: np.ndarray) -> tuple[float, np.ndarray]:
+    """Least total error over all contiguous groupings of the levels, and the group of each level.
+
+    Solved from the last level backwards: what the levels from ``i`` on cost at least, and
+    where the group that begins at ``i`` ends.
     """
-    m = len(counts)
-    cum = np.vstack([np.zeros(4), np.cumsum(counts, axis=0)])
-    best, back = np.zeros(m + 1), np.zeros(m + 1, int)
-    for j in range(1, m + 1):
-        s = cum[j] - cum[:j]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            gap = np.abs(s[:, 1] / s[:, 0] - s[:, 3] / s[:, 2])
-        cost = np.where((s[:, 0] > 0) & (s[:, 2] > 0), np.minimum(s[:, 0], s[:, 2]) * gap, 0.0)
-        total = best[:j] + cost
-        back[j] = int(np.argmin(total))
-        best[j] = total[back[j]]
-    group = np.zeros(m, int)
-    j, cuts = m, []
-    while j > 0:
-        cuts.append((back[j], j))
-        j = back[j]
-    for g, (a, b) in enumerate(reversed(cuts)):
-        group[a:b] = g
-    return float(best[m]), group
+    totals = np.concatenate([np.zeros((1, 4)), counts.cumsum(axis=0)])
+    rest = np.zeros(len(counts) + 1)
+    follow = np.zeros(len(counts), int)
+    for i in reversed(range(len(counts))):
+        choices = _period_error(totals[i + 1 :] - totals[i]) + rest[i + 1 :]
+        follow[i] = i + 1 + choices.argmin()
+        rest[i] = choices.min()
+    heads = [0]
+    while follow[heads[-1]] < len(counts):
+        heads.append(int(follow[heads[-1]]))
+    return float(rest[0]), np.searchsorted(heads, np.arange(len(counts)), side="right") - 1
 
 
 def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:
@@ -94,7 +95,7 @@ def interval_partition(levels: DataFrame, keys: Sequence[str], prefix: str = "")
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _bounded(pdf)
         counts = pdf[names].to_numpy(float)
-        cost, group = best_interval_partition(counts)
+        cost, group = cheapest_grouping(counts)
         total = counts[:, 0].sum() + counts[:, 2].sum()
         return pdf[[*keys, "v"]].assign(grp=group, bound=cost / total, groups=int(group.max()) + 1)
 

@@ -10,9 +10,10 @@ from credalis.functions.seeded import uniform
 from credalis.plans.catalog import query
 from credalis.plans.views import Tables, spread
 
-MONTH_LIST = "[" + ",".join(f"'{m}'" for m in text.MONTHS.split("|")) + "]"
-# The checking engine's regex has no lookaround; the derived questions need none.
-DATE_SQL = text.DATE_PHRASE.replace("(?! of Dimes)", "").replace(r"(?<!\w)", r"\b")
+MONTH_LIST = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+# For the checking SQL: a year with the word before it, anywhere or between word boundaries.
+YEAR = "(?:([A-Za-z]+) (?:[0-9][0-9]?,? )?)?((?:19|20)[0-9][0-9])"
+BOUNDED_YEAR = r"\b(?:([A-Za-z]+) (?:[0-9][0-9]?,? )?)?\b((?:19|20)[0-9][0-9])\b"
 
 
 @query(
@@ -56,8 +57,9 @@ def display_case(t: Tables) -> DataFrame:
 
 @query(
     "mask_dates",
-    rf"""SELECT unit, upper(substr(m, 1, 1)) || substr(m, 2) AS masked FROM (
-         SELECT unit, trim(regexp_replace(regexp_replace(regexp_replace(question, '{DATE_SQL}', '', 'g'), '\s+([?,.])', '\1', 'g'), '\s{{2,}}', ' ', 'g')) AS m FROM questions)""",
+    r"""SELECT unit, trim(regexp_replace(regexp_replace(regexp_replace(
+           replace(question, ' on ' || strftime(okey_date, '%B %-d, %Y'), ''), '\b(19|20)[0-9]{2}\b', '', 'g'), ' +', ' ', 'g'), ' [?]', '?')) AS masked
+         FROM (SELECT q.unit, q.question, o.o_orderdate AS okey_date FROM questions q JOIN orders o ON q.okey = o.o_orderkey)""",
     "questions",
 )
 def mask_dates(t: Tables) -> DataFrame:
@@ -74,10 +76,10 @@ def mask_dates_documents(t: Tables) -> DataFrame:
 @query(
     "latest_date",
     rf"""SELECT unit, round(list_max(list_transform(list_zip(
-           regexp_extract_all(question, '{text.YEAR_MONTH}', 1), regexp_extract_all(question, '{text.YEAR_MONTH}', 2)),
+           regexp_extract_all(question, '{YEAR}', 1), regexp_extract_all(question, '{YEAR}', 2)),
            lambda m: m[2]::DOUBLE + (coalesce(nullif(list_position({MONTH_LIST}, m[1]), 0), 1) - 1) / 12.0::DOUBLE)), 8) AS latest,
          greatest(month, list_max(list_transform(list_zip(
-           regexp_extract_all(question, '{text.MENTION}', 1), regexp_extract_all(question, '{text.MENTION}', 2)),
+           regexp_extract_all(question, '{BOUNDED_YEAR}', 1), regexp_extract_all(question, '{BOUNDED_YEAR}', 2)),
            lambda m: m[2] || '-' || lpad(coalesce(nullif(list_position({MONTH_LIST}, m[1]), 0), 12)::VARCHAR, 2, '0')))) AS settled
          FROM questions""",
     "questions",

@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credalis.llm.frames import arrow_of, batch_of, column_bytes, stored, text_chunks
-from credalis.llm.toxicity import BITS, Model, features, fit_features
-from credalis.llm.words import words_of
+from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, feature_lists, features, fit_lists, used
+from credalis.llm.words import ALPHANUMERIC, words_of
 
 MAX_ROWS = 6_000
 """Labelled rows the classifier is fitted on at most."""
-SHARD_ROWS = 3_000
+SHARD_ROWS = 2_000
 STEPS = 24
 RIDGE = 1e-3
 CLOSE = 1e-3
@@ -48,11 +48,11 @@ def domain_labels(labels: DataFrame, domains: Sequence[tuple[int, int]], id_col:
 def _fit_shard(k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("draw")
-        doc, feature = features(column_bytes(table.column("text").combine_chunks()))
+        lists = feature_lists(column_bytes(table.column("text").combine_chunks()))
         domain = table.column("domain").to_numpy()
         rows: list[tuple[int, int, float]] = []
         for d in range(k):
-            model = fit_features(doc, feature, (domain == d).astype(float))
+            model = fit_lists(lists, (domain == d).astype(float))
             rows += [(d, int(a), float(w)) for a, w in zip([*model.at, 1 << BITS], [*model.weight, model.bias], strict=True)]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("domain", "at", "weight"), zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)})
 
@@ -78,10 +78,12 @@ def domain_models(docs: DataFrame, labels: DataFrame, k: int, id_col: str = "doc
 def _posterior(held: Broadcast, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: list[Model] = held.value
-        for _, ids, texts in text_chunks(batches):
-            found = features(texts)
+        wanted = used(models)
+        for _, ids, texts in text_chunks(batches, SCORE_BYTES):
+            words = words_of(texts, ALPHANUMERIC)
+            found = features(words, wanted)
             score = np.stack([m.scores(*found, len(texts)) for m in models], axis=1) + 1e-9
-            yield batch_of(schema, ids, words_of(texts).counts, (score / score.sum(axis=1, keepdims=True)).tolist())
+            yield batch_of(schema, ids, words.counts, (score / score.sum(axis=1, keepdims=True)).tolist())
 
     return run
 

@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credalis.llm.frames import arrow_of, batch_of, column_bytes, text_chunks
-from credalis.llm.words import ALPHANUMERIC, mixed, words_of
+from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 
 BITS = 22
 MAX_ROWS = 32_000
-SHARD_ROWS = 8_000
+SHARD_ROWS = 4_000
+FIT_BYTES = 1 << 21
+SCORE_BYTES = 1 << 22
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 THRESHOLD = 0.3
@@ -55,34 +57,62 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, coordinate) of the distinct features of each text, sorted."""
-    words = words_of(texts, ALPHANUMERIC)
-    if not len(words.ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def coordinates(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, coordinate) of every feature, kind by kind, repeated as often as it occurs."""
     doc, one = words.doc, words.hashes()[words.ids]
     stem = np.fromiter((xxhash.xxh64_intdigest(w[:STEM], 1) for w in words.known), np.uint64, len(words.known))[words.ids]
     near, far = doc[:-1] == doc[1:], doc[:-2] == doc[2:]
-    parts = [(doc, one), (doc, stem), (doc[:-1][near], mixed(one[:-1], one[1:])[near]), (doc[:-2][far], mixed(~one[:-2], one[2:])[far])]
-    key = np.concatenate([(d.astype(np.uint64) << np.uint64(BITS)) | (mixed(h, h) >> np.uint64(64 - BITS)) for d, h in parts])
-    key = np.unique(key)
-    return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    for d, h in ((doc, one), (doc, stem), (doc[:-1][near], mixed(one[:-1], one[1:])[near]), (doc[:-2][far], mixed(~one[:-2], one[2:])[far])):
+        yield d, (mixed(h, h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(words: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, coordinate) of the distinct features of each text, sorted; ``wanted`` marks coordinates to keep."""
+    keys = [np.zeros(0, np.int64)]
+    for doc, at in coordinates(words):
+        if wanted is not None:
+            kept = np.flatnonzero(wanted[at])
+            doc, at = doc[kept], at[kept]
+        keys.append((doc << BITS) | at)
+    key = np.unique(np.concatenate(keys))
+    return key >> BITS, key & ((1 << BITS) - 1)
+
+
+def used(models: list[Model]) -> np.ndarray:
+    """Marks of the coordinates that some model weighs."""
+    out = np.zeros(1 << BITS, bool)
+    for m in models:
+        out[m.at] = True
+    return out
+
+
+def feature_lists(texts: list[bytes], limit: int = FIT_BYTES) -> list[np.ndarray]:
+    """Coordinates of each text, worked out over a bounded amount of text at a time."""
+    out: list[np.ndarray] = []
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= limit or i == len(texts) - 1:
+            doc, feature = features(words_of(texts[start : i + 1], ALPHANUMERIC))
+            cut = np.searchsorted(doc, np.arange(i + 2 - start))
+            out += [feature[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            start, held = i + 1, 0
+    return out
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal over the examples in the given order."""
-    return fit_features(*features(texts), labels, epochs)
+    return fit_lists(feature_lists(texts), labels, epochs)
 
 
-def fit_features(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """The same from the sorted features; a coordinate for the bias stands last and is not shrunk."""
-    cut = np.searchsorted(doc, np.arange(len(labels) + 1))
-    seen, place = np.unique(feature, return_inverse=True)
+def fit_lists(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """The same from the coordinates of each text; one more for the bias stands last and is not shrunk."""
+    seen = np.unique(np.concatenate([*lists, np.zeros(0, np.int32)]))
     bias = len(seen)
+    own = [np.append(np.searchsorted(seen, x), bias) for x in lists]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
     shrink = np.full(bias + 1, L1)
     shrink[bias] = 0
-    own = [np.append(place[a:b], bias) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def weight(z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -96,7 +126,7 @@ def fit_features(doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, epoch
             n[at] = ni + g * g
     w = weight(z, n, shrink)
     kept = np.flatnonzero(w[:bias])
-    return Model(seen[kept], w[kept], float(w[bias]))
+    return Model(seen[kept].astype(np.int64), w[kept], float(w[bias]))
 
 
 def held_out(id_column: Column) -> Column:
@@ -127,8 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(held: Broadcast, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
-        for _, ids, texts in text_chunks(batches):
-            yield batch_of(schema, ids, model.scores(*features(texts), len(texts)))
+        wanted = used([model])
+        for _, ids, texts in text_chunks(batches, SCORE_BYTES):
+            yield batch_of(schema, ids, model.scores(*features(words_of(texts, ALPHANUMERIC), wanted), len(texts)))
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalis.functions.seeded import key_hash
+from credalis.functions.seeded import key_hash, uniform
 from credalis.functions.statfn import normal_cdf, normal_quantile, t_cdf
 from credalis.operators import calibration as C
 from credalis.operators import ranking as R
@@ -347,27 +347,38 @@ def within_value_permutation(
     return C.every_map_lower_bound(lv, [*keys, "b"])
 
 
+def hypergeometric_inverse(good: int, bad: int, draws: int, u: float) -> int:
+    """Quantile ``u`` of the number of good ones among ``draws`` of ``good + bad``.
+
+    Probabilities come from ratios of neighbours, outward from the mode until they
+    no longer count, so one rule serves every size.
+    """
+    low, high = max(0, draws - bad), min(draws, good)
+    if low == high:
+        return low
+    mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
+    n = good + bad
+    sd = math.sqrt(max(draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1)), 1.0))
+    first, last = max(low, mode - int(12 * sd) - 30), min(high, mode + int(12 * sd) + 30)
+    up = np.arange(mode, last, dtype=float)
+    down = np.arange(mode, first, -1, dtype=float)
+    above = np.cumprod((good - up) / (up + 1) * ((draws - up) / (bad - draws + up + 1)))
+    below = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
+    share = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return first + int(np.searchsorted(share, u * share[-1], side="right").clip(0, last - first))
+
+
 @F.pandas_udf(T.DoubleType())
-def _hypergeometric(good: pd.Series, bad: pd.Series, draws: pd.Series, h: pd.Series) -> pd.Series:
-    out = np.empty(len(good))
-    rows = zip(good.to_numpy(float), bad.to_numpy(float), draws.to_numpy(float), h, strict=True)
-    for i, (g, r, d, key) in enumerate(rows):
-        rng = np.random.Generator(np.random.Philox(key=int(key[:16], 16)))
-        if max(g, r) < 5e8:
-            out[i] = rng.hypergeometric(int(g), int(r), int(d))
-        else:
-            # numpy's sampler stops at 1e9 rows; there the normal limit is exact to a count
-            n = g + r
-            sd = math.sqrt(max(d * g / n * r / n * (n - d) / (n - 1), 0.0))
-            out[i] = min(max(round(d * g / n + sd * rng.standard_normal()), max(0.0, d - r)), min(g, d))
-    return pd.Series(out)
+def _hypergeometric(good: pd.Series, bad: pd.Series, draws: pd.Series, u: pd.Series) -> pd.Series:
+    rows = zip(good.astype("int64"), bad.astype("int64"), draws.astype("int64"), u, strict=True)
+    return pd.Series([float(hypergeometric_inverse(*row)) for row in rows])
 
 
 def within_value_permutation_levels(levels: DataFrame, keys: Sequence[str], perms: int, seed: str = "perm") -> DataFrame:
     """The same null from the level table: correct answers per period are hypergeometric."""
     t = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
     k, n = F.col("k_pre") + F.col("k_post"), F.col("n_pre") + F.col("n_post")
-    t = t.withColumn("_kp", _hypergeometric(k, n - k, F.col("n_post"), key_hash(seed, *keys, "v", "b")))
+    t = t.withColumn("_kp", _hypergeometric(k, n - k, F.col("n_post"), uniform(seed, *keys, "v", "b")))
     t = t.withColumns({"k_pre": k - F.col("_kp"), "k_post": F.col("_kp")}).drop("_kp")
     return C.every_map_lower_bound(t, [*keys, "b"])
 
@@ -419,17 +430,11 @@ def smece_draws(
 
 def smece_interval(
     df: DataFrame, keys: Sequence[str], confidence: str, correct: str, b: int, unit: Sequence[str] = (),
-    threshold: float = 0.05, cap: tuple[int, int] | None = (5000, 200), seed: str = "smece", scheme: str = "level",
+    threshold: float = 0.05, seed: str = "smece", scheme: str = "level",
 ) -> DataFrame:
-    """Smooth ECE with a bias-recentred interval.
-
-    ``cap = (n, b)``: groups above ``n`` items use the first ``b`` resamples, as
-    more add nothing to the percentiles there.
-    """
+    """Smooth ECE with a bias-recentred interval; every group uses all ``b`` resamples."""
     est = C.smece(df, keys, confidence, correct).withColumnRenamed("smece", "est")
     draws = attach(smece_draws(df, keys, confidence, correct, b, unit, False, seed, scheme).drop("n"), est, keys)
-    if cap is not None:
-        draws = draws.filter((F.col("n") <= cap[0]) | (F.col("b") < cap[1]))
     bias = draws.groupBy(*keys).agg((F.avg("smece") - F.first("est")).alias("bias"), F.count(F.lit(1)).alias("resamples"))
     centred = attach(draws, bias, keys).withColumn("stat", F.col("smece") - F.col("bias"))
     iv = centred.groupBy(*keys).agg(

@@ -106,6 +106,8 @@ def nearest_distractors(
     gold or an alias after normalisation, when either contains the other (both
     longer than 3), or when a nearer one normalises to the same text.
 
+    A gold with fewer than ``k`` such answers has null distractors.
+
     The similarity matrix is cut into tiles of bounded size. A tile keeps its best
     ``k`` distinct names per gold; a name in the overall best ``k`` is always in
     its own tile's best ``k``, so merging the winners is exact and no gold-pool
@@ -142,7 +144,8 @@ def nearest_distractors(
     top = top_k(merged, ["id"], [F.col("sim").desc(), F.col("pname")], k)
     item = F.struct((-F.col("sim")).alias("s"), "pname")
     out = top.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    return out.filter(F.size("_p") == k).select("id", F.transform("_p", lambda x: x["pname"]).alias("distractors"))
+    enough = out.filter(F.size("_p") == k).select("id", F.transform("_p", lambda x: x["pname"]).alias("distractors"))
+    return golds.select(F.col("id").cast("string").alias("id")).join(enough, "id", "left")
 
 
 def _pick(row, gid, banned, names, norms, k, max_sim, candidates) -> list[tuple]:

@@ -148,17 +148,31 @@ def first_per_question(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
 
 
-def recombine_names(names: DataFrame, existing: DataFrame, n: int, tries: int = 6, seed: str = "recombine") -> DataFrame:
+def recombine_names(names: DataFrame, existing: DataFrame, n: int, seed: str = "recombine") -> DataFrame:
     """``n`` new names: first word of one person, the rest of another.
 
     ``names`` and ``existing`` have ``name``. Candidates are hashed pairs of donor
     positions; those that exist, repeat, or keep the first name are dropped and the
-    first ``n`` of the rest stay. ``tries`` candidates are drawn per wanted name.
+    first ``n`` of the rest stay. More candidates are drawn until there are ``n``;
+    an error is raised when the donors' pairs are used up.
     """
+    tries = 6 * n
+    while True:
+        made = _recombined(names, existing, tries, seed).orderBy("j").limit(n)
+        if made.count() == n:
+            return made
+        people = names.filter(is_person_name("name")).select("name").distinct().count()
+        if tries > 20 * people * people:
+            raise ValueError(f"{people} donors do not give {n} new names")
+        tries *= 4
+
+
+def _recombined(names: DataFrame, existing: DataFrame, tries: int, seed: str) -> DataFrame:
+    """Fresh names from ``tries`` candidates, each with the number ``j`` of its first one."""
     donors = names.filter(is_person_name("name")).select("name").distinct()
     ranked = hash_rank(donors.withColumn("_key", key_hash(seed, "name")), [], "_key").select("name", (F.col("rank") - 1).alias("pos"))
     size = donors.agg(F.count(F.lit(1)).alias("m"))
-    c = names.sparkSession.range(n * tries).select(F.col("id").alias("j")).join(F.broadcast(size), F.lit(True))
+    c = names.sparkSession.range(tries).select(F.col("id").alias("j")).join(F.broadcast(size), F.lit(True))
     c = c.withColumns({"pa": pick(F.col("m"), seed, F.lit("a"), "j").cast("long"), "pb": pick(F.col("m"), seed, F.lit("b"), "j").cast("long")})
     a = ranked.select(F.col("name").alias("first_of"), F.col("pos").alias("pa"))
     b = ranked.select(F.col("name").alias("last_of"), F.col("pos").alias("pb"))
@@ -167,8 +181,7 @@ def recombine_names(names: DataFrame, existing: DataFrame, n: int, tries: int =
     rest = F.regexp_replace("last_of", r"^\S+\s+", "")
     made = j.filter(first != other).select("j", F.concat_ws(" ", first, rest).alias("name"), "first_of", "last_of")
     fresh = made.join(existing.select("name").distinct(), "name", "left_anti")
-    one = fresh.groupBy("name").agg(F.min(F.struct("j", "first_of", "last_of")).alias("_f")).select("name", "_f.*")
-    return one.orderBy("j").limit(n)
+    return fresh.groupBy("name").agg(F.min(F.struct("j", "first_of", "last_of")).alias("_f")).select("name", "_f.*")
 
 
 def derangement(labels: DataFrame, label: str, seed: str = "derange") -> DataFrame:

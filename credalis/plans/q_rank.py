@@ -374,16 +374,17 @@ def every_map_lower_bound(t: Tables) -> DataFrame:
 
 @query(
     "apply_levels",
-    """WITH l AS (SELECT set_name, floor(p_max * 5) AS g, (count(*) FILTER (NOT post))::DOUBLE AS n0, (count(*) FILTER (NOT post AND correct))::DOUBLE AS k0,
+    """WITH l AS (SELECT set_name = 'A' AS fitted, floor(p_max * 5) AS g, (count(*) FILTER (NOT post))::DOUBLE AS n0, (count(*) FILTER (NOT post AND correct))::DOUBLE AS k0,
           (count(*) FILTER (post))::DOUBLE AS n1, (count(*) FILTER (post AND correct))::DOUBLE AS k1 FROM rows GROUP BY 1, 2),
-       f AS (SELECT g, CASE WHEN n0 >= n1 THEN k0 / n0 ELSE k1 / n1 END AS c FROM l WHERE set_name = 'A')
-       SELECT round(sum(n0 * abs(c - k0 / n0) + n1 * abs(c - k1 / n1)) / sum(n0 + n1), 8) AS held_out_gap FROM l JOIN f USING (g) WHERE set_name = 'R'""",
+       f AS (SELECT g, CASE WHEN n0 >= n1 THEN k0 / n0 ELSE k1 / n1 END AS c FROM l WHERE fitted)
+       SELECT round(sum(n0 * abs(c - k0 / n0) + n1 * abs(c - k1 / n1)) / sum(n0 + n1), 8) AS held_out_gap FROM l JOIN f USING (g) WHERE NOT fitted""",
     "rows",
 )
 def apply_levels(t: Tables) -> DataFrame:
-    """A five-group map fitted on one set and held out on another."""
-    lv = C.level_table(t.rows.withColumn("g", F.floor(F.col("p_max") * 5)), ["set_name", "g"])
-    fit, held = lv.filter("set_name = 'A'"), lv.filter("set_name = 'R'")
+    """A five-group map fitted on one set and held out on the others."""
+    rows = t.rows.withColumns({"g": F.floor(F.col("p_max") * 5), "fitted": F.col("set_name") == "A"})
+    lv = C.level_table(rows, ["fitted", "g"])
+    fit, held = lv.filter("fitted"), lv.filter("NOT fitted")
     return rnd(C.apply_levels(fit, held, [], "g"))
 
 

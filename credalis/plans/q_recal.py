@@ -22,8 +22,8 @@ from credalis.session import checkpointed
 
 @query("fit_temperature")
 def fit_temperature(t: Tables) -> DataFrame:
-    """Temperature of all first answers, and their log loss before and after."""
-    df = t.answers.filter("replicate = 0")
+    """Temperature of all answers, and their log loss before and after."""
+    df = t.answers
     temp = RC.fit_temperature(df)
     return rnd(df.agg(
         F.lit(temp).alias("temperature"), F.avg(D.log_score("dist", "gold")).alias("log_loss"),
@@ -56,7 +56,7 @@ def split_half(t: Tables) -> DataFrame:
 
 def heldout(t: Tables) -> DataFrame:
     """Fit on half of the earlier units, evaluate on the other half and on the later period."""
-    s = scope(t).filter("replicate = 0").select("unit", "post", "dist", "gold", "p_max", "correct", "known")
+    s = scope(t).select("unit", "post", "dist", "gold", "p_max", "correct", "known")
     h = checkpointed(RC.split_half(s, "unit"))
     fit = h.filter(F.col("fit") & ~F.col("post"))
     temp, ab = RC.fit_temperature(fit), RC.fit_platt(fit)
@@ -73,8 +73,8 @@ def heldout_recalibration(t: Tables) -> DataFrame:
 
 @query("recalibration_maps")
 def recalibration_maps(t: Tables) -> DataFrame:
-    """Pooled and period-aware isotonic maps, fitted on one set and applied to all rows."""
-    fit = t.rows.filter("set_name = 'A'")
+    """Pooled and period-aware isotonic maps, fitted on and applied to all rows."""
+    fit = t.rows
     c = RC.common_map(fit, t.rows).select("post", F.lit("common").alias("map"), "recalibrated", "correct")
     p = RC.period_map(fit, t.rows).select("post", F.lit("period").alias("map"), "recalibrated", "correct")
     return rnd(c.unionByName(p).groupBy("map", "post").agg(
@@ -84,7 +84,7 @@ def recalibration_maps(t: Tables) -> DataFrame:
 
 @query("cross_fitted_maps")
 def cross_fitted_maps(t: Tables) -> DataFrame:
-    panels = P.half_month_panels(P.month_level_counts(t.rows), 20)
+    panels = P.half_month_panels(P.month_level_counts(t.rows), 50)
     return rnd(P.gap_summary(P.cross_fitted_maps(panels)), digits=6)
 
 
@@ -101,7 +101,7 @@ def interval_partition(t: Tables) -> DataFrame:
 
 @query("partition_crossfit")
 def partition_crossfit(t: Tables) -> DataFrame:
-    return rnd(P.partition_crossfit(t.rows, 10, 40), digits=6)
+    return rnd(P.partition_crossfit(t.rows, 50, 200), digits=6)
 
 
 def errors(t: Tables) -> DataFrame:
@@ -137,7 +137,7 @@ def text_oof_scores(t: Tables) -> DataFrame:
 def boosted_oof(t: Tables) -> DataFrame:
     """Length features with boosted trees, sources kept whole."""
     df = t.scores_binary.select("doc_id", "source", "positive", "score", F.log1p("score").alias("log_score"), "ratio")
-    s = X.boosted_oof(df, ["score", "log_score", "ratio"], "positive", "source", trees=8)
+    s = X.boosted_oof(df, ["score", "log_score", "ratio"], "positive", "source")
     return rnd(R.auroc(s, [], "oof", "positive"), digits=4)
 
 

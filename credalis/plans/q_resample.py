@@ -86,7 +86,7 @@ def bootstrap_stat(t: Tables) -> DataFrame:
 
 
 CLUSTER_W = """idx AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS idx, count(*) OVER () AS m FROM (SELECT DISTINCT month FROM rows)),
-   dr AS (SELECT b, floor(m * (('0x' || substr(md5('boot|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM idx, (SELECT unnest(range(0, 40)) AS b)),
+   dr AS (SELECT b, floor(m * (('0x' || substr(md5('boot|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM idx, (SELECT unnest(range(0, 2000)) AS b)),
    cw AS (SELECT month, b, count(*)::DOUBLE AS w FROM dr JOIN idx USING (idx) GROUP BY 1, 2)"""
 
 
@@ -97,7 +97,7 @@ CLUSTER_W = """idx AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS i
     "rows",
 )
 def cluster_bootstrap(t: Tables) -> DataFrame:
-    return rnd(I.cluster_bootstrap(t.rows, [], "p_max", "month", 40))
+    return rnd(I.cluster_bootstrap(t.rows, [], "p_max", "month", 2000))
 
 
 @query(
@@ -127,7 +127,7 @@ def separability(t: Tables) -> DataFrame:
     df = t.rows.withColumn("unknown", 1 - F.col("p_known"))
     out = None
     for s in ("p_max", "unknown"):
-        a = I.auroc_interval(df, [], s, "post", 40, cluster="month").select(F.lit(s).alias("name"), "auroc", "lo", "hi")
+        a = I.auroc_interval(df, [], s, "post", 2000, cluster="month").select(F.lit(s).alias("name"), "auroc", "lo", "hi")
         out = a if out is None else out.unionByName(a)
     return rnd(out)
 
@@ -135,10 +135,10 @@ def separability(t: Tables) -> DataFrame:
 @query("detection_interval")
 def detection_interval(t: Tables) -> DataFrame:
     """Out-of-scope detection by low confidence."""
-    df = scope(t).filter("replicate = 0").select(
-        "unit", "set_name", F.round(1 - F.col("p_max"), 3).alias("score"), (F.col("gold") == "D").alias("oos")
+    df = scope(t).select(
+        "unit", "replicate", "set_name", F.round(1 - F.col("p_max"), 3).alias("score"), (F.col("gold") == "D").alias("oos")
     )
-    return rnd(I.detection_interval(df, ["set_name"], "score", "oos", ["unit"], 16))
+    return rnd(I.detection_interval(df, ["set_name"], "score", "oos", ["unit"], 200, scheme="level"))
 
 
 @query(
@@ -171,7 +171,7 @@ def best_score_paired(t: Tables) -> DataFrame:
 
 BLOCK_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER BY month) - 1 AS idx, count(*) OVER (PARTITION BY post) AS m FROM (SELECT DISTINCT post, month FROM rows)),
    sz AS (SELECT DISTINCT post, m, least(6, m) AS len FROM ix),
-   bl AS (SELECT post, m, len, b, unnest(range(0, CAST(ceil(m / len::DOUBLE) AS BIGINT))) AS i FROM sz, (SELECT unnest(range(0, 20)) AS b)),
+   bl AS (SELECT post, m, len, b, unnest(range(0, CAST(ceil(m / len::DOUBLE) AS BIGINT))) AS i FROM sz, (SELECT unnest(range(0, 2000)) AS b)),
    st AS (SELECT *, floor((m - len + 1) * (('0x' || substr(md5('block|' || post || '|' || b || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS start FROM bl),
    dw AS (SELECT post, b, i * len + o AS pos, start + o AS idx, m FROM (SELECT *, unnest(range(0, len)) AS o FROM st) WHERE i * len + o < m),
    bw AS (SELECT ix.post, ix.month, b, count(*)::DOUBLE AS w FROM dw JOIN ix ON ix.post = dw.post AND ix.idx = dw.idx GROUP BY ALL)"""
@@ -184,7 +184,7 @@ BLOCK_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORD
     "rows",
 )
 def month_block_bootstrap(t: Tables) -> DataFrame:
-    drawn = B.block_counts(B.month_block_weights(t.rows, "post", "month", 20, 6), "post", "month")
+    drawn = B.block_counts(B.month_block_weights(t.rows, "post", "month", 2000, 6), "post", "month")
     sums = TS.monthly(t.rows, ["post"])
     d = drawn.join(sums, ["post", "month"]).groupBy("post", "b").agg(
         (F.sum(F.col("w") * F.col("k")) / F.sum(F.col("w") * F.col("n"))).alias("stat")
@@ -278,18 +278,18 @@ def within_value_permutation_levels(t: Tables) -> DataFrame:
 
 @query(
     "random_months_null",
-    """WITH m AS (SELECT month, bool_or(post) AS post FROM rows GROUP BY 1), f AS (SELECT month, b, row_number() OVER (PARTITION BY b ORDER BY md5('months|' || month || '|' || b), month) <= (SELECT count(*) FILTER (post) FROM m) AS fake FROM m, (SELECT unnest(range(0, 20)) AS b)),
+    """WITH m AS (SELECT month, bool_or(post) AS post FROM rows GROUP BY 1), f AS (SELECT month, b, row_number() OVER (PARTITION BY b ORDER BY md5('months|' || month || '|' || b), month) <= (SELECT count(*) FILTER (post) FROM m) AS fake FROM m, (SELECT unnest(range(0, 200)) AS b)),
        l AS (SELECT b, p_max, (count(*) FILTER (NOT fake))::DOUBLE AS n0, (count(*) FILTER (NOT fake AND correct))::DOUBLE AS k0, (count(*) FILTER (fake))::DOUBLE AS n1, (count(*) FILTER (fake AND correct))::DOUBLE AS k1 FROM rows JOIN f USING (month) GROUP BY 1, 2)
        SELECT b, round(sum(least(n0, n1) * abs(k0 / n0 - k1 / n1)) / sum(n0 + n1), 8) AS lower_bound FROM l GROUP BY 1""",
     "rows",
 )
 def random_months_null(t: Tables) -> DataFrame:
-    return rnd(I.random_months_null(t.rows, 20))
+    return rnd(I.random_months_null(t.rows, 200))
 
 
 @query("smece_interval")
 def smece_interval(t: Tables) -> DataFrame:
-    return rnd(I.smece_interval(t.rows, ["set_name"], "p_max", "correct", 60), digits=6)
+    return rnd(I.smece_interval(t.rows, ["set_name"], "p_max", "correct", 200), digits=6)
 
 
 @query("smece_bounds")
@@ -375,7 +375,7 @@ def split_selection(t: Tables) -> DataFrame:
 
 
 EQ_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER BY month) - 1 AS idx, count(*) OVER (PARTITION BY post) AS m FROM (SELECT DISTINCT post, month FROM rows)),
-   dr AS (SELECT post, b, floor(m * (('0x' || substr(md5('eq|' || post || '|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM ix, (SELECT unnest(range(0, 40)) AS b)),
+   dr AS (SELECT post, b, floor(m * (('0x' || substr(md5('eq|' || post || '|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM ix, (SELECT unnest(range(0, 2000)) AS b)),
    ew AS (SELECT ix.post, ix.month, b, count(*)::DOUBLE AS w FROM dr JOIN ix ON ix.post = dr.post AND ix.idx = dr.idx GROUP BY ALL)"""
 
 

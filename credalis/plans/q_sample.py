@@ -147,7 +147,9 @@ def people(t: Tables) -> DataFrame:
 
 @query("recombine_names")
 def recombine_names(t: Tables) -> DataFrame:
-    return SM.recombine_names(people(t), people(t), 200)
+    """New names that no part of the smallest size has."""
+    taken = t.part.filter("p_size = 1").select(F.initcap(F.concat_ws(" ", "p_name", F.element_at(F.split("p_type", " "), 1))).alias("name"))
+    return SM.recombine_names(people(t), taken, 20)
 
 
 @query(
@@ -205,9 +207,9 @@ def top_k(t: Tables) -> DataFrame:
 
 @query("filler_to_length")
 def filler_to_length(t: Tables) -> DataFrame:
-    """Benchmark texts drawn for every document up to its own length, capped by the pool."""
-    keys = t.documents.select("doc_id", F.least("n_chars", F.lit(2000)).alias("target"))
-    f = SM.filler_to_length(keys, "doc_id", "target", t.benchmark, "text")
+    """Long document texts drawn for every document up to its own length, which the pool reaches as it holds that text."""
+    keys = t.documents.select("doc_id", F.col("n_chars").alias("target"))
+    f = SM.filler_to_length(keys, "doc_id", "target", t.documents.filter(F.length("text") >= 1000), "text")
     return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"), F.max("target").alias("target"))
 
 

@@ -30,7 +30,7 @@ def run(t: Tables, df: DataFrame) -> DataFrame:
 def stream_ingest(t: Tables) -> DataFrame:
     """One row per key leaves the stream."""
     e = event_stream(t).withColumn("key", F.concat_ws("-", F.col("user_id").cast("string"), "event_type"))
-    first = jobs.first_per_key(e.select("key", "ts", "event_id"), "1 hour")
+    first = jobs.first_per_key(e.select("key", "ts", "event_id"))
     return run(t, first).select("key")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,25 +30,28 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    A temporary folder serves only a one-machine session that names none, as in tests.
+    """
+    named = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="credalis-")
+        spark.conf.set(CHECKPOINT, named)
+    return named.rstrip("/")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder, or a temporary one in tests."""
-    named = spark.conf.get(CHECKPOINT, None)
-    if named:
-        return f"{named.rstrip('/')}/credalis-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="credalis-")
+    """A fresh folder under the shared one."""
+    return f"{shared_folder(spark)}/credalis-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the session names.
-
-    Only where neither the setting nor an earlier call names one, as in tests, a
-    temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT, None)
-    if named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="credalis-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

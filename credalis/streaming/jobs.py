@@ -1,7 +1,9 @@
 """Two streams over an append-only log of answers.
 
-State is bounded by the watermark in both: keys are remembered until it passes,
-windows are emitted once and dropped.
+The ingest remembers every key it has written, however late a repeat comes; its state
+holds one entry for each distinct key and belongs into a state store on disk
+(``spark.sql.streaming.stateStore.providerClass``). Windows are emitted once, when the
+watermark has passed, and dropped.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ def answered_calls(lines: DataFrame) -> DataFrame:
     return good.withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
-def first_per_key(calls: DataFrame, delay: str = "1 hour", key: str = "key", time: str = "ts") -> DataFrame:
-    """Drop repeated keys inside the watermark; the first entry wins.
+def first_per_key(calls: DataFrame, key: str = "key") -> DataFrame:
+    """One row per key over all batches and restarts; the first entry wins.
 
     The batch ingest keeps the last entry instead: a stream cannot take back a row
     it has already written.
     """
-    return calls.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return calls.dropDuplicates([key])
 
 
 def window_calibration(

@@ -9,8 +9,11 @@
    and the combination of these two is indexed. g grows with the set, so that combinations
    grow as the set does.
 3. In each bucket of the index, sets are verified against the bucket's first set. Components
-   follow, and then every pair of a bucket that is still in two components is verified, once.
-   So no pairs are formed inside what is already one component, and no link is lost.
+   follow. What a bucket still has in two components is verified pair by pair: pairs of small
+   buckets as rows, large buckets as families of sets that are cut into blocks, where blocks
+   meet in tasks and only links leave them. So no pairs are formed inside what is already one
+   component, and no link is lost. A family of m sets that are similar but not linked costs
+   up to m * m / 2 comparisons, which is inherent; rows grow as m * m / BLOCK_ROWS.
 
 Null or empty text has no shingles and is linked with nothing: its component is its own id.
 Repeated rows and ids are copies of each other. Null ids are skipped when the smallest id is
@@ -40,6 +43,8 @@ RARE = 64
 """Sets that share a token indexed alone, at most."""
 CLASS_TOKENS = 64
 """Tokens of a set for each hash class."""
+BLOCK_ROWS = 256
+"""Sets of a block, on average."""
 MANY = np.uint32(0xFFFFFFFF)
 
 
@@ -120,7 +125,7 @@ def _local(width: int, buckets: int, schema: pa.Schema):
 
 
 def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
-    """Marks of (chunk, entry): its tokens in this bucket that other sets have too."""
+    """For each chunk, packed: entries with tokens of this bucket that other sets have too, and how many."""
     tokens = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
     owner = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("owners").to_pylist()])
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(t) for t in tokens])
@@ -129,9 +134,24 @@ def _count_bucket(key: tuple, table: pa.Table) -> pa.Table:
     token, owner, chunk = token[order], owner[order], chunk[order]
     same = token[1:] == token[:-1]
     found = (np.append(same, False) | np.append(False, same)) & (owner != MANY)
-    pair = np.stack([chunk[found], owner[found].astype(np.int64)], axis=1)
-    pair, marks = np.unique(pair, axis=0, return_counts=True)
-    return pa.table({"chunk": pair[:, 0], "entry": pa.array(pair[:, 1], pa.int32()), "more": pa.array(marks, pa.int64())})
+    owner, chunk = owner[found], chunk[found]
+    rows: list[tuple] = []
+    for c in np.unique(chunk):
+        entry, marks = np.unique(owner[chunk == c], return_counts=True)
+        rows.append((int(c), entry.tobytes(), marks.astype(np.uint32).tobytes()))
+    return pa.Table.from_batches([batch_of(MARKS, *(list(x) for x in zip(*rows, strict=True)))]) if rows else MARKS.empty_table()
+
+
+MARKS = pa.schema([("chunk", pa.int64()), ("entries", pa.binary()), ("marks", pa.binary())])
+
+
+def _sum_marks(key: tuple, table: pa.Table) -> pa.Table:
+    """Marks of each entry of one chunk."""
+    entry = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("entries").to_pylist()])
+    marks = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("marks").to_pylist()])
+    total = np.bincount(entry, marks).astype(np.int64)
+    own = np.flatnonzero(total)
+    return pa.table({"chunk": np.full(len(own), key[0].as_py()), "entry": pa.array(own, pa.int32()), "more": total[own]})
 
 
 def _sets(width: int, schema: pa.Schema):
@@ -213,16 +233,84 @@ def links(sets: DataFrame, rare: int = RARE) -> DataFrame:
     first = stored(first)
     found = stored(_verified(first, small))
     part = components(found.select("a", "b"))
-    # what is still in two components of one bucket
+    # what is still in two components of one bucket: pairs of small buckets, blocks of large ones
     at = index.join(part.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
     per = at.groupBy("key", "c").agg(F.count("*").alias("m"))
-    most = per.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("top"))
-    open_ = stored(at.join(most, "key"))
-    out, every = open_.where("c <> top").alias("x"), open_.alias("y")
-    again = (F.col("y.c") == F.col("y.top")) | (F.col("x.rid") < F.col("y.rid"))
-    pairs = out.join(every, F.col("x.key") == F.col("y.key")).where(again & (F.col("x.c") != F.col("y.c")) & _sizes_fit("x.n", "y.n"))
-    pairs = pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return found.unionByName(stored(_verified(pairs, small)))
+    mixed = per.groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    open_ = stored(at.join(mixed, "key"))
+    few = open_.where(F.col("m") <= rare)
+    fits = (F.col("x.rid") < F.col("y.rid")) & (F.col("x.c") != F.col("y.c")) & _sizes_fit("x.n", "y.n")
+    pairs = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where(fits)
+    pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    many = open_.where(F.col("m") > rare)
+    families = components(many.join(hubs, "key").select("a", F.col("rid").alias("b")))
+    crowd = families.select(F.col("node").alias("rid"), F.col("component").alias("family"))
+    crowd = crowd.join(many.groupBy("rid").agg(F.first("c").alias("c")), "rid").join(small, "rid")
+    return found.unionByName(stored(_verified(pairs, small))).unionByName(stored(_block_links(crowd)))
+
+
+def _block_links(crowd: DataFrame) -> DataFrame:
+    """Links between the sets of a family that are not in one component yet: rid, n, c, tokens, family.
+
+    Families are cut by size and hash into blocks; two blocks meet in one task if their sizes
+    are near enough, and only links leave it.
+    """
+    step = float(np.log(100 / PERCENT))
+    crowd = stored(crowd.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")))
+    parts = crowd.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    own = crowd.join(parts, ["family", "size"]).withColumn("h", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    above = parts.select("family", (F.col("size") - 1).alias("size"), F.col("parts").alias("above"))
+    below = parts.select("family", (F.col("size") + 1).alias("size"), F.col("parts").alias("below"))
+    own = own.join(above, ["family", "size"], "left").join(below, ["family", "size"], "left")
+
+    def meetings(n: str, make) -> Column:
+        return F.transform(F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    def meeting(size: Column, a: Column, b: Column, up: int, right: Column) -> Column:
+        return F.struct(size.alias("low"), F.lit(up).alias("up"), a.alias("p"), b.alias("q"), right.alias("right"))
+
+    h, size = F.col("h"), F.col("size")
+    where = F.concat(
+        meetings("parts", lambda j: meeting(size, F.least(h, j), F.greatest(h, j), 0, h > j)),
+        meetings("above", lambda j: meeting(size, h, j, 1, F.lit(False))),
+        meetings("below", lambda j: meeting(size - 1, j, h, 1, F.lit(True))),
+    )
+    met = own.select("family", "rid", "n", "c", "tokens", F.explode(where).alias("w")).select("family", "w.*", "rid", "n", "c", "tokens")
+    return met.groupBy("family", "low", "up", "p", "q").applyInArrow(_verify_block, "a long, b long")
+
+
+def _verify_block(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the two sides of a meeting (or inside one block), no more than join what is apart."""
+    up, p, q = (k.as_py() for k in key[2:])
+    rid, n, part, right = (table.column(c).to_numpy() for c in ("rid", "n", "c", "right"))
+    lists = table.column("tokens").combine_chunks()
+    sizes = np.array([len(x) for x in lists], np.int64)
+    place = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1].reshape(-1)
+    starts = np.cumsum(sizes) - sizes
+    root: dict[int, int] = {int(c): int(c) for c in part}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    alone = up == 0 and p == q
+    others = np.arange(len(rid)) if alone else np.flatnonzero(right)
+    found = []
+    mark = np.zeros(place.max(initial=0) + 1, np.int64)
+    sums = np.concatenate([starts, [len(place)]])
+    for i in range(len(rid)) if alone else np.flatnonzero(~right):
+        own = place[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        total = np.concatenate([[0], np.cumsum(mark[place])])
+        mark[own] = 0
+        overlap = total[sums[others + 1]] - total[sums[others]]
+        for j in others[100 * overlap >= PERCENT * (n[i] + n[others] - overlap)]:
+            a, b = find(int(part[i])), find(int(part[j]))
+            if a != b:
+                root[a] = b
+                found.append((int(rid[i]), int(rid[j])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, rare: int = RARE) -> DataFrame:
@@ -233,8 +321,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ddl = f"chunk long, entry int, sig binary, n long, marks long, members array<{kind}>, bucket int, tokens binary, owners binary"
     local = stored(pairs.mapInArrow(_local(width, max(1, -(-size // BUCKET_BYTES)), arrow_of(ddl)), ddl))
     entries = local.where("members is not null").select("chunk", "entry", "sig", "n", "marks", "members")
-    more = local.where("bucket is not null").select("chunk", "bucket", "tokens", "owners").groupBy("bucket").applyInArrow(_count_bucket, "chunk long, entry int, more long")
-    more = more.groupBy("chunk", "entry").agg(F.sum("more").alias("more"))
+    more = local.where("bucket is not null").select("chunk", "bucket", "tokens", "owners").groupBy("bucket").applyInArrow(_count_bucket, "chunk long, entries binary, marks binary")
+    more = more.groupBy("chunk").applyInArrow(_sum_marks, "chunk long, entry int, more long")
     least = F.ceil(F.col("n") * PERCENT / 100)
     need = least - F.ceil(least * PERCENT / 100) + 1  # the extension of the smallest set that may be linked
     marked = entries.where("n > 0").join(more, ["chunk", "entry"], "left").where(F.col("marks") + F.coalesce("more", F.lit(0)) >= need)

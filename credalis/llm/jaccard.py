@@ -41,8 +41,8 @@ BUCKET_BYTES = 24 << 20
 """Bytes of text for each counting bucket."""
 RARE = 64
 """Sets that share a token indexed alone, at most."""
-CLASS_TOKENS = 64
-"""Tokens of a set for each hash class."""
+LEVEL = np.log(100 / PERCENT)
+"""Step of the logarithm of a set's size from one size level to the next."""
 BLOCK_ROWS = 256
 """Sets of a block, on average."""
 MANY = np.uint32(0xFFFFFFFF)
@@ -165,39 +165,45 @@ def _sets(width: int, schema: pa.Schema):
     return run
 
 
-def classes_of(n: int) -> int:
-    """g for a set of n tokens: a power of two."""
-    return 1 << max(0, (n // CLASS_TOKENS).bit_length() - 1)
+def classes_at(level: int) -> int:
+    """g for the sets that meet at a size level: about the tokens that linked sets of this size may differ in."""
+    return max(1, round((100 - PERCENT) / 100 * np.exp(level * LEVEL)))
 
 
 def signatures(n: int, freq: np.ndarray, token: np.ndarray, rare: int = RARE) -> list[np.ndarray]:
-    """Index keys of a set of n tokens, given those that other sets share, rarest first."""
-    own = n - len(token)
-    prefix = n - least_overlap(n) + 1 - own  # tokens that no other set has come first
+    """Index keys of a set of n tokens, given those that other sets share, rarest first.
+
+    Sizes of linked sets are at most one level apart, so a set is indexed at its own level
+    and the next; g belongs to the level.
+    """
+    prefix = n - least_overlap(n) + 1 - (n - len(token))  # tokens that no other set has come first
     token = token.view(np.uint64)
-    out = [token[:max(prefix, 0)][freq[: max(prefix, 0)] <= rare]]
-    for g in {classes_of(n), classes_of(least_overlap(n))}:
+    own = int(np.log(n) / LEVEL)
+    out = []
+    for level in (own, own + 1):
+        g = classes_at(level)
+        keys = [token[: max(prefix, 0)][freq[: max(prefix, 0)] <= rare]]
         part = token[: max(prefix + g, 0)][freq[: max(prefix + g, 0)] > rare]
         group = (part * MIX >> np.uint64(20)) % np.uint64(g)
-        for c in np.unique(group):
-            t = np.sort(part[group == c])
-            a, b = np.triu_indices(len(t), 1)
-            out.append(((t[a] * MIX) ^ t[b]) * MIX + np.uint64(g))
+        order = np.argsort(group, kind="stable")
+        part, cut = part[order], np.flatnonzero(np.diff(group[order])) + 1
+        for t in np.split(part, cut):
+            if len(t) > 1:
+                t = np.sort(t)
+                a, b = np.triu_indices(len(t), 1)
+                keys.append(((t[a] * MIX) ^ t[b]) * MIX)
+        out.append(np.unique(np.concatenate(keys)) * MIX + np.uint64(level))
     return out
 
 
 def _index(rare: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.log(100 / PERCENT)
         for batch in batches:
             for rid, n, shared in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), strict=True):
                 values = shared.values
-                freq, token = values.field(0).to_numpy(), values.field(1).to_numpy()
-                keys = np.unique(np.concatenate(signatures(n, freq, token, rare)))
+                keys = np.concatenate(signatures(n, values.field(0).to_numpy(), values.field(1).to_numpy(), rare)).view(np.int64)
                 if len(keys):
-                    size = np.uint64(np.log(n) / step)
-                    both = np.concatenate([keys * MIX + size, keys * MIX + size + np.uint64(1)]).view(np.int64)  # neighbouring sizes meet
-                    yield batch_of(schema, both, np.full(len(both), rid), np.full(len(both), n))
+                    yield batch_of(schema, keys, np.full(len(keys), rid), np.full(len(keys), n))
 
     return run
 
@@ -255,8 +261,7 @@ def _block_links(crowd: DataFrame) -> DataFrame:
     Families are cut by size and hash into blocks; two blocks meet in one task if their sizes
     are near enough, and only links leave it.
     """
-    step = float(np.log(100 / PERCENT))
-    crowd = stored(crowd.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")))
+    crowd = stored(crowd.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(LEVEL)).cast("int")))
     parts = crowd.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     own = crowd.join(parts, ["family", "size"]).withColumn("h", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     above = parts.select("family", (F.col("size") - 1).alias("size"), F.col("parts").alias("above"))

@@ -65,6 +65,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> I
             number += 1
 
 
+def with_text(batches: Iterator[pa.RecordBatch], text: str | None) -> Iterator[pa.RecordBatch]:
+    """Batches of (row, its text field), so that a carried row holds its text once; unchanged without ``text``."""
+    for batch in batches:
+        row = batch.column(0)
+        yield pa.RecordBatch.from_arrays([row, row.field(text)], names=["i", "t"]) if text else batch
+
+
 def id_type(df: DataFrame, column: str) -> str:
     """SQL name of a column's type."""
     return df.schema[column].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, column_bytes, stored, text_chunks
+from credalis.llm.frames import arrow_of, batch_of, column_bytes, stored, text_chunks, with_text
 from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, feature_lists, features, fit_lists, used
 from credalis.llm.words import ALPHANUMERIC, words_of
 
@@ -75,11 +75,11 @@ def domain_models(docs: DataFrame, labels: DataFrame, k: int, id_col: str = "doc
     return out
 
 
-def _posterior(held: Broadcast, schema: pa.Schema):
+def _posterior(held: Broadcast, text: str | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: list[Model] = held.value
         wanted = used(models)
-        for _, ids, texts in text_chunks(batches, SCORE_BYTES):
+        for _, ids, texts in text_chunks(with_text(batches, text), SCORE_BYTES):
             words = words_of(texts, ALPHANUMERIC)
             found = features(words, wanted)
             score = np.stack([m.scores(*found, len(texts)) for m in models], axis=1) + 1e-9
@@ -90,10 +90,10 @@ def _posterior(held: Broadcast, schema: pa.Schema):
 
 def posteriors(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per row: ``i`` (the id, or with ``keep`` the whole row), tokens, posterior."""
-    rows = docs.select((F.struct("*") if keep else F.col(id_col)).alias("i"), F.col(text_col).alias("t"))
+    rows = docs.select(F.struct("*").alias("i")) if keep else docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     ddl = f"i {rows.schema['i'].dataType.simpleString()}, tokens long, posterior array<double>"
     held = docs.sparkSession.sparkContext.broadcast(models)
-    return rows.mapInArrow(_posterior(held, arrow_of(ddl)), ddl)
+    return rows.mapInArrow(_posterior(held, text_col if keep else None, arrow_of(ddl)), ddl)
 
 
 def rate_of(steps: Sequence[Sequence[float]], floor: float) -> Column:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, column_bytes, text_chunks
+from credalis.llm.frames import arrow_of, batch_of, column_bytes, text_chunks, with_text
 from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 
 BITS = 22
@@ -109,10 +109,8 @@ def fit_lists(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
     """The same from the coordinates of each text; one more for the bias stands last and is not shrunk."""
     seen = np.unique(np.concatenate([*lists, np.zeros(0, np.int32)]))
     bias = len(seen)
-    own = [np.append(np.searchsorted(seen, x), bias) for x in lists]
+    own = [np.append(np.searchsorted(seen, x), bias).astype(np.int32) for x in lists]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
-    shrink = np.full(bias + 1, L1)
-    shrink[bias] = 0
 
     def weight(z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -120,13 +118,12 @@ def fit_lists(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
     for _ in range(epochs):
         for at, y in zip(own, labels, strict=True):
             zi, ni = z[at], n[at]
-            w = weight(zi, ni, shrink[at])
+            w = weight(zi, ni, np.append(np.full(len(at) - 1, L1), 0.0))
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[at] = ni + g * g
-    w = weight(z, n, shrink)
-    kept = np.flatnonzero(w[:bias])
-    return Model(seen[kept].astype(np.int64), w[kept], float(w[bias]))
+    kept = np.flatnonzero(np.abs(z[:bias]) > L1)
+    return Model(seen[kept].astype(np.int64), weight(z[kept], n[kept], np.full(len(kept), L1)), float(weight(z[bias:], n[bias:], np.zeros(1))[0]))
 
 
 def held_out(id_column: Column) -> Column:
@@ -154,11 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(at[own], weight[own], float(weight[~own].sum()))
 
 
-def _score(held: Broadcast, schema: pa.Schema):
+def _score(held: Broadcast, text: str | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         wanted = used([model])
-        for _, ids, texts in text_chunks(batches, SCORE_BYTES):
+        for _, ids, texts in text_chunks(with_text(batches, text), SCORE_BYTES):
             yield batch_of(schema, ids, model.scores(*features(words_of(texts, ALPHANUMERIC), wanted), len(texts)))
 
     return run
@@ -166,10 +163,10 @@ def _score(held: Broadcast, schema: pa.Schema):
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Per row: id, held_out, score, predicted. ``keep`` carries the whole row as ``row`` instead of the id."""
-    rows = docs.select((F.struct("*") if keep else F.col(id_col)).alias("i"), F.col(text_col).alias("t"))
+    rows = docs.select(F.struct("*").alias("i")) if keep else docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     ddl = f"i {rows.schema['i'].dataType.simpleString()}, score double"
     held = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_score(held, arrow_of(ddl)), ddl)
+    out = rows.mapInArrow(_score(held, text_col if keep else None, arrow_of(ddl)), ddl)
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     if keep:
         return out.select(F.col("i").alias("row"), "score", predicted)

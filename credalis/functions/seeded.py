@@ -16,8 +16,8 @@ DRAWS_PER_HASH = 8
 
 
 def key_hash(seed: str | int, *keys: Column | str) -> Column:
-    """Hex md5 of ``seed|key|...``; ordering by it is a seeded shuffle."""
-    cols = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    """Hex md5 of ``seed|key|...``; ordering by it is a seeded shuffle. A null key has a mark of its own."""
+    cols = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\0")) for k in keys]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 

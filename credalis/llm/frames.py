@@ -45,10 +45,10 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
-    """(chunk number, ids, texts) of bounded size from batches of (id, text).
+def row_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """(chunk number, rows, their texts) of bounded size from batches of (id, text, any other columns).
 
-    The number is unique over the tasks of a stage: partition and position within it.
+    The number is unique over the tasks of a stage: partition and position within it, over all batches.
     """
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
@@ -58,13 +58,19 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> I
         for i, text in enumerate(texts):
             held += len(text) + 64
             if held >= limit:
-                yield number, batch.column(0).slice(start, i + 1 - start), texts[start : i + 1]
+                yield number, batch.slice(start, i + 1 - start), texts[start : i + 1]
                 number, start, held = number + 1, i + 1, 0
         if start < len(texts):
-            yield number, batch.column(0).slice(start), texts[start:]
+            yield number, batch.slice(start), texts[start:]
             number += 1
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
+    """(chunk number, ids, texts) of ``row_chunks``."""
+    for number, rows, texts in row_chunks(batches, limit):
+        yield number, rows.column(0), texts
+
+
 def with_text(batches: Iterator[pa.RecordBatch], text: str | None) -> Iterator[pa.RecordBatch]:
     """Batches of (row, its text field), so that a carried row holds its text once; unchanged without ``text``."""
     for batch in batches:

@@ -148,6 +148,26 @@ def test_passages(spark, monkeypatch, seed):
     assert passages.repeated_passages(frame(spark, [(1, None), (2, "q" * 80)])).count() == 2
 
 
+def test_passages_over_many_batches(spark, monkeypatch):
+    """Several Arrow batches a partition, and several chunks a batch: each chunk has a number of its own."""
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(passages, "BATCH_BYTES", 1200)
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = [say(rng.choice([50, 60, 90, 200])) for _ in range(8)]
+    texts = [say(rng.randint(0, 60)) + rng.choice(shared) + say(rng.randint(0, 60)) for _ in range(90)]
+    rows = list(enumerate(texts + rng.choices(texts, k=20)))
+    rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = sorted((tuple(r) for r in passages.repeated_passages(frame(spark, rows, 3)).collect()), key=str)
+    finally:
+        spark.conf.set(name, before)
+    assert got == passage_brute(rows)
+
+
 def test_suffix_array():
     rng = random.Random(4)
     for _ in range(500):

@@ -4,11 +4,15 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from credalis.llm import components, jaccard, passages, suffixes
+from credalis.llm.lanes import stream_of
 
 SCHEMA = "doc_id long, text string, n long, component int, sig string, rid int, key int, chunk int, tokens string"
 
@@ -168,6 +172,41 @@ def test_passages_over_many_batches(spark, monkeypatch):
     assert got == passage_brute(rows)
 
 
+def test_runs_of_one_anchor_are_told_apart(spark, monkeypatch):
+    """Runs that share anchor and the middle of the digest, but not the rest, are different runs."""
+    from credalis.llm.frames import arrow_of
+
+    original = passages.runs_of
+
+    def weak(*args):
+        return replace(r := original(*args), digest=r.digest & ~np.uint64(0xFFFFFFFF << 24))
+
+    monkeypatch.setattr(passages, "runs_of", weak)
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    gram = say(24)
+    texts = [say(30) + gram + say(30) for _ in range(40)]
+    schema = arrow_of(passages.PACKED)
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(range(40), pa.int64())], ["id", "t", "key"])
+    sent = pa.Table.from_batches(list(passages._send(1, schema)(iter([batch]))))
+    runs = sent.filter(pc.equal(sent["kind"], "runs"))
+    told = passages._answer((pa.scalar(0, pa.int32()),), runs).to_pylist()
+    strings = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            strings.setdefault(t[i : i + 50], d)
+    assert len(strings) == sum(len(t) - 49 for t in texts)  # no string occurs twice, so no run may be taken
+    for r in told:
+        own, least = passages._unpack(r["a"], "uint32"), passages._unpack(r["b"], "int64")
+        lead = original(*stream_and_hashes(texts))
+        assert (least == lead.doc[own]).all()
+
+
+def stream_and_hashes(texts):
+    stream, starts = stream_of([t.encode() for t in texts])
+    return stream, starts, passages.Hashes.of(stream)
+
+
 def test_suffix_array():
     rng = random.Random(4)
     for _ in range(500):

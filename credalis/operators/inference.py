@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.functions.seeded import key_hash, uniform
-from credalis.functions.statfn import normal_cdf, normal_quantile, t_cdf
+from credalis.functions.statfn import hypergeometric_inverse, normal_cdf, normal_quantile, t_cdf
 from credalis.operators import calibration as C
 from credalis.operators import ranking as R
 from credalis.operators import resample as B
 from credalis.operators.prefix import attach, hash_rank, null_safe_join, score_edges
+from credalis.session import checkpointed
 
 Metric = Callable[..., DataFrame]
 
@@ -265,11 +266,17 @@ def t_tests(df: DataFrame, keys: Sequence[str], value: str, threshold: float, ma
 
 
 def sign_flip_test(
-    df: DataFrame, keys: Sequence[str], diff: str, unit: Sequence[str], b: int, threshold: float = 0.0, seed: str = "flip"
+    df: DataFrame, keys: Sequence[str], diff: str, unit: Sequence[str], b: int, threshold: float = 0.0, seed: str = "flip",
+    scheme: str = "item",
 ) -> DataFrame:
     """Paired sign-flip permutation test that the mean difference is below a threshold."""
     base = df.select(*keys, *unit, (F.col(diff) - threshold).alias("_d"))
-    null = B.signs(base, unit, b, seed).groupBy(*keys, "b").agg(F.avg(F.col("s") * F.col("_d")).alias("_null"))
+    if scheme == "level":
+        lv = base.filter(F.col("_d").isNotNull()).groupBy(*keys, "_d").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        signed = B.level_signs(lv, [*keys, "_d"], "_n", b, seed)
+        null = signed.groupBy(*keys, "b").agg((F.sum(F.col("s") * F.col("_d")) / F.sum("_n")).alias("_null"))
+    else:
+        null = B.signs(base, unit, b, seed).groupBy(*keys, "b").agg(F.avg(F.col("s") * F.col("_d")).alias("_null"))
     obs = base.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_d").alias("_obs"))
     j = attach(null, obs, keys)
     return j.groupBy(*keys).agg(
@@ -347,27 +354,6 @@ def within_value_permutation(
     return C.every_map_lower_bound(lv, [*keys, "b"])
 
 
-def hypergeometric_inverse(good: int, bad: int, draws: int, u: float) -> int:
-    """Quantile ``u`` of the number of good ones among ``draws`` of ``good + bad``.
-
-    Probabilities come from ratios of neighbours, outward from the mode until they
-    no longer count, so one rule serves every size.
-    """
-    low, high = max(0, draws - bad), min(draws, good)
-    if low == high:
-        return low
-    mode = min(max((draws + 1) * (good + 1) // (good + bad + 2), low), high)
-    n = good + bad
-    sd = math.sqrt(max(draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1)), 1.0))
-    first, last = max(low, mode - int(12 * sd) - 30), min(high, mode + int(12 * sd) + 30)
-    up = np.arange(mode, last, dtype=float)
-    down = np.arange(mode, first, -1, dtype=float)
-    above = np.cumprod((good - up) / (up + 1) * ((draws - up) / (bad - draws + up + 1)))
-    below = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
-    share = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
-    return first + int(np.searchsorted(share, u * share[-1], side="right").clip(0, last - first))
-
-
 @F.pandas_udf(T.DoubleType())
 def _hypergeometric(good: pd.Series, bad: pd.Series, draws: pd.Series, u: pd.Series) -> pd.Series:
     rows = zip(good.astype("int64"), bad.astype("int64"), draws.astype("int64"), u, strict=True)
@@ -421,7 +407,10 @@ def smece_draws(
     subsample: bool = False, seed: str = "smece", scheme: str = "level",
 ) -> DataFrame:
     """Smooth ECE per resample; a half-sample draws ``n // 2`` without replacement."""
-    if subsample:
+    if subsample and scheme == "level":
+        lv = df.groupBy(*keys, confidence, correct).agg(F.count(F.lit(1)).alias("_n"))
+        w = B.half_levels(lv, keys, [confidence, correct], "_n", b, seed).filter("w > 0")
+    elif subsample:
         w = B.half_sample(df.select(*keys, *unit, confidence, correct), keys, unit, b, seed).withColumn("w", F.lit(1.0))
     else:
         w = item_draws(df, keys, unit, [confidence, correct], b, seed, scheme)
@@ -455,7 +444,7 @@ def smece_bounds(
     est = C.smece(df, keys, confidence, correct).withColumnRenamed("smece", "est")
     boot = attach(smece_draws(df, keys, confidence, correct, b, unit, False, seed).drop("n"), est, keys)
     mean = boot.groupBy(*keys).agg(F.avg("smece").alias("_mean"))
-    boot = attach(boot, mean, keys)
+    boot = checkpointed(attach(boot, mean, keys))  # few numbers, read by three schemes
     sub = attach(smece_draws(df, keys, confidence, correct, b, unit, True, seed).drop("n"), est, keys)
     e, s = F.col("est"), F.col("smece")
     shrink = F.sqrt(F.floor(F.col("n") / 2) / F.col("n"))

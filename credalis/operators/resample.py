@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from credalis.operators.prefix import attach, hash_rank, key_sizes
+from credalis.functions.statfn import hypergeometric_inverse
 from credalis.functions.seeded import DRAWS_PER_HASH, hash_uniform, key_hash, pick, poisson1, uniform
 
 
@@ -135,6 +136,42 @@ def half_sample(df: DataFrame, keys: Sequence[str], unit: Sequence[str], b: int,
     return joined.filter(F.col("rank") <= F.floor(F.col("_size") / 2)).drop("_key", "rank", "_size")
 
 
+def half_levels(levels: DataFrame, keys: Sequence[str], level: Sequence[str], count: str, b: int, seed: str = "half") -> DataFrame:
+    """Rows of each level in a half-sample without replacement, as ``w``; zero stays.
+
+    Level after level takes its hypergeometric part of the ``n // 2`` rows that are drawn
+    from a key, so the law is that of ``half_sample`` at a cost independent of the rows.
+    """
+    t = levels.select(*keys, *level, F.col(count).cast("long").alias("_n"))
+    t = t.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    t = t.withColumn("_u", uniform(seed, *keys, *level, "b")).withColumn("w", F.lit(0.0))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(level), ignore_index=True)
+        rest = int(pdf["_n"].sum())
+        left, out = rest // 2, []
+        for n, u in zip(pdf["_n"].tolist(), pdf["_u"].tolist(), strict=True):
+            k = hypergeometric_inverse(n, rest - n, left, u)
+            rest, left = rest - n, left - k
+            out.append(float(k))
+        return pdf.assign(w=out)
+
+    return t.groupBy(*keys, "b").applyInPandas(draw, t.schema).drop("_u")
+
+
+@F.pandas_udf(T.DoubleType())
+def _sign_sums(n: pd.Series, h: pd.Series) -> pd.Series:
+    """Sum of ``n`` random signs keyed by a hash."""
+    draw = [np.random.Generator(np.random.Philox(key=int(x[:16], 16))).binomial(int(k), 0.5) for k, x in zip(n, h, strict=True)]
+    return pd.Series(2.0 * np.array(draw, float) - n.to_numpy(float))
+
+
+def level_signs(levels: DataFrame, level: Sequence[str], count: str, b: int, seed: str = "flip") -> DataFrame:
+    """Levels times patterns with ``s``, the sum of one random sign for each row of the level."""
+    drawn = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    return drawn.withColumn("s", _sign_sums(F.col(count), key_hash(seed, *level, "b")))
+
+
 def signs(df: DataFrame, unit: Sequence[str], b: int, seed: str = "flip") -> DataFrame:
     """Rows times patterns with a random sign ``s``."""
     drawn = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))

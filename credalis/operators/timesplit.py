@@ -132,8 +132,14 @@ def block_selection_bootstrap(df: DataFrame, b: int, block: int = 6, seed: str =
     )
 
 
-def split_selection(df: DataFrame, unit: Sequence[str], splits: int, seed: str = "split") -> DataFrame:
+def split_selection(df: DataFrame, unit: Sequence[str], splits: int, seed: str = "split", scheme: str = "item") -> DataFrame:
     """Select on half of each month, measure on the other half, per split."""
+    if scheme == "level":
+        lv = df.groupBy("month", "correct", "p_max").agg(F.count(F.lit(1)).alias("_n"))
+        drawn = B.half_levels(lv, ["month"], ["correct", "p_max"], "_n", splits, seed).withColumnRenamed("b", "split_no")
+        sides = F.array(F.struct(F.lit(True).alias("_find"), F.col("w").alias("_w")), F.struct(F.lit(False).alias("_find"), (F.col("_n") - F.col("w")).alias("_w")))
+        sums = monthly(drawn.select("split_no", "month", "correct", "p_max", F.inline(sides)).filter("_w > 0"), ["split_no", "_find"], weight="_w")
+        return _measured(sums)
     base = df.select(*unit, "month", "correct", "p_max")
     t = base.withColumn("split_no", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     t = t.withColumn("_key", key_hash(seed, *unit, "split_no"))
@@ -141,7 +147,11 @@ def split_selection(df: DataFrame, unit: Sequence[str], splits: int, seed: str =
     halves = attach(ranked, key_sizes(base, ["month"], "_size"), ["month"]).withColumn(
         "_find", F.col("rank") <= F.floor(F.col("_size") / 2)
     )
-    sums = monthly(halves, ["split_no", "_find"])
+    return _measured(monthly(halves, ["split_no", "_find"]))
+
+
+def _measured(sums: DataFrame) -> DataFrame:
+    """Selected on the half ``_find``, measured on the other."""
     found = change_point(sums.filter("_find").drop("_find"), ["split_no"])
     stats = cutoff_stats(
         sums.filter(~F.col("_find")).drop("_find"),

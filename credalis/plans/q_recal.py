@@ -192,6 +192,12 @@ def heldout_acceptance(t: Tables) -> DataFrame:
     return rnd(RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", 4))
 
 
+@query("heldout_acceptance_full")
+def heldout_acceptance_full(t: Tables) -> DataFrame:
+    """50 splits."""
+    return rnd(RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", 50))
+
+
 @query("t_distribution")
 def t_distribution(t: Tables) -> DataFrame:
     """The vectorised t distribution on monthly statistics (checked against tables in the tests)."""

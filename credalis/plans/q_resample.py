@@ -1,7 +1,7 @@
 """Resampling, inference and time-split queries.
 
-Item draws use few resamples here so that the checking SQL stays quick; every
-draw runs over whole tables.
+Item draws with checking SQL use few resamples, as a check of the draws only. For
+results, each has a sibling at full counts, ``_levels`` (level-wise) or ``_full``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from credalis.plans.q_score import scope
 from credalis.plans.views import Tables
 
 NB = 8
+"""Resamples of a query whose SQL repeats every draw; its sibling ``_levels`` or ``_full`` takes the counts below."""
+RESAMPLES, CALL_DRAWS, SPLITS = 2000, 500, 50
 
 
 def weights_sql(src: str, unit: str, seed: str, b: int = NB) -> str:
@@ -54,8 +56,8 @@ def bootstrap_mean(t: Tables) -> DataFrame:
 
 @query("bootstrap_mean_levels")
 def bootstrap_mean_levels(t: Tables) -> DataFrame:
-    """The same interval from 500 level-wise resamples, at a cost independent of the rows."""
-    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", ["unit"], 500, 0.1, scheme="level"))
+    """The same interval from 2,000 level-wise resamples, at a cost independent of the rows."""
+    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", ["unit"], RESAMPLES, 0.1, scheme="level"))
 
 
 @query(
@@ -85,6 +87,14 @@ def bootstrap_stat(t: Tables) -> DataFrame:
     return rnd(I.bootstrap_stat(t.rows, ["set_name"], metric, "ece", ["unit"], ["p_max", "correct"], NB))
 
 
+@query("bootstrap_stat_levels")
+def bootstrap_stat_levels(t: Tables) -> DataFrame:
+    """The same interval from 2,000 level-wise resamples."""
+    return rnd(
+        I.bootstrap_stat(t.rows, ["set_name"], lambda df, keys, w: C.ece(df, keys, "p_max", "correct", 10, w), "ece", [], ["p_max", "correct"], RESAMPLES, scheme="level")
+    )
+
+
 CLUSTER_W = """idx AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS idx, count(*) OVER () AS m FROM (SELECT DISTINCT month FROM rows)),
    dr AS (SELECT b, floor(m * (('0x' || substr(md5('boot|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM idx, (SELECT unnest(range(0, 2000)) AS b)),
    cw AS (SELECT month, b, count(*)::DOUBLE AS w FROM dr JOIN idx USING (idx) GROUP BY 1, 2)"""
@@ -112,6 +122,12 @@ def auroc_interval(t: Tables) -> DataFrame:
     return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", NB, ["unit"], threshold=0.7))
 
 
+@query("auroc_interval_levels")
+def auroc_interval_levels(t: Tables) -> DataFrame:
+    """The same interval from 2,000 level-wise resamples."""
+    return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", RESAMPLES, threshold=0.7, scheme="level"))
+
+
 SEP = """SELECT b, sum(pos * (before + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY {s} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
    FROM (SELECT b, {s}, sum(w * post::INT) AS pos, sum(w * (NOT post)::INT) AS neg FROM (SELECT *, 1 - p_known AS unknown FROM rows) JOIN cw USING (month) GROUP BY 1, 2)) GROUP BY 1"""
 
@@ -156,6 +172,12 @@ def paired_auroc_difference(t: Tables) -> DataFrame:
     return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", NB, ["unit"]))
 
 
+@query("paired_auroc_difference_levels")
+def paired_auroc_difference_levels(t: Tables) -> DataFrame:
+    """The same intervals from 2,000 level-wise resamples."""
+    return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", RESAMPLES, scheme="level"))
+
+
 @query("best_score_paired")
 def best_score_paired(t: Tables) -> DataFrame:
     """Best score per family by AUROC, then the paired difference of the two winners."""
@@ -202,6 +224,12 @@ def stratified_resample(t: Tables) -> DataFrame:
     return rnd(s.select("month", "b", (F.col("k") / F.col("n")).alias("accuracy")))
 
 
+@query("stratified_resample_levels")
+def stratified_resample_levels(t: Tables) -> DataFrame:
+    """Each month resampled on its own, 2,000 times by levels."""
+    return rnd(TS.within_month_draws(t.rows, [], RESAMPLES, scheme="level").select("month", "b", (F.col("k") / F.col("n")).alias("accuracy")))
+
+
 @query(
     "mean_difference",
     f"""WITH d AS (SELECT b, sum(w * p_max) FILTER (post) / sum(w) FILTER (post) - sum(w * p_max) FILTER (NOT post) / sum(w) FILTER (NOT post) AS diff FROM {weights_sql('rows', 'unit', 'boot')} GROUP BY 1)
@@ -213,6 +241,12 @@ def mean_difference(t: Tables) -> DataFrame:
     return rnd(I.mean_difference(t.rows, [], "p_max", "post", ["unit"], NB))
 
 
+@query("mean_difference_levels")
+def mean_difference_levels(t: Tables) -> DataFrame:
+    """The same interval from 2,000 level-wise resamples."""
+    return rnd(I.mean_difference(t.rows, [], "p_max", "post", [], RESAMPLES, scheme="level"))
+
+
 @query(
     "equivalence",
     f"""WITH {GAPS}, d AS (SELECT set_name, b, sum(w * gap) / sum(w) AS stat FROM {weights_sql('g', 'unit', 'boot')} GROUP BY 1, 2),
@@ -224,6 +258,12 @@ def equivalence(t: Tables) -> DataFrame:
     return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, ["unit"], NB))
 
 
+@query("equivalence_levels")
+def equivalence_levels(t: Tables) -> DataFrame:
+    """The same check from 2,000 level-wise resamples."""
+    return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, [], RESAMPLES, scheme="level"))
+
+
 @query("spearman_interval")
 def spearman_interval(t: Tables) -> DataFrame:
     """Bootstrap interval and Fisher z test of the rank correlation."""
@@ -248,6 +288,12 @@ def sign_flip_test(t: Tables) -> DataFrame:
     return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", ["unit"], 10, 0.1))
 
 
+@query("sign_flip_test_levels")
+def sign_flip_test_levels(t: Tables) -> DataFrame:
+    """2,000 sign patterns, whose sums are binomial by level."""
+    return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", [], RESAMPLES, 0.1, scheme="level"))
+
+
 @query("bca_bound")
 def bca_bound(t: Tables) -> DataFrame:
     return rnd(I.bca_bound(gap_rows(t), ["set_name"], "gap", ["unit"], 400, scheme="level"), digits=6)
@@ -294,8 +340,8 @@ def smece_interval(t: Tables) -> DataFrame:
 
 @query("smece_bounds")
 def smece_bounds(t: Tables) -> DataFrame:
-    """Four schemes per set; the half-samples draw rows without replacement."""
-    return rnd(I.smece_bounds(t.rows, ["set_name"], "p_max", "correct", 8, ["unit"]), digits=6)
+    """Four schemes per set; the half-samples draw rows without replacement, by levels."""
+    return rnd(I.smece_bounds(t.rows, ["set_name"], "p_max", "correct", RESAMPLES, []), digits=6)
 
 
 @query(
@@ -306,9 +352,19 @@ def smece_bounds(t: Tables) -> DataFrame:
     "answers",
 )
 def random_call_draws(t: Tables) -> DataFrame:
+    return _call_draws(t, 5)
+
+
+@query("random_call_draws_full")
+def random_call_draws_full(t: Tables) -> DataFrame:
+    """500 draws of one answer a unit."""
+    return _call_draws(t, CALL_DRAWS)
+
+
+def _call_draws(t: Tables, draws: int) -> DataFrame:
     from credalis.operators.replicates import random_calls
 
-    picked = random_calls(scope(t).select("unit", "set_name", "replicate", "p_max", "correct"), ["unit"], 3, 5, "call")
+    picked = random_calls(scope(t).select("unit", "set_name", "replicate", "p_max", "correct"), ["unit"], 3, draws, "call")
     return rnd(picked.groupBy("set_name", "d").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("p_max").alias("mean_confidence")
     ))
@@ -374,6 +430,12 @@ def split_selection(t: Tables) -> DataFrame:
     return rnd(TS.split_selection(t.rows, ["unit"], 3))
 
 
+@query("split_selection_levels")
+def split_selection_levels(t: Tables) -> DataFrame:
+    """50 splits, whose halves are hypergeometric by level."""
+    return rnd(TS.split_selection(t.rows, [], SPLITS, scheme="level"))
+
+
 EQ_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER BY month) - 1 AS idx, count(*) OVER (PARTITION BY post) AS m FROM (SELECT DISTINCT post, month FROM rows)),
    dr AS (SELECT post, b, floor(m * (('0x' || substr(md5('eq|' || post || '|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM ix, (SELECT unnest(range(0, 2000)) AS b)),
    ew AS (SELECT ix.post, ix.month, b, count(*)::DOUBLE AS w FROM dr JOIN ix ON ix.post = dr.post AND ix.idx = dr.idx GROUP BY ALL)"""

@@ -31,7 +31,7 @@ from credalis.operators import trend as TR
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import paired
 from credalis.plans.q_recal import errors
-from credalis.plans.q_resample import gap_rows
+from credalis.plans.q_resample import RESAMPLES, gap_rows
 from credalis.plans.q_score import _balance, _orders, scope
 from credalis.plans.views import CUTOFF, Tables
 
@@ -327,7 +327,7 @@ def abstention(t: Tables) -> DataFrame:
 @query("popularity_dose")
 def popularity_dose(t: Tables) -> DataFrame:
     g = R.rank_groups(R.with_tie(t.rows.withColumn("pop", F.col("supp").cast("double")), "unit"), [], "pop", 5, "tie")
-    bounds = I.smece_bounds(g.select("group", "unit", "p_max", "correct"), ["group"], "p_max", "correct", 8, ["unit"])
+    bounds = I.smece_bounds(g.select("group", "unit", "p_max", "correct"), ["group"], "p_max", "correct", RESAMPLES, [])
     full = DO.complete_items(t.cells, "item", "dose", (1, 2, 3, 4, 5))
     slopes = {"per_unit": F.log2(F.col("dose") + 1), "per_doubling": F.log2("dose")}
     parts = [long(I.bootstrap_mean(DO.within_item_slope(full, ["item"], x, F.col("value")), [], "slope", ["item"], B), n) for n, x in slopes.items()]

@@ -118,10 +118,9 @@ def grouped_cv_scores(t: Tables) -> DataFrame:
 
 @query("stratified_oof_scores")
 def stratified_oof_scores(t: Tables) -> DataFrame:
-    """Two classes of vectors told apart by their first coordinates."""
-    v = F.col("embedding")
-    df = t.embeddings.select("vec_id", (F.col("label") < 5).alias("low"), *[v[i].cast("double").alias(f"x{i}") for i in range(8)])
-    s = X.stratified_oof_scores(df, [f"x{i}" for i in range(8)], "low", ["vec_id"])
+    """Two classes of vectors told apart by all their coordinates."""
+    df = t.embeddings.select("vec_id", (F.col("label") < 5).alias("low"), F.col("embedding").cast("array<double>").alias("x"))
+    s = X.stratified_oof_scores(df, "x", "low", ["vec_id"])
     return rnd(R.auroc(s, [], "oof", "low"), digits=5)
 
 

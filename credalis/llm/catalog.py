@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from credalis.llm import decontaminate, jaccard, mixing, naming, passages, pieces, secret_scan, sharding, toxicity, urls
+from credalis.llm import decontaminate, jaccard, mixing, naming, passages, pieces, resampling, secret_scan, sharding, token_files, toxicity, urls, whitening
+from credalis.llm.frames import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +108,42 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum of a word runs byte by byte over a table made by eight shifts; each distinct word once.
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+step AS (SELECT list(v ORDER BY b) AS s FROM bits WHERE k = 8),
+texts AS (SELECT row_number() OVER () AS r, doc_id, 0 AS side, text FROM documents UNION ALL SELECT NULL, NULL, 1, text FROM benchmark),
+found AS (SELECT r, doc_id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+each AS (SELECT r, side, unnest(words) AS w FROM found),
+crc AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(w), '..'), lambda h : ('0x' || h)::BIGINT)),
+    lambda c, b : xor(c // 256, s[(xor(c, b) % 256) + 1]))) % 10000 AS bucket FROM (SELECT DISTINCT w FROM each), step),
+counted AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM each JOIN crc USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM counted)::DOUBLE) / ((s + 1)::DOUBLE * (SELECT sum(t) + 10000 FROM counted)::DOUBLE)))::BIGINT AS g FROM counted),
+weights AS (SELECT r, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN crc USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (SELECT r, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM found LEFT JOIN weights USING (r) WHERE side = 0),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_files.token_digests(token_files.read_tokens(spark, path))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

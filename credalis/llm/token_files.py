@@ -8,9 +8,9 @@ this one. ORC stores the ids in stripes with integer run-length encoding, statis
 filter on ``doc_id`` skips files, stripes and row groups by these. A second small table holds
 the number of ids before each part.
 
-A tokenizer reads one white-space word at a time, because its pre-tokenizer never joins across
-blanks: each task encodes a distinct word once and holds at most ``KNOWN_BYTES`` of words.
-Tokenizers without that property are given whole texts (``by_word=False``).
+Texts are encoded by the tokenizers library. Where the vocabulary's rules end a token at every
+blank and between letters and punctuation, a task encodes each distinct part of a word once; it
+remembers about ``KNOWN_BYTES`` of words and as many of parts, then starts anew.
 
 Null or empty text has the end id alone. A null id comes last. Rows with one id are ordered by
 a hash of their text, rows alike in both keep the order they are read in, and all stay; an id
@@ -20,7 +20,9 @@ gives files without rows. Other columns are not read. The folder must be new.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -39,9 +41,9 @@ END_ID = 1
 PART_BYTES = 48 << 20
 """Bytes of text in a part, on average."""
 CHUNK_BYTES = 1 << 20
-KNOWN_BYTES = 16 << 20
+KNOWN_BYTES = 64 << 20
 """Bytes of distinct words whose ids a task remembers."""
-WORDS_AT_ONCE = 4096
+PARTS_AT_ONCE = 256
 STRIPE_BYTES = 16 << 20
 ROWS = 1_000
 """Rows for each entry of the row index and its Bloom filter."""
@@ -54,57 +56,118 @@ WRITE = {
     "orc.bloom.filter.fpp": "0.01",
 }
 SAME = bytes(range(256))
+# The rules of a vocabulary of word ends, whose words may be cut before they are encoded.
+WORD_RULES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+"""The same rules for lower-cased words of ASCII characters alone."""
+SAFE_CUTS = re.compile(r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+"""In other words: between an ASCII letter or digit and ASCII punctuation, but not after an apostrophe."""
+
+
+class Ids:
+    """Token ids of distinct strings, end to end in one array."""
+
+    def __init__(self):
+        self.place: dict = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.held = 0
+
+    def add(self, keys: list, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.held += sum(map(len, keys)) + 180 * len(keys) + flat.nbytes
+
+    def of(self, keys, n: int) -> np.ndarray:
+        """Places of ``n`` keys."""
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, n)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings at these places in order, number of each)."""
+        return self.flat[ranges(self.starts[at], self.sizes[at])], self.sizes[at]
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file, one distinct word at a time."""
+    """Ids of texts by a tokenizers file.
+
+    Where its rules are those above, words are cut at places where a token always ends, each
+    distinct part is encoded once, and many parts at a time with a special token between them.
+    By other rules whole texts are encoded.
+    """
 
-    def __init__(self, definition: str, by_word: bool = True):
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.by_word = by_word
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.held = 0
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def _encoded(self, texts: list[bytes]) -> Iterator[list[int]]:
-        for k in range(0, len(texts), WORDS_AT_ONCE):
-            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[k : k + WORDS_AT_ONCE]], add_special_tokens=False):
-                yield e.ids
+        rules = json.loads(definition)
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]).encode())
+        apart = [t for t in rules["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.between = apart[0] if apart else None
+        self.by_word = self.between is not None and _cuts_words(rules)
+        self.words, self.parts = Ids(), Ids()
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
+
+    def _learn_parts(self, new: list[str]) -> None:
+        """Parts without special tokens."""
+        flat, sizes = [], []
+        for k in range(0, len(new), PARTS_AT_ONCE):
+            ids = np.array(self._whole([self.between["content"].join(new[k : k + PARTS_AT_ONCE])])[0], np.int32)
+            cut = np.flatnonzero(ids == self.between["id"])
+            flat.append(np.delete(ids, cut))
+            sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+        if new:
+            self.parts.add(new, np.concatenate(flat), np.concatenate(sizes))
+
+    def _learn(self, new: list[bytes]) -> None:
+        marked = [w for w in new if self.marks.search(w)]
+        if marked:  # words that hold a special token stay whole
+            found = self._whole([w.decode() for w in marked])
+            self.words.add(marked, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+            new = [w for w in new if w not in self.words.place]
+            if not new:
+                return
+        parts = [ASCII_PARTS.findall(w.lower().decode()) if w.isascii() else SAFE_CUTS.split(w.decode()) for w in new]
+        flat = list(chain.from_iterable(parts))
+        self._learn_parts([p for p in dict.fromkeys(flat) if p not in self.parts.place])
+        ids, sizes = self.parts.take(self.parts.of(flat, len(flat)))
+        before = np.append(0, np.cumsum(sizes))
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.words.add(new, ids, np.diff(before[np.append(0, ends)]))
+        if self.parts.held > KNOWN_BYTES:
+            self.parts = Ids()
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of each)."""
         if not self.by_word:
-            found = [e for t in texts for e in self._encoded([t])]
+            found = self._whole([t.decode() for t in texts])
             return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
         words = words_of(texts, SAME)
-        if self.held > KNOWN_BYTES:
-            self._forget()
-        new = [w for w in words.known if w not in self.place]
+        if self.words.held > KNOWN_BYTES:
+            self.words = Ids()
+        new = [w for w in words.known if w not in self.words.place]
         if new:
-            found = list(self._encoded(new))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())])
-            for w in new:
-                self.place[w] = len(self.place)
-            self.held += sum(map(len, new)) + 100 * len(new)
-        at = np.fromiter(map(self.place.__getitem__, words.known), np.int64, len(words.known))[words.ids]
-        size = self.sizes[at]
-        before = np.append(0, np.cumsum(size))
-        return self.flat[ranges(self.starts[at], size)], np.diff(before[words.starts])
-
-
-def _encode(definition: str, by_word: bool, end_id: int, schema: pa.Schema):
+            self._learn(new)
+        ids, sizes = self.words.take(self.words.of(words.known, len(words.known))[words.ids])
+        before = np.append(0, np.cumsum(sizes))
+        return ids, np.diff(before[words.starts])
+
+
+def _cuts_words(rules: dict) -> bool:
+    """Whether a tokenizer's rules are ``WORD_RULES``, after which white space is gone."""
+    normal, pre = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    if [n["type"] for n in normal.get("normalizers", [])] != NORMALIZERS or normal["normalizers"][1]["pattern"] != {"Regex": r"\s+"}:
+        return False
+    steps = pre.get("pretokenizers", [{}])
+    return steps[0].get("pattern") == {"Regex": WORD_RULES} and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
+
+
+def _encode(definition: str, end_id: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition, by_word)
+        encoder = Encoder(definition)
         part, first = TaskContext.get().partitionId(), 0
         for _, keys, texts in text_chunks(batches, CHUNK_BYTES):
             ids, sizes = encoder.ids(texts)
@@ -118,7 +181,7 @@ def _encode(definition: str, by_word: bool, end_id: int, schema: pa.Schema):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, by_word: bool = True) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> None:
     """Encode all texts into ORC files under ``path``; ``tokenizer`` is the driver's path of a tokenizers file."""
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
@@ -128,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     keyed = rows.withColumn("draw", F.xxhash64("t")).withColumn("nth", F.monotonically_increasing_id())
     dealt = keyed.repartitionByRange(max(1, -(-size // part_bytes)), *order).sortWithinPartitions(*order)
     ddl = f"doc_id {id_type(rows, 'doc_id')}, part int, first long, n_tokens int, ids array<int>"
-    tokens = dealt.select("doc_id", "t").mapInArrow(_encode(definition, by_word, end_id, arrow_of(ddl)), ddl)
+    tokens = dealt.select("doc_id", "t").mapInArrow(_encode(definition, end_id, arrow_of(ddl)), ddl)
     tokens.write.options(**WRITE).orc(f"{path}/tokens")
     written = docs.sparkSession.read.schema(ddl).orc(f"{path}/tokens")
     parts = written.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a file

@@ -9,8 +9,8 @@ filter on ``doc_id`` skips files, stripes and row groups by these. A second smal
 the number of ids before each part.
 
 Texts are encoded by the tokenizers library. Where the vocabulary's rules end a token at every
-blank and between letters and punctuation, a task encodes each distinct part of a word once; it
-remembers about ``KNOWN_BYTES`` of words and as many of parts, then starts anew.
+blank and between letters and punctuation, a task encodes each distinct part between such places
+once; it remembers about ``KNOWN_BYTES`` of parts, then starts anew.
 
 Null or empty text has the end id alone. A null id comes last. Rows with one id are ordered by
 a hash of their text, rows alike in both keep the order they are read in, and all stay; an id
@@ -24,8 +24,10 @@ import json
 import os
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,63 +37,51 @@ from pyspark.sql import functions as F
 
 from credalis.llm.crc import ranges
 from credalis.llm.frames import arrow_of, batch_of, id_type, text_chunks
-from credalis.llm.words import words_of
+from credalis.llm.words import LOWER
 
 END_ID = 1
 PART_BYTES = 48 << 20
 """Bytes of text in a part, on average."""
 CHUNK_BYTES = 1 << 20
 KNOWN_BYTES = 64 << 20
-"""Bytes of distinct words whose ids a task remembers."""
+"""Bytes of distinct parts whose ids a task remembers."""
 PARTS_AT_ONCE = 256
 STRIPE_BYTES = 16 << 20
 ROWS = 1_000
 """Rows for each entry of the row index and its Bloom filter."""
 WRITE = {
-    "compression": "zstd",
+    "compression": "none",
+    "orc.encoding.strategy": "COMPRESSION",
     "orc.stripe.size": str(STRIPE_BYTES),
     "orc.create.index": "true",
     "orc.row.index.stride": str(ROWS),
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-SAME = bytes(range(256))
 # The rules of a vocabulary of word ends, whose words may be cut before they are encoded.
 WORD_RULES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-"""The same rules for lower-cased words of ASCII characters alone."""
-SAFE_CUTS = re.compile(r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
-"""In other words: between an ASCII letter or digit and ASCII punctuation, but not after an apostrophe."""
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+SIGNS = r"\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F"
+PLAIN_PARTS = re.compile(rf"[{SIGNS}]*'[0-9{LETTERS}]+|[0-9{LETTERS}]+|[{SIGNS}]+")
+"""Runs of letters and digits, and runs of ASCII signs, which go with what follows an apostrophe."""
+NOT_PLAIN = re.compile(rf"[^\x00-\x7F{LETTERS}]")
+CUTS = re.compile(rf"[\x20\x09-\x0D]+|(?<=[0-9{LETTERS}])(?=[{SIGNS}])|(?<=(?!')[{SIGNS}])(?=[0-9{LETTERS}])")
+"""In texts with other characters: at blanks, and between a letter of these or a digit and an ASCII sign, but not after an apostrophe."""
+CAPITAL_JOINED = re.compile(r"[A-Z](?=[^\x00-\u02FF])")
+"""A capital that a mark may follow: composition looks at it before lower-casing does."""
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
 
-class Ids:
-    """Token ids of distinct strings, end to end in one array."""
-
-    def __init__(self):
-        self.place: dict = {}
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.held = 0
-
-    def add(self, keys: list, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
-        self.held += sum(map(len, keys)) + 180 * len(keys) + flat.nbytes
-
-    def of(self, keys, n: int) -> np.ndarray:
-        """Places of ``n`` keys."""
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, n)
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the strings at these places in order, number of each)."""
-        return self.flat[ranges(self.starts[at], self.sizes[at])], self.sizes[at]
+def _lower(text: str) -> str:
+    """A-Z alone lower-cased."""
+    return text.encode().translate(LOWER).decode()
 
 
 class Encoder:
     """Ids of texts by a tokenizers file.
 
-    Where its rules are those above, words are cut at places where a token always ends, each
+    Where its rules are those above, texts are cut at places where a token always ends, each
     distinct part is encoded once, and many parts at a time with a special token between them.
     By other rules whole texts are encoded.
     """
@@ -102,58 +92,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         rules = json.loads(definition)
-        self.marks = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]).encode())
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in rules["added_tokens"]))
         apart = [t for t in rules["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.between = apart[0] if apart else None
-        self.by_word = self.between is not None and _cuts_words(rules)
-        self.words, self.parts = Ids(), Ids()
+        self.by_part = self.between is not None and _cuts_words(rules)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No part is known: its number is its place in order of appearance."""
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.held = 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str]) -> None:
-        """Parts without special tokens."""
+    def _parts(self, text: str) -> list[str]:
+        if self.marks.search(text):  # words that hold a special token stay whole
+            return [p for w in BLANKS.split(text) for p in ([w] if self.marks.search(w) else CUTS.split(w))]
+        if not NOT_PLAIN.search(text):
+            return PLAIN_PARTS.findall(_lower(text))
+        return CUTS.split(text if CAPITAL_JOINED.search(text) else _lower(text))
+
+    def _learn(self, new: list[str]) -> None:
+        marked = {}
+        if self.marks.search("\n".join(new)):
+            marked = {p: np.array(self._whole([p])[0], np.int32) for p in new if self.marks.search(p)}
+        plain = [p for p in new if p not in marked] if marked else new
         flat, sizes = [], []
-        for k in range(0, len(new), PARTS_AT_ONCE):
-            ids = np.array(self._whole([self.between["content"].join(new[k : k + PARTS_AT_ONCE])])[0], np.int32)
+        for k in range(0, len(plain), PARTS_AT_ONCE):
+            ids = np.array(self._whole([self.between["content"].join(plain[k : k + PARTS_AT_ONCE])])[0], np.int32)
             cut = np.flatnonzero(ids == self.between["id"])
             flat.append(np.delete(ids, cut))
             sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-        if new:
-            self.parts.add(new, np.concatenate(flat), np.concatenate(sizes))
-
-    def _learn(self, new: list[bytes]) -> None:
-        marked = [w for w in new if self.marks.search(w)]
-        if marked:  # words that hold a special token stay whole
-            found = self._whole([w.decode() for w in marked])
-            self.words.add(marked, np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)))
-            new = [w for w in new if w not in self.words.place]
-            if not new:
-                return
-        parts = [ASCII_PARTS.findall(w.lower().decode()) if w.isascii() else SAFE_CUTS.split(w.decode()) for w in new]
-        flat = list(chain.from_iterable(parts))
-        self._learn_parts([p for p in dict.fromkeys(flat) if p not in self.parts.place])
-        ids, sizes = self.parts.take(self.parts.of(flat, len(flat)))
-        before = np.append(0, np.cumsum(sizes))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        self.words.add(new, ids, np.diff(before[np.append(0, ends)]))
-        if self.parts.held > KNOWN_BYTES:
-            self.parts = Ids()
+        flat = np.concatenate([np.zeros(0, np.int32), *flat, *marked.values()])
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes, [len(x) for x in marked.values()]]).astype(np.int64)
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        if marked:  # back to the order of the numbers
+            place = {p: k for k, p in enumerate([*plain, *marked])}
+            order = np.array([place[p] for p in new])
+            starts, sizes = starts[order], sizes[order]
+        self.starts, self.sizes, self.flat = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.held += sum(map(len, new)) + 180 * len(new) + flat.nbytes
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of each)."""
-        if not self.by_word:
+        if not self.by_part:
             found = self._whole([t.decode() for t in texts])
             return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
-        words = words_of(texts, SAME)
-        if self.words.held > KNOWN_BYTES:
-            self.words = Ids()
-        new = [w for w in words.known if w not in self.words.place]
-        if new:
-            self._learn(new)
-        ids, sizes = self.words.take(self.words.of(words.known, len(words.known))[words.ids])
+        if self.held > KNOWN_BYTES:
+            self._forget()
+        known, numbers, counts = len(self.number), array("q"), [0]
+        for text in texts:
+            numbers.extend(map(self.number.__getitem__, self._parts(text.decode())))
+            counts.append(len(numbers))
+        if len(self.number) > known:
+            self._learn(list(islice(self.number, known, None)))
+        at = np.array(numbers, np.int64)
+        sizes = self.sizes[at]
         before = np.append(0, np.cumsum(sizes))
-        return ids, np.diff(before[words.starts])
+        return self.flat[ranges(self.starts[at], sizes)], np.diff(before[counts])
 
 
 def _cuts_words(rules: dict) -> bool:

@@ -133,13 +133,16 @@ def refined_eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = matrix.astype(np.longdouble) / np.longdouble(scale)
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.longdouble)
     one, last, solved = np.eye(d, dtype=np.longdouble), np.inf, False
+    norm = float(np.abs(a).sum(axis=0).max())
+    least = 4 * np.finfo(float).eps * norm  # a matrix of doubles does not tell closer values apart
     for _ in range(STEPS):
         loose = one - x.T @ x
         near = x.T @ a @ x
+        near = (near + near.T) / 2  # what rounding adds must not differ between the two halves
         value = np.diag(near) / (1 - np.diag(loose))
         off = near - np.diag(value)
         size = float(np.abs(off).sum(axis=0).max())
-        gap = 2 * (size + float(np.abs(a).sum(axis=0).max() * np.abs(loose).sum(axis=0).max()))
+        gap = max(2 * (size + norm * float(np.abs(loose).sum(axis=0).max())), least)
         distance = value[None, :] - value[:, None]
         far = np.abs(distance) > gap
         step = np.where(far, (near + value[None, :] * loose) / np.where(far, distance, 1), loose / 2)
@@ -155,6 +158,7 @@ def refined_eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             solved, last = True, np.inf
             continue
         last = error
+    x = x + x @ (one - x.T @ x) / 2
     value = np.diag(x.T @ a @ x) / (x * x).sum(axis=0)
     order = np.argsort(-value, kind="stable")
     x = (x / np.sqrt((x * x).sum(axis=0)))[:, order]

@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 CHECKPOINT = "spark.checkpoint.dir"
 TEXT_BYTES = 1 << 23
 """Bytes of text that a task holds at once, apart from a single longer text."""
+ROWS_AT_ONCE = 256
+"""Rows of an Arrow batch whose texts become Python strings together."""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,15 +55,16 @@ def row_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> It
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
     for batch in batches:
-        texts = column_bytes(batch.column(1))
-        start, held = 0, 0
-        for i, text in enumerate(texts):
-            held += len(text) + 64
-            if held >= limit:
-                yield number, batch.slice(start, i + 1 - start), texts[start : i + 1]
-                number, start, held = number + 1, i + 1, 0
-        if start < len(texts):
-            yield number, batch.slice(start), texts[start:]
+        column, start, held, texts = batch.column(1), 0, 0, []
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            for text in column_bytes(column.slice(k, ROWS_AT_ONCE)):
+                texts.append(text)
+                held += len(text) + 64
+                if held >= limit:
+                    yield number, batch.slice(start, len(texts)), texts
+                    number, start, held, texts = number + 1, start + len(texts), 0, []
+        if texts:
+            yield number, batch.slice(start), texts
             number += 1
 
 

@@ -96,12 +96,13 @@ class Encoder:
         apart = [t for t in rules["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.between = apart[0] if apart else None
         self.by_part = self.between is not None and _cuts_words(rules)
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a part's number is its place in order of appearance
         self._forget()
 
     def _forget(self) -> None:
-        """No part is known: its number is its place in order of appearance."""
-        self.number: defaultdict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        """No part is known."""
+        self.number.clear()
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.held = 0
 

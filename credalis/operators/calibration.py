@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalis.operators.prefix import attach, attach_rows, null_safe_join, running_sums
+from credalis.operators.prefix import attach, null_safe_join
+from credalis.operators.selection import numbered_groups
+from credalis.session import checkpointed
 
 LEVEL_DIGITS = 9
 """Score values are grouped after rounding to this many digits (fixed value)."""
@@ -42,19 +44,12 @@ def reliability_bins(
     df: DataFrame, keys: Sequence[str], confidence: str, correct: Column | str, bins: int, tie: str
 ) -> DataFrame:
     """Equal-mass bins by rank: the first ``n mod bins`` bins hold one row more."""
-    base = df.withColumns({"_v": F.col(confidence).cast("double"), "_one": F.lit(1.0)})
-    ranked = running_sums(base, keys, ["_v", tie], ["_one"])
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = attach_rows(ranked, total, keys)
-    size, longer = F.floor(F.col("_n") / bins), F.col("_n") % bins
-    head = longer * (size + 1)
-    pos = F.col("before__one")
-    b = F.when(pos < head, F.floor(pos / (size + 1))).otherwise(
-        longer + F.floor((pos - head) / F.greatest(size, F.lit(1)))
-    )
-    return j.groupBy(*keys, b.cast("int").alias("bin")).agg(
-        F.avg("_v").alias("confidence"), F.avg(_col(correct).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"),
+    size = checkpointed(df.groupBy(*keys).agg(F.count(confidence).alias("_n")))
+    ends = F.array(*[F.expr(f"{i + 1} * (_n div {bins}) + least({i + 1}, _n % {bins})") for i in range(bins - 1)])
+    v = F.col(confidence).cast("double")
+    j = numbered_groups(df.where(v.isNotNull()), keys, v, tie, size, ends)
+    return j.groupBy(*keys, F.col("group").alias("bin")).agg(
+        F.avg(v).alias("confidence"), F.avg(_col(correct).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -237,33 +232,83 @@ def residual_grid(
     )
 
 
-def smooth_error(residual: np.ndarray, sigma: float) -> float:
-    """Integral of the absolute kernel-smoothed residual, Gaussian reflected at 0 and 1."""
-    m = len(residual)
-    # Mirroring with period 2m makes reflection a circular convolution.
-    mirrored = np.concatenate([residual, residual[::-1]])
-    x = np.arange(2 * m)
-    dist = np.minimum(x, 2 * m - x) / m
-    kernel = np.zeros(2 * m)
-    for shift in range(-int(4 * sigma) - 1, int(4 * sigma) + 2):
-        kernel += np.exp(-0.5 * ((np.where(x <= m, dist, -dist) + 2 * shift) / sigma) ** 2)
-    kernel /= kernel.sum()
-    smooth = np.fft.irfft(np.fft.rfft(mirrored) * np.fft.rfft(kernel), 2 * m)[:m]
-    return float(np.abs(smooth).sum())
-
-
-def smooth_ece_of(residual: np.ndarray) -> float:
-    """Fixed point ``smooth_error(s) = s``, by bisection (the error falls with ``s``)."""
-    lo, hi = 1e-3 / 2, 1.0
-    if smooth_error(residual, lo) <= lo:
-        return smooth_error(residual, lo)
-    for _ in range(30):
-        mid = (lo + hi) / 2
-        if smooth_error(residual, mid) >= mid:
-            lo = mid
-        else:
-            hi = mid
-    return smooth_error(residual, (lo + hi) / 2)
+def grid_sides(df: DataFrame, keys: Sequence[str], confidence: str, correct: Column | str, grid: int = SMOOTH_GRID) -> DataFrame:
+    """Per grid cell ``x``: count and mean confidence of wrong (0) and right (1) answers."""
+    p, ok = F.col(confidence).cast("double"), _col(correct).cast("boolean")
+    base = df.select(*keys, p.alias("_p"), ok.alias("_ok")).where("_p is not null and _ok is not null")
+    aggs = []
+    for k, on in ((0, ~F.col("_ok")), (1, F.col("_ok"))):
+        v = F.when(on, F.col("_p"))
+        aggs += [F.count(v).alias(f"n{k}"), F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{k}")]
+    return base.groupBy(*keys, F.least(F.floor(F.col("_p") * grid), F.lit(grid - 1)).cast("double").alias("x")).agg(*aggs)
+
+
+NARROWEST = 1e-3 / 2
+LADDER = 65
+"""Kernel widths, in equal ratios from the narrowest to 1, whose transforms are made once."""
+CLOSE = 1e-11
+
+
+def kernel_spectrum(sigma: np.ndarray, grid: int) -> np.ndarray:
+    """Transforms of Gaussians of these widths on a circle of twice the grid, one a row.
+
+    A kernel that repeats on the circle has the transform of the Gaussian itself, repeated at
+    the sampling rate; widths of one cell and more leave three terms.
+    """
+    s = (np.asarray(sigma, float) * grid)[:, None]
+    w = np.pi * np.arange(grid + 1) / grid
+    top = sum(np.exp(-0.5 * (s * (w + 2 * np.pi * j)) ** 2) for j in (-1, 0, 1))
+    return top / (1 + 2 * np.exp(-0.5 * (2 * np.pi * s) ** 2))
+
+
+def smooth_errors(transform: np.ndarray, spectrum: np.ndarray) -> np.ndarray:
+    """Integral of the absolute smoothed residual for each row of transformed residuals."""
+    grid = transform.shape[1] - 1
+    return np.abs(np.fft.irfft(transform * spectrum, 2 * grid)[:, :grid]).sum(axis=1)
+
+
+def smooth_eces(residuals: np.ndarray) -> np.ndarray:
+    """Fixed point ``error(s) = s`` for each row of residuals on a grid (the error falls with ``s``).
+
+    All rows search the ladder of widths together, then close in on their own widths by
+    secants that keep the sign change inside.
+    """
+    rows, grid = residuals.shape
+    # Mirroring makes reflection at 0 and 1 a circular convolution.
+    transform = np.fft.rfft(np.concatenate([residuals, residuals[:, ::-1]], axis=1))
+    widths = np.geomspace(NARROWEST, 1.0, LADDER)
+    ladder = kernel_spectrum(widths, grid)
+    gap = lambda k: smooth_errors(transform, ladder[k]) - widths[k]
+    low, high = np.zeros(rows, int), np.full(rows, LADDER - 1)
+    at_low, at_high = gap(low), gap(high)
+    flat = at_low <= 0
+    while (high - low > 1).any():
+        mid = (low + high) // 2
+        at = gap(mid)
+        up = at >= 0
+        low, at_low = np.where(up, mid, low), np.where(up, at, at_low)
+        high, at_high = np.where(up, high, mid), np.where(up, at_high, at)
+    a, b = widths[low], widths[high]
+    out = np.where(flat, at_low + a, 0.0)
+    live = np.flatnonzero(~flat)
+    a, b, fa, fb = a[live], b[live], at_low[live], at_high[live]
+    kept = np.zeros(len(live), int)
+    for _ in range(60):
+        if not len(live):
+            break
+        c = np.clip(np.where(fa > fb, a + (b - a) * fa / np.where(fa > fb, fa - fb, 1), (a + b) / 2), a, b)
+        error = smooth_errors(transform[live], kernel_spectrum(c, grid))
+        f = error - c
+        out[live] = error
+        up = f >= 0
+        # the end that stays twice running counts half, so that the other one moves as well
+        fb = np.where(up & (kept == 1), fb / 2, np.where(up, fb, f))
+        fa = np.where(~up & (kept == -1), fa / 2, np.where(up, f, fa))
+        kept = np.where(up, 1, -1)
+        a, b = np.where(up, c, a), np.where(up, b, c)
+        open_ = (np.abs(f) > CLOSE) & (b - a > CLOSE)
+        live, a, b, fa, fb, kept = live[open_], a[open_], b[open_], fa[open_], fb[open_], kept[open_]
+    return out
 
 
 def smece_of_grid(cells: DataFrame, keys: Sequence[str], grid: int = SMOOTH_GRID) -> DataFrame:
@@ -279,7 +324,7 @@ def smece_of_grid(cells: DataFrame, keys: Sequence[str], grid: int = SMOOTH_GRID
         np.add.at(r, pdf["cell"].to_numpy(int), pdf["r"].to_numpy(float))
         n = float(pdf["n"].sum())
         row = {k: pdf[k].iloc[0] for k in group}
-        return pd.DataFrame([{**row, "smece": smooth_ece_of(r / n), "n": n}])
+        return pd.DataFrame([{**row, "smece": float(smooth_eces(r[None] / n)[0]), "n": n}])
 
     out = src.groupBy(*group).applyInPandas(finish, schema)
     return out if keys else out.drop("_all")

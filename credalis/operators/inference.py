@@ -1,8 +1,8 @@
 """Resampling intervals, tests and multiplicity adjustment.
 
-``scheme`` chooses how item weights are made: ``item`` (one Poisson weight per
-row and resample, repeatable in plain SQL) or ``level`` (one Poisson weight per
-distinct value, whose cost does not grow with the rows).
+``scheme`` chooses how rows are drawn: ``tree`` (resamples of a bounded table of score
+buckets, ``operators.tree``, whose cost does not grow with the rows) or ``item`` (one
+Poisson weight per row and resample, a check that plain SQL can repeat).
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credalis.functions.seeded import key_hash, uniform
-from credalis.functions.statfn import hypergeometric_inverse, normal_cdf, normal_quantile, t_cdf
+from credalis.functions.seeded import key_hash
+from credalis.functions.statfn import normal_cdf, normal_quantile, t_cdf
 from credalis.operators import calibration as C
 from credalis.operators import ranking as R
 from credalis.operators import resample as B
+from credalis.operators import tree
 from credalis.operators.prefix import attach, hash_rank, null_safe_join, score_edges
 from credalis.session import checkpointed
 
@@ -31,26 +32,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def item_draws(
-    df: DataFrame, keys: Sequence[str], unit: Sequence[str], columns: Sequence[str], b: int,
-    seed: str = "boot", scheme: str = "item",
-) -> DataFrame:
+def item_draws(df: DataFrame, keys: Sequence[str], unit: Sequence[str], columns: Sequence[str], b: int, seed: str = "boot") -> DataFrame:
     """Resampled ``columns`` with weight ``w`` and resample ``b``."""
-    if scheme == "level":
-        lv = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        return B.level_weights(lv, [*keys, *columns], "_n", b, seed).drop("_n")
     return B.item_weights(df.select(*dict.fromkeys([*keys, *unit, *columns])), unit, b, seed)
 
 
 def mean_draws(
     df: DataFrame, keys: Sequence[str], value: str, unit: Sequence[str], b: int,
-    seed: str = "boot", scheme: str = "item",
+    seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """Bootstrap means ``(keys, b, stat)``."""
-    w = item_draws(df, keys, unit, [value], b, seed, scheme)
+    if scheme == "tree":
+        return tree.mean_draws(df, keys, value, b, seed)
+    w = item_draws(df, keys, unit, [value], b, seed)
     return w.groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("stat"))
 
 
+def moved(draws: DataFrame, est: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """Draws of bucketed statistics, moved by what bucketing changes in the estimate; ``names``: statistic -> its value on the buckets."""
+    j = attach(draws, est.select(*keys, *[F.col(n).alias(f"_e_{n}") for n in names]), keys)
+    return j.withColumns({n: F.col(n) + F.col(f"_e_{n}") - F.col(h) for n, h in names.items()}).drop(*[f"_e_{n}" for n in names], *names.values())
+
+
 def tail_share(value: str, threshold: float, side: str = "ge") -> Column:
     """Share of replicates at or beyond a threshold; null replicates count as no."""
     hit = F.col(value) >= threshold if side == "ge" else F.col(value) <= threshold
@@ -59,7 +62,7 @@ def tail_share(value: str, threshold: float, side: str = "ge") -> Column:
 
 def bootstrap_mean(
     df: DataFrame, keys: Sequence[str], value: str, unit: Sequence[str], b: int,
-    threshold: float = 0.0, side: str = "ge", level: float = 0.95, seed: str = "boot", scheme: str = "item",
+    threshold: float = 0.0, side: str = "ge", level: float = 0.95, seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """Mean, percentile interval and tail share at a threshold."""
     draws = mean_draws(df, keys, value, unit, b, seed, scheme)
@@ -72,11 +75,20 @@ def bootstrap_mean(
 
 def bootstrap_stat(
     df: DataFrame, keys: Sequence[str], metric: Metric, value: str, unit: Sequence[str], columns: Sequence[str],
-    b: int, seed: str = "boot", scheme: str = "item", level: float = 0.95,
+    b: int, seed: str = "boot", scheme: str = "tree", level: float = 0.95,
 ) -> DataFrame:
-    """Interval of any metric: ``metric(rows, keys, weight)`` run with ``b`` among its keys."""
-    draws = metric(item_draws(df, keys, unit, columns, b, seed, scheme), [*keys, "b"], "w")
+    """Interval of any metric: ``metric(rows, keys, weight)`` run with ``b`` among its keys.
+
+    The tree scheme takes a score and a flag as ``columns``.
+    """
     est = metric(df.withColumn("w", F.lit(1.0)), list(keys), "w").select(*keys, value)
+    if scheme == "tree":
+        table = tree.buckets(df, keys, *columns)
+        here = metric(tree.bucket_rows(table, keys, *columns), list(keys), "w").select(*keys, F.col(value).alias("_here"))
+        draws = metric(tree.weighted_draws(table, keys, *columns, b, seed), [*keys, "b"], "w")
+        draws = moved(attach(draws, here, keys), est, keys, {value: "_here"})
+    else:
+        draws = metric(item_draws(df, keys, unit, columns, b, seed), [*keys, "b"], "w")
     return attach(est, B.percentile_interval(draws, keys, value, level), keys)
 
 
@@ -98,12 +110,15 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
 
 def auroc_draws(
     df: DataFrame, keys: Sequence[str], score: str, positive: str, b: int, unit: Sequence[str] = (),
-    cluster: str | None = None, seed: str = "boot", scheme: str = "item",
+    cluster: str | None = None, seed: str = "boot", scheme: str = "tree", est: DataFrame | None = None,
 ) -> DataFrame:
     """AUROC per resample of items or whole clusters, from weighted score levels."""
+    if cluster is None and scheme == "tree":
+        est = R.auroc(df, keys, score, positive) if est is None else est
+        return moved(tree.auroc_draws(df, keys, score, positive, b, seed), est, keys, {"auroc": "of_buckets"})
     edges = score_edges(df, score, keys=keys)
     if cluster is None:
-        w = item_draws(df, keys, unit, [score, positive], b, seed, scheme)
+        w = item_draws(df, keys, unit, [score, positive], b, seed)
         lv = R.levels(w, [*keys, "b"], score, positive, "w")
     else:
         base = R.levels(df, [*keys, cluster], score, positive)
@@ -116,14 +131,14 @@ def auroc_draws(
 
 def auroc_interval(
     df: DataFrame, keys: Sequence[str], score: str, positive: str, b: int, unit: Sequence[str] = (),
-    cluster: str | None = None, threshold: float = 0.5, level: float = 0.95, seed: str = "boot", scheme: str = "item",
+    cluster: str | None = None, threshold: float = 0.5, level: float = 0.95, seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """AUROC, interval, counts and the share of replicates at or below a threshold."""
-    draws = auroc_draws(df, keys, score, positive, b, unit, cluster, seed, scheme)
+    est = R.auroc(df, keys, score, positive)
+    draws = auroc_draws(df, keys, score, positive, b, unit, cluster, seed, scheme, est)
     iv = draws.groupBy(*keys).agg(
         *B.interval(draws, keys, "auroc", level), tail_share("auroc", threshold, "le").alias("tail")
     )
-    est = R.auroc(df, keys, score, positive)
     return attach(est, iv, keys).withColumns(
         {"n": F.col("n").cast("long"), "n_positive": F.col("n_positive").cast("long")}
     )
@@ -137,48 +152,39 @@ def stack_scores(df: DataFrame, scores: Sequence[str], keep: Sequence[str]) -> D
 
 def detection_interval(
     df: DataFrame, keys: Sequence[str], score: str, positive: str, unit: Sequence[str], b: int,
-    seed: str = "boot", scheme: str = "item",
+    seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """AUROC and FPR at 95 % TPR with intervals; one-class resamples are skipped."""
     edges = score_edges(df, score, keys=keys)
-    w = item_draws(df, keys, unit, [score, positive], b, seed, scheme)
-    w = w.groupBy(*keys, "b", score, positive).agg(F.sum("w").alias("w"))
-    kb = [*keys, "b"]
-    a = R.auroc(w, kb, score, positive, "w", edges)
-    f = R.fpr_at_tpr(w, kb, score, positive, weight="w", edges=edges)
-    both = null_safe_join(a, f, kb).filter("auroc is not null")
-    iv = both.groupBy(*keys).agg(
-        *B.interval(both, keys, "auroc", out="auroc_"), *B.interval(both, keys, "fpr", out="fpr_")
-    )
     est = attach(
         R.auroc(df, keys, score, positive, edges=edges).select(*keys, "auroc"),
         R.fpr_at_tpr(df, keys, score, positive, edges=edges), keys,
     )
+    if scheme == "tree":
+        both = tree.detection_draws(df, keys, score, positive, b, seed=seed)
+        both = moved(both, est, keys, {"auroc": "auroc_buckets", "fpr": "fpr_buckets"})
+    else:
+        w = item_draws(df, keys, unit, [score, positive], b, seed)
+        w = w.groupBy(*keys, "b", score, positive).agg(F.sum("w").alias("w"))
+        kb = [*keys, "b"]
+        both = null_safe_join(R.auroc(w, kb, score, positive, "w", edges), R.fpr_at_tpr(w, kb, score, positive, weight="w", edges=edges), kb)
+    both = both.filter("auroc is not null")
+    iv = both.groupBy(*keys).agg(
+        *B.interval(both, keys, "auroc", out="auroc_"), *B.interval(both, keys, "fpr", out="fpr_")
+    )
     return attach(est, iv, keys)
 
 
 def paired_auroc_difference(
     df: DataFrame, keys: Sequence[str], a: str, c: str, positive: str, b: int, unit: Sequence[str] = (),
-    cluster: str | None = None, seed: str = "boot", scheme: str = "item",
+    cluster: str | None = None, seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """AUROC(a) - AUROC(c) on the same resamples, with 95 % and 90 % intervals.
 
-    Both scores ride on one set of weights: rows are weighted once, then stacked.
+    Both scores ride on one set of draws.
     """
     kb = [*keys, "b", "name"]
     edges = score_edges(stack_scores(df, [a, c], keys), "score", keys=keys)
-    if cluster is None:
-        w = item_draws(df, keys, unit, [a, c, positive], b, seed, scheme)
-        stacked = stack_scores(w, [a, c], [*keys, "b", positive, "w"])
-        d = R.auroc(stacked, kb, "score", positive, "w", edges)
-    else:
-        base = R.levels(stack_scores(df, [a, c], [*keys, cluster, positive]), [*keys, cluster, "name"], "score", positive)
-        w = B.cluster_weights(df, keys, cluster, b, seed)
-        lv = null_safe_join(base, w, [*keys, cluster]).groupBy(*kb, "score").agg(
-            F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg")
-        )
-        d = R.auroc_of_levels(lv, kb, edges)
-    est = R.auroc(stack_scores(df, [a, c], [*keys, positive]), [*keys, "name"], "score", positive, edges=edges)
 
     def minus(t: DataFrame, by: Sequence[str]) -> DataFrame:
         def one(s: str) -> Column:
@@ -186,15 +192,28 @@ def paired_auroc_difference(
 
         return t.groupBy(*by).agg((one(a) - one(c)).alias("diff"))
 
-    dd = minus(d, [*keys, "b"])
+    est = minus(R.auroc(stack_scores(df, [a, c], [*keys, positive]), [*keys, "name"], "score", positive, edges=edges), keys)
+    if cluster is not None:
+        base = R.levels(stack_scores(df, [a, c], [*keys, cluster, positive]), [*keys, cluster, "name"], "score", positive)
+        w = B.cluster_weights(df, keys, cluster, b, seed)
+        lv = null_safe_join(base, w, [*keys, cluster]).groupBy(*kb, "score").agg(
+            F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg")
+        )
+        dd = minus(R.auroc_of_levels(lv, kb, edges), [*keys, "b"])
+    elif scheme == "tree":
+        dd = moved(tree.paired_auroc_draws(df, keys, a, c, positive, b, seed), est, keys, {"diff": "of_buckets"})
+    else:
+        w = item_draws(df, keys, unit, [a, c, positive], b, seed)
+        stacked = stack_scores(w, [a, c], [*keys, "b", positive, "w"])
+        dd = minus(R.auroc(stacked, kb, "score", positive, "w", edges), [*keys, "b"])
     iv = dd.groupBy(*keys).agg(*B.interval(dd, keys, "diff", 0.95), *B.interval(dd, keys, "diff", 0.90, "r90_"),
                                tail_share("diff", 0.0, "le").alias("tail"))
-    return attach(minus(est, keys), iv, keys)
+    return attach(est, iv, keys)
 
 
 def mean_difference(
     df: DataFrame, keys: Sequence[str], value: str, group: str, unit: Sequence[str], b: int,
-    seed: str = "boot", scheme: str = "item",
+    seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """Mean of ``group`` = true minus false with independent resamples of both."""
     draws = mean_draws(df, [*keys, group], value, unit, b, seed, scheme)
@@ -213,7 +232,7 @@ def mean_difference(
 
 def equivalence(
     df: DataFrame, keys: Sequence[str], value: str, margin: float, unit: Sequence[str], b: int,
-    seed: str = "boot", scheme: str = "item",
+    seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """Bootstrap two one-sided check that a mean lies within a margin."""
     draws = mean_draws(df, keys, value, unit, b, seed, scheme)
@@ -227,14 +246,17 @@ def equivalence(
 
 def spearman_interval(
     df: DataFrame, keys: Sequence[str], x: str, y: str, unit: Sequence[str], b: int,
-    threshold: float = 0.0, seed: str = "boot", scheme: str = "item",
+    threshold: float = 0.0, seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """Rank correlation with a bootstrap interval."""
-    w = item_draws(df, keys, unit, [x, y], b, seed, scheme)
     edges = (score_edges(df, x, keys=keys), score_edges(df, y, keys=keys))
-    d = R.spearman(w, [*keys, "b"], x, y, "w", edges)
+    est = R.spearman(df, keys, x, y, edges=edges)
+    if scheme == "tree":
+        d = moved(tree.spearman_draws(df, keys, x, y, b, seed), est, keys, {"rho": "of_buckets"})
+    else:
+        d = R.spearman(item_draws(df, keys, unit, [x, y], b, seed), [*keys, "b"], x, y, "w", edges)
     iv = d.groupBy(*keys).agg(*B.interval(d, keys, "rho"), tail_share("rho", threshold, "le").alias("tail"))
-    return attach(R.spearman(df, keys, x, y, edges=edges), iv, keys)
+    return attach(est, iv, keys)
 
 
 def spearman_test(df: DataFrame, keys: Sequence[str], x: str, y: str, threshold: float = 0.0) -> DataFrame:
@@ -267,14 +289,12 @@ def t_tests(df: DataFrame, keys: Sequence[str], value: str, threshold: float, ma
 
 def sign_flip_test(
     df: DataFrame, keys: Sequence[str], diff: str, unit: Sequence[str], b: int, threshold: float = 0.0, seed: str = "flip",
-    scheme: str = "item",
+    scheme: str = "tree",
 ) -> DataFrame:
     """Paired sign-flip permutation test that the mean difference is below a threshold."""
     base = df.select(*keys, *unit, (F.col(diff) - threshold).alias("_d"))
-    if scheme == "level":
-        lv = base.filter(F.col("_d").isNotNull()).groupBy(*keys, "_d").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        signed = B.level_signs(lv, [*keys, "_d"], "_n", b, seed)
-        null = signed.groupBy(*keys, "b").agg((F.sum(F.col("s") * F.col("_d")) / F.sum("_n")).alias("_null"))
+    if scheme == "tree":
+        null = tree.flip_draws(base, keys, "_d", b, seed).withColumnRenamed("stat", "_null")
     else:
         null = B.signs(base, unit, b, seed).groupBy(*keys, "b").agg(F.avg(F.col("s") * F.col("_d")).alias("_null"))
     obs = base.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_d").alias("_obs"))
@@ -287,7 +307,7 @@ def sign_flip_test(
 
 def bca_bound(
     df: DataFrame, keys: Sequence[str], value: str, unit: Sequence[str], b: int, alpha: float = 0.05,
-    side: str = "upper", seed: str = "boot", scheme: str = "item",
+    side: str = "upper", seed: str = "boot", scheme: str = "tree",
 ) -> DataFrame:
     """One-sided BCa bound of a mean.
 
@@ -354,19 +374,17 @@ def within_value_permutation(
     return C.every_map_lower_bound(lv, [*keys, "b"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _hypergeometric(good: pd.Series, bad: pd.Series, draws: pd.Series, u: pd.Series) -> pd.Series:
-    rows = zip(good.astype("int64"), bad.astype("int64"), draws.astype("int64"), u, strict=True)
-    return pd.Series([float(hypergeometric_inverse(*row)) for row in rows])
+def _permuted_bound(t: dict[str, np.ndarray], draws: int, rng: np.random.Generator) -> list[np.ndarray]:
+    n0, n1, right = t["n_pre"], t["n_post"], t["k_pre"] + t["k_post"]
+    k1 = tree.without_replacement(right.astype(np.int64), (n0 + n1 - right).astype(np.int64), np.tile(n1.astype(np.int64), (draws, 1)), rng)
+    gap = np.abs((right - k1) / np.maximum(n0, 1) - k1 / np.maximum(n1, 1))
+    return [(np.minimum(n0, n1) * gap).sum(axis=1) / (n0 + n1).sum()]
 
 
 def within_value_permutation_levels(levels: DataFrame, keys: Sequence[str], perms: int, seed: str = "perm") -> DataFrame:
     """The same null from the level table: correct answers per period are hypergeometric."""
-    t = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    k, n = F.col("k_pre") + F.col("k_post"), F.col("n_pre") + F.col("n_post")
-    t = t.withColumn("_kp", _hypergeometric(k, n - k, F.col("n_post"), uniform(seed, *keys, "v", "b")))
-    t = t.withColumns({"k_pre": k - F.col("_kp"), "k_post": F.col("_kp")}).drop("_kp")
-    return C.every_map_lower_bound(t, [*keys, "b"])
+    fields = ("v", "n_pre", "k_pre", "n_post", "k_post")
+    return tree.draw(levels, keys, perms, seed, _permuted_bound, "lower_bound double", fields)
 
 
 def random_months_null(
@@ -402,24 +420,39 @@ def random_months(df: DataFrame, perms: int, post: str, month: str, seed: str =
 # --- smooth calibration error intervals ------------------------------------------
 
 
+def _smece_stat(half: bool) -> tree.Stat:
+    def stat(t: dict[str, np.ndarray], draws: int, rng: np.random.Generator) -> list[np.ndarray]:
+        n = int(t["n0"].sum() + t["n1"].sum())
+        size = n // 2 if half else n
+        zero, one = tree.drawn_sides(t, draws, rng, size, not half)
+        residual = np.zeros((draws, C.SMOOTH_GRID))
+        residual[:, t["x"].astype(int)] = (one * (1 - t["m1"]) - zero * t["m0"]) / max(size, 1)
+        return [C.smooth_eces(residual), np.full(draws, float(size))]
+
+    return stat
+
+
 def smece_draws(
     df: DataFrame, keys: Sequence[str], confidence: str, correct: str, b: int, unit: Sequence[str] = (),
-    subsample: bool = False, seed: str = "smece", scheme: str = "level",
+    subsample: bool = False, seed: str = "smece", scheme: str = "tree",
 ) -> DataFrame:
-    """Smooth ECE per resample; a half-sample draws ``n // 2`` without replacement."""
-    if subsample and scheme == "level":
-        lv = df.groupBy(*keys, confidence, correct).agg(F.count(F.lit(1)).alias("_n"))
-        w = B.half_levels(lv, keys, [confidence, correct], "_n", b, seed).filter("w > 0")
-    elif subsample:
+    """Smooth ECE per resample; a half-sample draws ``n // 2`` without replacement.
+
+    The tree scheme draws the cells of the calibration grid and solves a block of draws as one matrix.
+    """
+    if scheme == "tree":
+        cells = C.grid_sides(df, keys, confidence, correct)
+        return tree.draw(cells, keys, b, f"{seed} half" if subsample else seed, _smece_stat(subsample), "smece double, n double", ("x", "n0", "m0", "n1", "m1"))
+    if subsample:
         w = B.half_sample(df.select(*keys, *unit, confidence, correct), keys, unit, b, seed).withColumn("w", F.lit(1.0))
     else:
-        w = item_draws(df, keys, unit, [confidence, correct], b, seed, scheme)
+        w = item_draws(df, keys, unit, [confidence, correct], b, seed)
     return C.smece(w, [*keys, "b"], confidence, correct, "w")
 
 
 def smece_interval(
     df: DataFrame, keys: Sequence[str], confidence: str, correct: str, b: int, unit: Sequence[str] = (),
-    threshold: float = 0.05, seed: str = "smece", scheme: str = "level",
+    threshold: float = 0.05, seed: str = "smece", scheme: str = "tree",
 ) -> DataFrame:
     """Smooth ECE with a bias-recentred interval; every group uses all ``b`` resamples."""
     est = C.smece(df, keys, confidence, correct).withColumnRenamed("smece", "est")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credalis.functions.text import normalise_answer
 from credalis.operators.ranking import spearman, top_k
+from credalis.session import checkpointed
 
 
 def align_by_unit(items: DataFrame, first: DataFrame, on: str = "unit") -> DataFrame:
@@ -94,6 +97,132 @@ def differing_examples(left: DataFrame, right: DataFrame, key: str, fields: Sequ
 
 GOLD_TILE, POOL_BLOCK = 4096, 8192
 """Rows of one tile of the similarity matrix: the memory bound of a task."""
+BALLS = 1024
+"""Largest number of balls; their centres are held by every task."""
+BALL_ROWS = 256
+"""Pool answers of a ball, on average, in a smaller pool."""
+LLOYD = 2
+"""Times that centres move to the mean of their ball."""
+PROBE = 4
+"""Golds first look into the balls with the best bounds until these hold ``PROBE * k`` answers."""
+WORTH = 0.5
+"""Share of all pairs up to which balls are searched; beyond it every tile is."""
+SLACK = 1e-9
+"""Part of the norms that a bound gives way, as products round differently in tiles of other shapes."""
+
+
+@dataclass(frozen=True)
+class Balls:
+    """Centres, radii and sizes of the balls that hold the pool."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """Upper bound on the dot product of each vector with any member of each ball."""
+        length = np.linalg.norm(vectors, axis=1)[:, None]
+        at = vectors @ self.centres.T
+        return at + length * self.radius + SLACK * length * (np.linalg.norm(self.centres, axis=1) + self.radius + 1)
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column])
+
+
+def _nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, distance to it) of each vector."""
+    ball = ((centres**2).sum(axis=1) - 2 * vectors @ centres.T).argmin(axis=1)
+    return ball, np.linalg.norm(vectors - centres[ball], axis=1)
+
+
+def _in_balls(names: DataFrame, n: int) -> tuple[DataFrame, Balls]:
+    """The pool with its ball, and the balls: centres start at vectors drawn by hash and move to means."""
+    spark = names.sparkSession
+    count = int(min(BALLS, max(1, n // BALL_ROWS)))
+    start = names.orderBy(F.xxhash64("pname"), "pname").limit(count).select("pvec").toPandas()  # at most BALLS vectors
+    centres = _vectors(start["pvec"])
+    schema = T.StructType([*names.schema.fields, T.StructField("ball", T.IntegerType()), T.StructField("_far", T.DoubleType())])
+    for turn in range(LLOYD + 1):
+        held = spark.sparkContext.broadcast(centres)
+
+        def assign(parts, held=held):
+            for pdf in parts:
+                if len(pdf):
+                    ball, far = _nearest_centre(_vectors(pdf["pvec"]), held.value)
+                    yield pdf.assign(ball=ball, _far=far)
+
+        placed = names.mapInPandas(assign, schema)
+        if turn < LLOYD:
+            mean = placed.select("ball", F.posexplode("pvec").alias("d", "x")).groupBy("ball", "d").agg(F.avg("x").alias("x"))
+            for r in mean.groupBy("ball").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m")).select("ball", "m.x").collect():
+                centres[r["ball"]] = r["x"]
+    placed = checkpointed(placed)
+    radius, size = np.zeros(count), np.zeros(count, int)
+    for r in placed.groupBy("ball").agg(F.max("_far").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["ball"]], size[r["ball"]] = r["r"], r["n"]
+    return placed.drop("_far"), Balls(centres, radius, size)
+
+
+def _first_balls(balls: Balls, want: int):
+    """Balls by falling bound until they hold ``want`` answers."""
+
+    def run(parts):
+        for pdf in parts:
+            if len(pdf):
+                bound = balls.bounds(_vectors(pdf["gvec"]))
+                order = np.argsort(-bound, axis=1, kind="stable")
+                held = balls.size[order].cumsum(axis=1)
+                yield pdf.assign(balls=[o[: int(np.searchsorted(h, want)) + 1].tolist() for o, h in zip(order, held, strict=True)])
+
+    return run
+
+
+def _other_balls(balls: Balls):
+    """Balls not yet searched whose bound reaches the similarity ``least`` found so far."""
+
+    def run(parts):
+        for pdf in parts:
+            if len(pdf):
+                reach = balls.bounds(_vectors(pdf["gvec"])) >= pdf["least"].to_numpy(float)[:, None]
+                reach[:, balls.size == 0] = False
+                for row, seen in zip(reach, pdf["balls"], strict=True):
+                    row[list(seen)] = False
+                yield pdf.drop(columns="least").assign(balls=[np.flatnonzero(r).tolist() for r in reach])
+
+    return run
+
+
+def _tile_winners(golds: DataFrame, pool: DataFrame, on: Sequence[str], k: int, max_sim: float, candidates: int | None) -> DataFrame:
+    """Best ``k`` distinct allowed names of each gold in each tile."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            pm = _vectors(right["pvec"])
+            pnames, pnorms = right["pname"].to_numpy(), right["pnorm"].to_numpy()
+            for start in range(0, len(left), 256):
+                part = left.iloc[start : start + 256]
+                for row, gid, ban in zip(_vectors(part["gvec"]) @ pm.T, part["id"], part["banned"], strict=True):
+                    out += _pick(row, gid, list(ban), pnames, pnorms, k, max_sim, candidates)
+        return pd.DataFrame(out, columns=["id", "pname", "pnorm", "sim"])
+
+    return golds.groupBy(*on).cogroup(pool.groupBy(*on)).applyInPandas(best, "id string, pname string, pnorm string, sim double")
+
+
+def _search(golds: DataFrame, pool: DataFrame, balls: Balls, tiles: int, k: int, max_sim: float) -> DataFrame:
+    """Winners among the balls that each gold lists; large balls and many golds meet in tiles."""
+    parts = F.element_at(F.array(*[F.lit(int(max(1, -(-s // POOL_BLOCK)))) for s in balls.size]), F.col("ball") + 1)
+    g = golds.select("id", "banned", "gvec", F.explode("balls").alias("ball"))
+    g = g.withColumns({"tile": F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
+    p = pool.withColumns({"part": F.pmod(F.xxhash64("pname"), parts).cast("int"), "tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+    return _tile_winners(g, p, ["ball", "part", "tile"], k, max_sim, None)
+
+
+def _merged(winners: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` names of each gold over its tiles."""
+    merged = winners.groupBy("id", "pnorm").agg(F.max(F.struct("sim", "pname")).alias("_b")).select("id", "pnorm", "_b.sim", "_b.pname")
+    return top_k(merged, ["id"], [F.col("sim").desc(), F.col("pname")], k)
 
 
 def nearest_distractors(
@@ -108,44 +237,64 @@ def nearest_distractors(
 
     A gold with fewer than ``k`` such answers has null distractors.
 
-    The similarity matrix is cut into tiles of bounded size. A tile keeps its best
-    ``k`` distinct names per gold; a name in the overall best ``k`` is always in
-    its own tile's best ``k``, so merging the winners is exact and no gold-pool
-    pairs are shuffled. ``candidates`` restricts each tile to its nearest ones.
+    The pool lies in balls around a bounded number of centres. A gold first searches the balls
+    with the highest bounds on its similarity; the ``k``-th allowed answer found there rules out
+    every ball whose bound is lower, and the rest is searched once. That is exact, as bounds
+    hold for every member. Where bounds rule out little, all tiles of the similarity matrix
+    are searched instead, each keeping its best ``k`` names per gold. ``candidates`` restricts
+    each of those tiles to its nearest ones.
     """
+    return _nearest(golds, pool, k, max_sim, candidates)[0]
+
+
+def nearest_pairs(golds: DataFrame, pool: DataFrame, k: int = 3, max_sim: float = 0.92) -> DataFrame:
+    """One row: golds, pool answers, and the pairs whose similarity is computed."""
+    _, n_golds, n_pool, pairs = _nearest(golds, pool, k, max_sim, None)
+    return golds.sparkSession.createDataFrame([(n_golds, n_pool, pairs)], "golds long, pool long, pairs long")
+
+
+def _nearest(golds: DataFrame, pool: DataFrame, k: int, max_sim: float, candidates: int | None) -> tuple[DataFrame, int, int, int]:
     names = pool.filter(normalise_answer("name") != "").dropDuplicates(["name"]).select(
         F.col("name").alias("pname"), normalise_answer("name").alias("pnorm"), F.col("vector").alias("pvec")
     )
-    tiles = max(1, -(-golds.count() // GOLD_TILE))
-    blocks = max(1, -(-pool.count() // POOL_BLOCK))
     banned = F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), normalise_answer))
-    g = golds.select("id", banned.alias("banned"), F.col("vector").alias("gvec"))
-    g = g.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    g = g.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = names.withColumn("block", F.pmod(F.xxhash64("pname"), F.lit(blocks)).cast("int"))
-    p = p.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            pm = np.stack([np.asarray(v, float) for v in right["pvec"]])
-            pnames, pnorms = right["pname"].to_numpy(), right["pnorm"].to_numpy()
-            for start in range(0, len(left), 256):
-                part = left.iloc[start : start + 256]
-                sims = np.stack([np.asarray(v, float) for v in part["gvec"]]) @ pm.T
-                for row, gid, ban in zip(sims, part["id"], part["banned"], strict=True):
-                    out += _pick(row, gid, list(ban), pnames, pnorms, k, max_sim, candidates)
-        return pd.DataFrame(out, columns=["id", "pname", "pnorm", "sim"])
-
-    schema = "id string, pname string, pnorm string, sim double"
-    local = g.groupBy("tile", "block").cogroup(p.groupBy("tile", "block")).applyInPandas(best, schema)
-    best_name = F.max(F.struct("sim", "pname"))
-    merged = local.groupBy("id", "pnorm").agg(best_name.alias("_b")).select("id", "_b.sim", "_b.pname")
-    top = top_k(merged, ["id"], [F.col("sim").desc(), F.col("pname")], k)
+    g = golds.select(F.col("id").cast("string").alias("id"), banned.alias("banned"), F.col("vector").alias("gvec"))
+    n_golds, n_pool = golds.count(), names.count()
+    tiles, pairs = max(1, -(-n_golds // GOLD_TILE)), n_golds * n_pool
+    winners = None
+    if candidates is None and n_pool >= 2 * BALL_ROWS and n_golds:
+        found, spent = _by_balls(g, names, n_pool, tiles, k, max_sim, WORTH * pairs)
+        if found is not None:
+            winners, pairs = found, spent
+    if winners is None:
+        blocks = max(1, -(-n_pool // POOL_BLOCK))
+        dealt = g.withColumns({"tile": F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        p = names.withColumns({"block": F.pmod(F.xxhash64("pname"), F.lit(blocks)).cast("int"), "tile": F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))})
+        winners = _tile_winners(dealt, p, ["tile", "block"], k, max_sim, candidates)
     item = F.struct((-F.col("sim")).alias("s"), "pname")
-    out = top.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    out = _merged(winners, k).groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_p"))
     enough = out.filter(F.size("_p") == k).select("id", F.transform("_p", lambda x: x["pname"]).alias("distractors"))
-    return golds.select(F.col("id").cast("string").alias("id")).join(enough, "id", "left")
+    return golds.select(F.col("id").cast("string").alias("id")).join(enough, "id", "left"), n_golds, n_pool, pairs
+
+
+def _by_balls(g: DataFrame, names: DataFrame, n_pool: int, tiles: int, k: int, max_sim: float, most: float) -> tuple[DataFrame | None, int]:
+    """(winners, pairs computed), or None when more than ``most`` pairs would be."""
+    pool, balls = _in_balls(names, n_pool)
+    sizes = F.array(*[F.lit(int(s)) for s in balls.size])
+    spent = F.sum(F.aggregate("balls", F.lit(0).cast("long"), lambda a, b: a + F.element_at(sizes, b + 1)))
+    schema = T.StructType([*g.schema.fields, T.StructField("balls", T.ArrayType(T.IntegerType()))])
+    first = checkpointed(g.mapInPandas(_first_balls(balls, PROBE * k), schema))
+    pairs = first.agg(spent).first()[0]
+    if pairs > most:
+        return None, pairs
+    probe = checkpointed(_search(first, pool, balls, tiles, k, max_sim))
+    least = _merged(probe, k).groupBy("id").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
+    left = first.join(least.select("id", "least"), "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest = checkpointed(left.mapInPandas(_other_balls(balls), schema))
+    pairs += rest.agg(spent).first()[0]
+    if pairs > most:
+        return None, pairs
+    return probe.unionByName(_search(rest, pool, balls, tiles, k, max_sim)), pairs
 
 
 def _pick(row, gid, banned, names, norms, k, max_sim, candidates) -> list[tuple]:

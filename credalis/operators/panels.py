@@ -1,13 +1,20 @@
-"""Many small fits at once: each panel is a level table solved in its own group.
+"""Fits on level tables: one row per panel and distinct score value, never rows of data.
 
-A panel holds one row per distinct (rounded) score value, never rows of data. The
-number of values is bounded by the rounding; a panel above ``MAX_LEVELS`` is
-refused rather than cut, as the exact solvers need every level.
+A panel of up to ``BLOCK`` values is solved in its own group. A larger one is cut into blocks
+of neighbouring values that many tasks work on:
+
+* the best grouping into intervals is a shortest path over the gaps between values. Costs of
+  the best paths to one block's gaps, combined with the costs of all groups from there to
+  another block's gaps, are a min-plus product of a vector and a matrix. A finished block is
+  multiplied into all later blocks at the same time, and the next one is finished in a task;
+* isotonic fits pool neighbours inside each block first; only the pooled parts of all blocks
+  meet, and pools are never cut again, so each value finds its mean by the part it is in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,17 +25,16 @@ from pyspark.sql import types as T
 from credalis.functions.seeded import key_hash
 from credalis.operators import calibration as C
 from credalis.operators import inference as I
+from credalis.operators.prefix import attach, null_safe_join, running_sums
+from credalis.session import checkpointed
 
-MAX_LEVELS = 20_000
+BLOCK = 4096
+"""Values of a panel that one task takes."""
+TILE = 512
+"""Side of the matrices that a product is made of."""
 COUNTS = ("n_pre", "k_pre", "n_post", "k_post")
 
 
-def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) > MAX_LEVELS:
-        raise ValueError(f"{len(pdf)} score values in one panel; round the score to fewer digits")
-    return pdf.sort_values("v")
-
-
 def pool_adjacent(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Isotonic least squares of values in order."""
     means: list[float] = []
@@ -55,52 +61,232 @@ def isotonic_predict(v: np.ndarray, n: np.ndarray, k: np.ndarray, at: np.ndarray
     return np.interp(at, v[has], pool_adjacent(k[has] / n[has], n[has]))
 
 
-def _period_error(n: np.ndarray) -> np.ndarray:
-    """Error of groups with columns ``n_pre, k_pre, n_post, k_post``: the smaller period's size times the gap of the accuracies."""
-    small = np.minimum(n[:, 0], n[:, 2])
-    both = small > 0
-    out = np.zeros(len(n))
-    out[both] = small[both] * np.abs(n[both, 1] / n[both, 0] - n[both, 3] / n[both, 2])
-    return out
+def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:
+    fields = [f for f in df.schema.fields if f.name in keys]
+    return T.StructType([*fields, *T.StructType.fromDDL(extra).fields])
+
+
+def _split(levels: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Panels that fit one task, and the others (None when there are none)."""
+    sizes = checkpointed(levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
+    if (sizes.agg(F.max("_size")).first()[0] or 0) <= BLOCK:
+        return levels, None
+    j = attach(levels, sizes, keys)
+    return j.where(F.col("_size") <= BLOCK).drop("_size"), j.where(F.col("_size") > BLOCK).drop("_size")
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]):
+    """``df`` grouped by the keys; without keys, as one group."""
+    return df.groupBy(*keys) if keys else df.withColumn("_all", F.lit(0)).groupBy("_all")
 
 
-def cheapest_grouping(counts: np.ndarray) -> tuple[float, np.ndarray]:
-    """Least total error over all contiguous groupings of the levels, and the group of each level.
+# --- the cheapest partition into intervals -----------------------------------------
 
-    Solved from the last level backwards: what the levels from ``i`` on cost at least, and
-    where the group that begins at ``i`` ends.
+
+def group_errors(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Error of the groups between all pairs of gaps, from running sums of ``n_pre, k_pre, n_post, k_post``.
+
+    The smaller period's size times the gap of the accuracies is a difference of products over the larger size.
     """
-    totals = np.concatenate([np.zeros((1, 4)), counts.cumsum(axis=0)])
-    rest = np.zeros(len(counts) + 1)
-    follow = np.zeros(len(counts), int)
-    for i in reversed(range(len(counts))):
-        choices = _period_error(totals[i + 1 :] - totals[i]) + rest[i + 1 :]
-        follow[i] = i + 1 + choices.argmin()
-        rest[i] = choices.min()
-    heads = [0]
-    while follow[heads[-1]] < len(counts):
-        heads.append(int(follow[heads[-1]]))
-    return float(rest[0]), np.searchsorted(heads, np.arange(len(counts)), side="right") - 1
+    n0, k0, n1, k1 = (end[None, :, c] - begin[:, None, c] for c in range(4))
+    return np.abs(k0 * n1 - k1 * n0) / np.maximum(np.maximum(n0, n1), 1)
+
+
+def multiply_in(sums: np.ndarray, cost: np.ndarray, first: int, to: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+    """Min-plus product of ``cost`` at the gaps ``sums`` with the errors to the gaps ``to``: ``best`` and ``back`` improve in place."""
+    for i in range(0, len(sums), TILE):
+        for j in range(0, len(to), TILE):
+            total = group_errors(sums[i : i + TILE], to[j : j + TILE]) + cost[i : i + TILE, None]
+            least = total.argmin(axis=0)
+            value = total[least, np.arange(total.shape[1])]
+            better = value < best[j : j + TILE]
+            best[j : j + TILE] = np.where(better, value, best[j : j + TILE])
+            back[j : j + TILE] = np.where(better, first + i + least, back[j : j + TILE])
+
+
+def finish(sums: np.ndarray, best: np.ndarray, back: np.ndarray, first: int) -> None:
+    """Settle a block that all earlier ones are multiplied into: halves, the former multiplied into the latter."""
+    n = len(sums)
+    if n == 1:
+        return
+    half = n // 2
+    finish(sums[:half], best[:half], back[:half], first)
+    multiply_in(sums[:half], best[:half], first, sums[half:], best[half:], back[half:])
+    finish(sums[half:], best[half:], back[half:], first + half)
+
+
+def group_numbers(back: np.ndarray) -> np.ndarray:
+    """Group of each value, from the gap before the group that ends at each gap."""
+    starts = np.zeros(len(back) - 1, int)
+    gap = len(back) - 1
+    while gap:
+        gap = back[gap]
+        starts[gap] = 1
+    return np.cumsum(starts) - 1
+
+
+def cheapest_intervals(counts: np.ndarray) -> tuple[float, np.ndarray]:
+    """Least total error over all groupings into intervals, and the group of each value."""
+    sums = np.concatenate([np.zeros((1, 4)), counts.cumsum(axis=0)])
+    best, back = np.full(len(sums), np.inf), np.zeros(len(sums), int)
+    best[0] = 0
+    finish(sums, best, back, 0)
+    return float(best[-1]), group_numbers(back)
+
+
+GAPS = "_block int, _first long, sums array<double>, best array<double>, back array<long>, v array<double>"
+
+
+def _gap_blocks(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Gaps before each value, and after the last, as one row of arrays a block."""
+    end = levels.groupBy(*keys).agg(F.lit(float("inf")).alias("v"), *[F.lit(0.0).alias(c) for c in COUNTS])
+    rows = running_sums(levels.unionByName(end).withColumn("one", F.lit(1.0)), keys, ["v"], [*COUNTS, "one"])
+    place = F.col("before_one").cast("long")
+    rows = rows.withColumns({"_block": F.floor(place / BLOCK).cast("int"), "_first": place})
+    packed = F.array_sort(F.collect_list(F.struct("_first", F.array(*[F.col(f"before_{c}") for c in COUNTS]).alias("s"), "v")))
+    out = rows.groupBy(*keys, "_block").agg(F.min("_first").alias("_first"), packed.alias("p"))
+    start = F.transform("p.v", lambda _, k: F.when((F.col("_first") == 0) & (k == 0), 0.0).otherwise(float("inf")))
+    return out.select(
+        *keys, "_block", "_first", F.flatten("p.s").alias("sums"), start.alias("best"), F.transform("p.v", lambda _: F.lit(0).cast("long")).alias("back"), F.col("p.v").alias("v")
+    )
 
 
-def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name in keys]
-    return T.StructType([*fields, *T.StructType.fromDDL(extra).fields])
+def _advance(keys: Sequence[str], done: int):
+    """Multiply the finished block ``done`` into a later one, and finish the one right after it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        own = pdf.iloc[-1]
+        sums, best, back = np.array(own["sums"]).reshape(-1, 4), np.array(own["best"]), np.array(own["back"])
+        if done >= 0:
+            src = pdf.iloc[0]
+            multiply_in(np.array(src["sums"]).reshape(-1, 4), np.array(src["best"]), int(src["_first"]), sums, best, back)
+        if own["_block"] == done + 1:
+            finish(sums, best, back, int(own["_first"]))
+        out = pdf.iloc[[-1]].drop(columns="_to").copy()
+        out["best"], out["back"] = [best], [back]
+        return out
+
+    return run
+
+
+def _large_partition(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partitions of panels that are larger than a block."""
+    open_ = checkpointed(_gap_blocks(levels, keys))
+    schema, cores = open_.schema, levels.sparkSession.sparkContext.defaultParallelism
+    last = open_.agg(F.max("_block")).first()[0]
+    finished = []
+    source: DataFrame | None = None
+    for done in range(-1, last):
+        pairs = open_.withColumn("_to", F.col("_block"))
+        if source is not None:
+            ends = open_.groupBy(*keys).agg(F.max("_block").alias("_end"))
+            copies = attach(source, ends, keys).withColumn("_to", F.explode(F.sequence(F.lit(done + 1), F.col("_end")))).drop("_end")
+            pairs = pairs.unionByName(copies)
+        dealt = pairs.repartition(4 * cores, *keys, "_to")  # one block a group; a given number is not merged
+        open_ = checkpointed(dealt.groupBy(*keys, "_to").applyInPandas(_advance(keys, done), schema))
+        source = open_.where(F.col("_block") == done + 1)
+        finished.append(source)
+        open_ = open_.where(F.col("_block") > done + 1)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        group = group_numbers(np.concatenate(pdf["back"].to_list()))
+        v, sums = np.concatenate(pdf["v"].to_list())[:-1], pdf["sums"].iloc[-1][-4:]
+        row = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame({**row, "v": v, "grp": group, "bound": pdf["best"].iloc[-1][-1] / (sums[0] + sums[2]), "groups": group[-1] + 1})
+
+    whole = reduce(DataFrame.unionByName, finished)
+    return _grouped(whole, keys).applyInPandas(solve, _schema(levels, keys, "v double, grp long, bound double, groups long"))
 
 
 def interval_partition(levels: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:
     """Group of every level and the partition's mean cost, per panel."""
-    names = [f"{prefix}{c}" for c in COUNTS]
+    keys = list(keys)
+    levels = checkpointed(levels.select(*keys, F.col("v").cast("double").alias("v"), *[F.col(f"{prefix}{c}").cast("double").alias(c) for c in COUNTS]))
+    small, large = _split(levels, keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
-        counts = pdf[names].to_numpy(float)
-        cost, group = cheapest_grouping(counts)
+        pdf = pdf.sort_values("v")
+        counts = pdf[list(COUNTS)].to_numpy(float)
+        cost, group = cheapest_intervals(counts)
         total = counts[:, 0].sum() + counts[:, 2].sum()
         return pdf[[*keys, "v"]].assign(grp=group, bound=cost / total, groups=int(group.max()) + 1)
 
-    schema = _schema(levels, keys, "v double, grp long, bound double, groups long")
-    return levels.groupBy(*keys).applyInPandas(solve, schema)
+    out = _grouped(small, keys).applyInPandas(solve, _schema(levels, keys, "v double, grp long, bound double, groups long"))
+    return out if large is None else out.unionByName(_large_partition(large, keys))
+
+
+# --- isotonic maps -------------------------------------------------------------------
+
+
+def _fit_large(levels: DataFrame, keys: Sequence[str], n: str, k: str, out: str) -> DataFrame:
+    """Add the isotonic fit of ``k / n`` at each value of panels that are larger than a block."""
+    place = running_sums(levels.withColumn("_one", F.lit(1.0)), keys, ["v"], ["_one"])
+    rows = checkpointed(place.withColumn("_block", F.floor(F.col("before__one") / BLOCK).cast("int")).drop("_one", "before__one"))
+    fields = ", ".join(f"{c} double" for c in ("_rows", "_right", "low", "high"))
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf[n] > 0].sort_values("v")
+        row = {c: pdf[c].iloc[0] for c in [*keys, "_block"]}
+        if not len(own):
+            return pd.DataFrame()
+        mean = pool_adjacent((own[k] / own[n]).to_numpy(), own[n].to_numpy(float))
+        part = np.cumsum(np.append(0, np.diff(mean) != 0))
+        g = own.assign(part=part).groupby("part").agg(_rows=(n, "sum"), _right=(k, "sum"), low=("v", "min"), high=("v", "max"))
+        return g.reset_index().assign(**row)
+
+    parts = rows.groupBy(*keys, "_block").applyInPandas(pool, _schema(rows, [*keys, "_block"], f"part long, {fields}"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("low")
+        mean = pool_adjacent((pdf["_right"] / pdf["_rows"]).to_numpy(), pdf["_rows"].to_numpy(float))
+        return pdf[[*keys, "_block", "low", "high"]].assign(mean=mean)
+
+    fitted = checkpointed(_grouped(parts, keys).applyInPandas(merge, _schema(rows, [*keys, "_block"], "low double, high double, mean double")))
+    # a block also needs the nearest parts before and after it
+    blocks = rows.select(*keys, "_block").distinct()
+    ends = fitted.groupBy(*keys, "_block").agg(
+        F.min_by(F.struct("low", "high", "mean"), "low").alias("_a"), F.max_by(F.struct("low", "high", "mean"), "low").alias("_z")
+    )
+    w = Window.partitionBy(*keys).orderBy("_block")
+    near = null_safe_join(blocks, ends, [*keys, "_block"], "left").withColumns({
+        "_before": F.last("_z", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.first("_a", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    }).select(*keys, "_block", F.explode(F.array("_before", "_after")).alias("p"))
+    knots = fitted.unionByName(near.where("p is not null").select(*keys, "_block", "p.low", "p.high", "p.mean"))
+    both = rows.withColumns({c: F.lit(None).cast("double") for c in ("low", "high", "mean")}).unionByName(knots, allowMissingColumns=True)
+    columns = levels.columns
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, knot = pdf[pdf["mean"].isna()], pdf[pdf["mean"].notna()].sort_values("low")
+        at, mean = knot[["low", "high"]].to_numpy().ravel(), np.repeat(knot["mean"].to_numpy(), 2)
+        v = own["v"].to_numpy(float)
+        return own[columns].assign(**{out: np.interp(v, at, mean) if len(at) else np.full(len(v), np.nan)})
+
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in columns], T.StructField(out, T.DoubleType())])
+    return both.groupBy(*keys, "_block").applyInPandas(predict, schema)
+
+
+def isotonic_fits(levels: DataFrame, keys: Sequence[str], fits: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add, for each name, the isotonic fit of ``k / n`` at every value of a panel; null where a panel has no rows to fit."""
+    keys = list(keys)
+    levels = checkpointed(levels.withColumn("v", F.col("v").cast("double")))
+    small, large = _split(levels, keys)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        v = pdf["v"].to_numpy(float)
+        found = {name: isotonic_predict(v, pdf[n].to_numpy(float), pdf[k].to_numpy(float), v) for name, (n, k) in fits.items()}
+        return pdf.assign(**found)[schema.names]
+
+    schema = T.StructType([*levels.schema.fields, *[T.StructField(c, T.DoubleType()) for c in fits]])
+    found = _grouped(small, keys).applyInPandas(solve, schema)
+    if large is not None:
+        for name, (n, k) in fits.items():
+            large = _fit_large(large, keys, n, k, name)
+        found = found.unionByName(large)
+    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fits})
 
 
 def month_level_counts(df: DataFrame, confidence: str = "p_max", correct: str = "correct", post: str = "post", month: str = "month") -> DataFrame:
@@ -134,24 +320,15 @@ def half_month_panels(counts: DataFrame, splits: int, seed: str = "cross", month
 def cross_fitted_maps(panels: DataFrame) -> DataFrame:
     """Held-out gaps per panel of a common map and of a map that knows the period."""
     keys = ["split_no", "direction"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
-        v = pdf["v"].to_numpy(float)
-        f = {c: pdf[f"f_{c}"].to_numpy(float) for c in COUNTS}
-        h = {c: pdf[f"h_{c}"].to_numpy(float) for c in COUNTS}
-        n, k = f["n_pre"] + f["n_post"], f["k_pre"] + f["k_post"]
-        pooled = np.where(n > 0, k / np.maximum(n, 1), isotonic_predict(v, n, k, v))
-        row = {c: pdf[c].iloc[0] for c in keys}
-        for s in ("pre", "post"):
-            aware = isotonic_predict(v, f[f"n_{s}"], f[f"k_{s}"], v)
-            size = h[f"n_{s}"].sum()
-            for name, pred in (("common", pooled), ("aware", aware)):
-                row[f"{name}_{s}"] = (h[f"n_{s}"] * pred).sum() / size - h[f"k_{s}"].sum() / size if size else np.nan
-        return pd.DataFrame([row])
-
-    schema = _schema(panels, keys, "common_pre double, aware_pre double, common_post double, aware_post double")
-    return panels.groupBy(*keys).applyInPandas(solve, schema)
+    both = panels.withColumns({"_n": F.col("f_n_pre") + F.col("f_n_post"), "_k": F.col("f_k_pre") + F.col("f_k_post")})
+    t = isotonic_fits(both, keys, {"common": ("_n", "_k"), "aware_pre": ("f_n_pre", "f_k_pre"), "aware_post": ("f_n_post", "f_k_post")})
+    t = t.withColumn("common", F.when(F.col("_n") > 0, F.col("_k") / F.col("_n")).otherwise(F.col("common")))
+    gaps = []
+    for s in ("pre", "post"):
+        n, k = F.sum(f"h_n_{s}"), F.sum(f"h_k_{s}")
+        for name, pred in (("common", "common"), ("aware", f"aware_{s}")):
+            gaps.append(F.when(n > 0, (F.sum(F.col(f"h_n_{s}") * F.col(pred)) - k) / n).alias(f"{name}_{s}"))
+    return t.groupBy(*keys).agg(*gaps)
 
 
 def gap_summary(gaps: DataFrame) -> DataFrame:
@@ -216,13 +393,8 @@ def forward_chaining(df: DataFrame, min_train: int = 12) -> DataFrame:
         *[F.sum(F.when(m, F.col(c)).otherwise(0.0)).alias(f"{p}{c}") for p, m in (("f_", train), ("h_", now)) for c in ("n", "k")]
     )
     keys = ["kind", "t", "late"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
-        v, hn = pdf["v"].to_numpy(float), pdf["h_n"].to_numpy(float)
-        pred = isotonic_predict(v, pdf["f_n"].to_numpy(float), pdf["f_k"].to_numpy(float), v)
-        acc = pdf["h_k"].sum() / hn.sum()
-        row = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame([{**row, "gap": (hn * pred).sum() / hn.sum() - acc, "raw_gap": (hn * v).sum() / hn.sum() - acc, "n": hn.sum()}])
-
-    return panels.groupBy(*keys).applyInPandas(solve, _schema(panels, keys, "gap double, raw_gap double, n double"))
+    t = isotonic_fits(panels, keys, {"pred": ("f_n", "f_k")})
+    n, right = F.sum("h_n"), F.sum("h_k")
+    return t.groupBy(*keys).agg(
+        ((F.sum(F.col("h_n") * F.col("pred")) - right) / n).alias("gap"), ((F.sum(F.col("h_n") * F.col("v")) - right) / n).alias("raw_gap"), n.alias("n")
+    )

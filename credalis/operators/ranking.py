@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from credalis.functions.seeded import key_hash
 from credalis.operators.prefix import attach, attach_rows, null_safe_join, running_sums, score_edges
+from credalis.operators.selection import numbered_groups, take_first
+from credalis.session import checkpointed
 
 
 def _col(c: Column | str) -> Column:
@@ -232,20 +234,17 @@ def selective_at(
     ``coverage`` may be a column that is constant inside each key.
     """
     cov = coverage if isinstance(coverage, Column) else F.lit(float(coverage))
-    ok = _col(correct).cast("boolean")
-    base = df.withColumns({"_ok": ok, "_cov": cov})
-    rows = ordered_rows(base, keys, score, {"_err": (~ok).cast("double")}, tie)
-    total = rows.groupBy(*keys).agg(F.max("k").alias("_n"))
-    j = attach_rows(rows, total, keys)
-    want = F.bround(F.col("_cov") * F.col("_n"), 0)
-    taken = F.col("k") <= want
-    answered = F.count_if(taken)
+    base = df.withColumns({"_ok": _col(correct).cast("boolean"), "_cov": cov})
+    size = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_cov").alias("_share"))
+    size = size.withColumn("_want", F.bround(F.col("_share") * F.col("_n"), 0).cast("long"))
+    j = take_first(base, keys, -F.col(score), tie, checkpointed(size), "_want")
+    answered = F.count_if("taken")
     return j.groupBy(*keys).agg(
         answered.alias("answered"),
         (answered / F.first("_n")).alias("coverage"),
-        F.avg(F.when(taken, F.col("_ok").cast("double"))).alias("selective_accuracy"),
-        F.count_if(taken & ~F.col("_ok")).alias("errors"),
-        F.count_if(taken & ~F.col("_ok") & (F.col(confidence) >= confident)).alias("confident_errors"),
+        F.avg(F.when(F.col("taken"), F.col("_ok").cast("double"))).alias("selective_accuracy"),
+        F.count_if(F.col("taken") & ~F.col("_ok")).alias("errors"),
+        F.count_if(F.col("taken") & ~F.col("_ok") & (F.col(confidence) >= confident)).alias("confident_errors"),
     )
 
 
@@ -315,14 +314,9 @@ def spearman(
 
 def rank_groups(df: DataFrame, keys: Sequence[str], value: str, groups: int, tie: str) -> DataFrame:
     """Equal-count groups by first-rank: group ``q`` holds ranks up to edge ``1 + (n-1)(q+1)/groups``."""
-    base = df.withColumns({"_v": F.col(value).cast("double"), "_one": F.lit(1.0)})
-    ranked = running_sums(base, keys, ["_v", tie], ["_one"]).withColumn("_rank", F.col("before__one") + 1)
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    j = attach_rows(ranked, total, keys)
-    q = F.ceil(F.round((F.col("_rank") - 1) * groups / (F.col("_n") - 1), 9)) - 1
-    return j.withColumn(
-        "group", F.greatest(F.lit(0), F.least(F.lit(groups - 1), q)).cast("int")
-    ).drop("_v", "_one", "before__one", "_rank", "_n")
+    size = checkpointed(df.groupBy(*keys).agg(F.count(value).alias("_n")))
+    ends = F.array(*[1 + F.expr(f"{q + 1} * (_n - 1) div {groups}") for q in range(groups - 1)])
+    return numbered_groups(df, keys, F.col(value).cast("double"), tie, size, ends).drop("_n")
 
 
 def value_groups(df: DataFrame, keys: Sequence[str], value: str, groups: int) -> DataFrame:

@@ -1,29 +1,24 @@
 """Resample weights and draws as tables: the resample number ``b`` is a column.
 
 A bootstrap is then the metric itself with ``b`` among its keys, and the loop
-over resamples is one shuffle. Three schemes:
+over resamples is one shuffle. Schemes:
 
 - ``item_weights``: Poisson(1) per row and resample, from the row's hash. The
   weights are drawn and partially aggregated inside the map tasks, so only
   (resample x level) sums are shuffled, never rows x resamples.
-- ``level_weights``: Poisson(n) per level of an aggregated table; same law as
-  summing Poisson(1) over the level's rows, at a cost independent of row count.
 - ``cluster_weights``: exact multinomial draw over a small table of clusters.
+- ``operators.tree``: resamples of a bounded table of score buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credalis.operators.prefix import attach, hash_rank, key_sizes
-from credalis.functions.statfn import hypergeometric_inverse
-from credalis.functions.seeded import DRAWS_PER_HASH, hash_uniform, key_hash, pick, poisson1, uniform
+from credalis.functions.seeded import DRAWS_PER_HASH, key_hash, pick, poisson1, uniform
 
 
 def resample_index(spark, b: int) -> DataFrame:
@@ -43,38 +38,6 @@ def item_weights(df: DataFrame, unit: Sequence[str], b: int, seed: str = "boot")
     return drawn.withColumn("w", w.cast("double")).filter(F.col("w") > 0).drop("_c", "_h", "_j")
 
 
-SMALL_MEAN = 50.0
-"""Up to this mean a Poisson draw inverts the distribution function for a whole batch."""
-
-
-@F.pandas_udf(T.DoubleType())
-def _poisson_counts(n: pd.Series, u: pd.Series, h: pd.Series) -> pd.Series:
-    """Poisson(n) draw keyed by a hash (``u`` is its uniform), so independent of partitioning."""
-    lam, u = n.to_numpy(float), u.to_numpy(float)
-    out = np.zeros(len(lam))
-    small = np.flatnonzero(lam <= SMALL_MEAN)
-    p = np.exp(-lam[small])
-    cdf, k = p.copy(), 0
-    open_ = u[small] > cdf
-    while open_.any() and k < 400:
-        k += 1
-        p = p * lam[small] / k
-        out[small[open_]] += 1
-        cdf += p
-        open_ = u[small] > cdf
-    for i in np.flatnonzero(lam > SMALL_MEAN):
-        out[i] = np.random.Generator(np.random.Philox(key=int(h.iat[i][:16], 16))).poisson(lam[i])
-    return pd.Series(out)
-
-
-def level_weights(levels: DataFrame, level: Sequence[str], count: str, b: int, seed: str = "boot") -> DataFrame:
-    """Levels times resamples with weight ``w`` ~ Poisson(count)."""
-    drawn = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    drawn = drawn.withColumn("_h", key_hash(seed, *level, "b"))
-    drawn = drawn.withColumn("w", _poisson_counts(F.col(count), hash_uniform("_h"), F.col("_h")))
-    return drawn.filter(F.col("w") > 0).drop("_h")
-
-
 def dense_index(clusters: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame:
     """Distinct clusters with position ``idx`` 0.. and cluster count ``m`` per key.
 
@@ -136,42 +99,6 @@ def half_sample(df: DataFrame, keys: Sequence[str], unit: Sequence[str], b: int,
     return joined.filter(F.col("rank") <= F.floor(F.col("_size") / 2)).drop("_key", "rank", "_size")
 
 
-def half_levels(levels: DataFrame, keys: Sequence[str], level: Sequence[str], count: str, b: int, seed: str = "half") -> DataFrame:
-    """Rows of each level in a half-sample without replacement, as ``w``; zero stays.
-
-    Level after level takes its hypergeometric part of the ``n // 2`` rows that are drawn
-    from a key, so the law is that of ``half_sample`` at a cost independent of the rows.
-    """
-    t = levels.select(*keys, *level, F.col(count).cast("long").alias("_n"))
-    t = t.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    t = t.withColumn("_u", uniform(seed, *keys, *level, "b")).withColumn("w", F.lit(0.0))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(level), ignore_index=True)
-        rest = int(pdf["_n"].sum())
-        left, out = rest // 2, []
-        for n, u in zip(pdf["_n"].tolist(), pdf["_u"].tolist(), strict=True):
-            k = hypergeometric_inverse(n, rest - n, left, u)
-            rest, left = rest - n, left - k
-            out.append(float(k))
-        return pdf.assign(w=out)
-
-    return t.groupBy(*keys, "b").applyInPandas(draw, t.schema).drop("_u")
-
-
-@F.pandas_udf(T.DoubleType())
-def _sign_sums(n: pd.Series, h: pd.Series) -> pd.Series:
-    """Sum of ``n`` random signs keyed by a hash."""
-    draw = [np.random.Generator(np.random.Philox(key=int(x[:16], 16))).binomial(int(k), 0.5) for k, x in zip(n, h, strict=True)]
-    return pd.Series(2.0 * np.array(draw, float) - n.to_numpy(float))
-
-
-def level_signs(levels: DataFrame, level: Sequence[str], count: str, b: int, seed: str = "flip") -> DataFrame:
-    """Levels times patterns with ``s``, the sum of one random sign for each row of the level."""
-    drawn = levels.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    return drawn.withColumn("s", _sign_sums(F.col(count), key_hash(seed, *level, "b")))
-
-
 def signs(df: DataFrame, unit: Sequence[str], b: int, seed: str = "flip") -> DataFrame:
     """Rows times patterns with a random sign ``s``."""
     drawn = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))

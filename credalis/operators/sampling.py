@@ -11,6 +11,8 @@ from credalis.functions.seeded import hash_uniform, key_hash, pick, uniform
 from credalis.functions.text import is_person_name, normalise_answer
 from credalis.operators.prefix import attach, hash_rank, key_sizes, running_sums
 from credalis.operators.ranking import top_k
+from credalis.operators.selection import take_first
+from credalis.session import checkpointed
 
 LETTERS = "ABCDEFGHIJKLMNOP"
 """Option letters (fixed values)."""
@@ -30,8 +32,8 @@ def balanced_sample(df: DataFrame, post: str, unit: Sequence[str], seed: str = "
     """All later rows and equally many earlier ones, by exact hash rank."""
     late = df.filter(F.col(post))
     size = late.agg(F.count(F.lit(1)).alias("_k"))
-    early = hash_rank(df.filter(~F.col(post)).withColumn("_key", key_hash(seed, *unit)), [], "_key")
-    chosen = early.join(F.broadcast(size), F.lit(True)).filter(F.col("rank") <= F.col("_k"))
+    early = df.filter(~F.col(post)).withColumn("_key", key_hash(seed, *unit))
+    chosen = take_first(early, [], F.lit(0.0), "_key", checkpointed(size), "_k").filter("taken")
     return late.unionByName(chosen.select(*df.columns))
 
 

@@ -8,21 +8,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credalis.functions import dist as D
+from credalis.functions.dist import fold, let
 from credalis.operators.prefix import attach, running_sums, small_groups
 
 CONFIDENT = 0.5
 """Top probability from which a wrong answer counts as confident (fixed value)."""
 
 
+FEW_REPLICATES = 1_000
+"""Up to this many answers of a unit are held in its row as arrays."""
+
+
+def replicate_values(answers: DataFrame, unit: Sequence[str], options: str = "options", probabilities: str = "dist", extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per unit: ``options``, and ``_r``, the probabilities of each of its answers on them; one exchange."""
+    p = F.transform(options, lambda o: D.prob(probabilities, o))
+    return answers.groupBy(*unit).agg(F.min(options).alias("options"), F.collect_list(p).alias("_r"), *extra)
+
+
+def mean_of_values(r: str = "_r") -> Column:
+    """Mean of the answers' probabilities by option, not yet normalised."""
+    return F.transform(F.col(r)[0], lambda _, i: fold(F.transform(r, lambda x: x[i]), lambda x: x) / F.size(r))
+
+
+def normalised(p: Column) -> Column:
+    return let(p, lambda q: let(fold(q, lambda x: x), lambda t: F.transform(q, lambda x: F.when(t > 0, x / t).otherwise(0.0))))
+
+
+def spread_of_values(r: str = "_r") -> Column:
+    """Mean total variation between pairs of answers: the sorted values of an option, each times how many are below less how many above."""
+    n = F.size(r)
+
+    def pairs(i: Column) -> Column:
+        ordered = F.array_sort(F.transform(r, lambda x: x[i]))
+        return fold(F.transform(ordered, lambda x, k: x * (2 * k + 1 - n)), lambda x: x)
+
+    return F.when(n > 1, fold(F.transform(F.col(r)[0], lambda _, i: pairs(i)), lambda x: x) / (n * (n - 1))).otherwise(0.0)
+
+
 def replicate_mean(
     answers: DataFrame, unit: Sequence[str], options: str = "options", probabilities: str = "dist"
 ) -> DataFrame:
-    """Mean distribution over replicates on the listed options.
+    """Mean distribution over replicates on the unit's options.
 
     Omitted options count 0, unlisted ones are dropped, the mean is renormalised.
-    One row per (unit, option); the sums are combined before the shuffle, so a
-    unit with very many replicates stays one partial sum per task.
+    One row per (unit, option). A unit's answers meet in its row; where a unit has very many,
+    sums per option are combined before the shuffle instead, with the same result.
     """
+    if small_groups(answers, unit, FEW_REPLICATES):
+        per = replicate_values(answers, unit, options, probabilities)
+        both = F.arrays_zip(F.col("options").alias("option"), normalised(mean_of_values()).alias("p"))
+        return per.select(*unit, F.posexplode(both).alias("pos", "_o"), F.size("_r").cast("long").alias("n_reps")).select(*unit, "pos", "_o.option", "_o.p", "n_reps")
     long = answers.select(*unit, probabilities, F.posexplode(options).alias("pos", "option"))
     per = long.groupBy(*unit, "pos", "option").agg(
         F.avg(D.prob(probabilities, F.col("option"))).alias("p"), F.count(F.lit(1)).alias("n_reps")
@@ -51,21 +86,17 @@ def replicate_spread(answers: DataFrame, unit: Sequence[str], options: str = "op
 
     For one option, the sum of ``|a - b|`` over pairs is linear in the sorted
     values: a level with ``c`` copies of ``x`` after ``k0`` smaller values of
-    ``R`` contributes ``x c (2 k0 + c - R)``.
+    ``R`` contributes ``x c (2 k0 + c - R)``. A unit's values are sorted in its row; where a
+    unit has very many, its levels are ordered in buckets.
     """
-    small = small_groups(answers, unit)
-    # with few replicates per unit, one exchange by unit serves every later step
-    rows = answers.repartition(*unit) if small else answers
-    long = rows.select(*unit, probabilities, F.explode(options).alias("option"))
+    if small_groups(answers, unit, FEW_REPLICATES):
+        return replicate_values(answers, unit, options, probabilities).select(*unit, spread_of_values().alias("rep_tv"))
+    long = answers.select(*unit, probabilities, F.explode(options).alias("option"))
     lv = long.groupBy(*unit, "option", D.prob(probabilities, F.col("option")).alias("x")).agg(
         F.count(F.lit(1)).cast("double").alias("c")
     )
     k = [*unit, "option"]
-    cum = running_sums(lv, k, ["x"], ["c"], [] if small else None)
-    if small:
-        cum = cum.withColumn("reps", F.sum("c").over(Window.partitionBy(*k)))
-    else:
-        cum = attach(cum, lv.groupBy(*k).agg(F.sum("c").alias("reps")), k)
+    cum = attach(running_sums(lv, k, ["x"], ["c"]), lv.groupBy(*k).agg(F.sum("c").alias("reps")), k)
     part = F.col("x") * F.col("c") * (2 * F.col("before_c") + F.col("c") - F.col("reps"))
     r = F.max("reps")
     return cum.groupBy(*unit).agg(
@@ -87,14 +118,20 @@ def score_items(
     ``answers`` has ``unit``, ``dist``, ``model`` and one column per yes/no or
     score question. A unit whose answers put nothing on its options is an error.
     """
-    joined = answers.join(items.select("unit", "options"), "unit")
-    dist = distribution_of(replicate_mean(joined, ["unit"]), ["unit"]).drop("options")
-    extra = joined.groupBy("unit").agg(
-        *[F.avg(q).alias(f"p_{q}") for q in yes_no], *[F.avg(q).alias(f"s_{q}") for q in scores],
-        F.array_sort(F.collect_set("model")).alias("models"),
-    )
-    spread = replicate_spread(joined, ["unit"])
-    rows = items.join(dist, "unit").join(extra, "unit").join(spread, "unit")
+    averages = [*[F.avg(q).alias(f"p_{q}") for q in yes_no], *[F.avg(q).alias(f"s_{q}") for q in scores]]
+    extra = [*averages, F.array_sort(F.collect_set("model")).alias("models")]
+    if small_groups(answers, ["unit"], FEW_REPLICATES):
+        # answers and items meet once, on the unit; everything else is arithmetic inside a row
+        maps = answers.groupBy("unit").agg(F.collect_list("dist").alias("_d"), *extra)
+        p = F.transform("_d", lambda d: F.transform("options", lambda o: D.prob(d, o)))
+        rows = items.join(maps, "unit").withColumn("_r", p).drop("_d")
+        rows = rows.withColumns({
+            "n_reps": F.size("_r").cast("long"), "dist": F.map_from_arrays("options", normalised(mean_of_values())), "rep_tv": spread_of_values(),
+        }).drop("_r")
+    else:
+        joined = answers.join(items.select("unit", "options"), "unit")
+        dist = distribution_of(replicate_mean(joined, ["unit"]), ["unit"]).drop("options")
+        rows = items.join(dist, "unit").join(joined.groupBy("unit").agg(*extra), "unit").join(replicate_spread(joined, ["unit"]), "unit")
     empty = F.raise_error(F.concat(F.col("unit"), F.lit(": no probability on any listed option")))
     top = D.top_option("dist", "options")
     rows = rows.withColumn("top", F.when(D.mass("dist") == 0, empty.cast("string")).otherwise(top))

@@ -11,6 +11,7 @@ from credalis.functions.seeded import key_hash
 from credalis.operators import calibration as C
 from credalis.operators import ranking as R
 from credalis.operators import resample as B
+from credalis.operators import tree
 from credalis.operators.prefix import attach, hash_rank, key_sizes, null_safe_join
 
 SENSITIVITY = tuple(f"1999-{m:02d}" for m in range(3, 12))
@@ -86,21 +87,17 @@ def cutoff_table(spark, cutoffs: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(c,) for c in cutoffs], "cutoff string")
 
 
-def within_month_draws(df: DataFrame, unit: Sequence[str], b: int, seed: str = "month", scheme: str = "item") -> DataFrame:
+def within_month_draws(df: DataFrame, unit: Sequence[str], b: int, seed: str = "month", scheme: str = "tree") -> DataFrame:
     """Rows resampled inside each month: monthly sums per resample.
 
     Each month keeps its own resample, so only (month, b) sums are shuffled.
     """
-    cols = ["month", "correct", "p_max"]
-    if scheme == "level":
-        lv = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-        w = B.level_weights(lv, cols, "_n", b, seed)
-    else:
-        w = B.item_weights(df.select(*unit, *cols), unit, b, seed)
-    return monthly(w, ["b"], weight="w")
+    if scheme == "tree":
+        return tree.sum_draws(df, ["month"], "p_max", "correct", b, seed).select("b", "month", "n", "k", "s")
+    return monthly(B.item_weights(df.select(*unit, "month", "correct", "p_max"), unit, b, seed), ["b"], weight="w")
 
 
-def selection_bootstrap(df: DataFrame, unit: Sequence[str], b: int, seed: str = "month", scheme: str = "level") -> DataFrame:
+def selection_bootstrap(df: DataFrame, unit: Sequence[str], b: int, seed: str = "month", scheme: str = "tree") -> DataFrame:
     """Re-select the change point in every resample: month, drop and later gap per ``b``."""
     series = within_month_draws(df, unit, b, seed, scheme)
     found = change_point(series, ["b"])
@@ -132,14 +129,11 @@ def block_selection_bootstrap(df: DataFrame, b: int, block: int = 6, seed: str =
     )
 
 
-def split_selection(df: DataFrame, unit: Sequence[str], splits: int, seed: str = "split", scheme: str = "item") -> DataFrame:
+def split_selection(df: DataFrame, unit: Sequence[str], splits: int, seed: str = "split", scheme: str = "tree") -> DataFrame:
     """Select on half of each month, measure on the other half, per split."""
-    if scheme == "level":
-        lv = df.groupBy("month", "correct", "p_max").agg(F.count(F.lit(1)).alias("_n"))
-        drawn = B.half_levels(lv, ["month"], ["correct", "p_max"], "_n", splits, seed).withColumnRenamed("b", "split_no")
-        sides = F.array(F.struct(F.lit(True).alias("_find"), F.col("w").alias("_w")), F.struct(F.lit(False).alias("_find"), (F.col("_n") - F.col("w")).alias("_w")))
-        sums = monthly(drawn.select("split_no", "month", "correct", "p_max", F.inline(sides)).filter("_w > 0"), ["split_no", "_find"], weight="_w")
-        return _measured(sums)
+    if scheme == "tree":
+        halves = tree.half_draws(df, ["month"], "p_max", "correct", splits, seed)
+        return _measured(halves.select(F.col("b").alias("split_no"), F.col("half").alias("_find"), "month", "n", "k", "s"))
     base = df.select(*unit, "month", "correct", "p_max")
     t = base.withColumn("split_no", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     t = t.withColumn("_key", key_hash(seed, *unit, "split_no"))

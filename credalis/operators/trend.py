@@ -131,13 +131,11 @@ def step_trend(df: DataFrame, keys: Sequence[str], value: str, cutoff: str, b: i
             _, _, aic0, bic0 = _wls(design(t, spec, None), y, w)
             se = float(np.sqrt(_hac(x, resid, w)[-1, -1]))
             rng = np.random.Generator(np.random.Philox(key=seed))
-            fitted, n = x @ coef, len(y)
-            starts = np.arange(n - min(block, n) + 1)
-            boots = []
-            for _ in range(b):
-                pick = rng.choice(starts, -(-n // block))
-                noise = np.concatenate([resid[s : s + block] for s in pick])[:n]
-                boots.append(_wls(x, fitted + noise, w)[0][-1])
+            fitted, n, size = x @ coef, len(y), min(block, len(y))
+            starts = rng.integers(0, n - size + 1, (b, -(-n // size)))
+            noise = resid[(starts[:, :, None] + np.arange(size)).reshape(b, -1)[:, :n]]
+            # the step is linear in the weighted values, so all resamples are one product
+            boots = ((fitted + noise) * np.sqrt(w)) @ np.linalg.pinv(x * np.sqrt(w)[:, None])[-1]
             lo, hi = np.percentile(boots, [2.5, 97.5])
             key = {k: pdf[k].iloc[0] for k in group}
             rows.append({**key, "spec": spec, **dict(zip(num, (coef[-1], coef[-1] - Z * se, coef[-1] + Z * se, lo, hi, aic, aic0, bic, bic0), strict=True))})

@@ -15,6 +15,7 @@ from credalis.operators import recalibration as RC
 from credalis.operators import trend as TR
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import rnd
+from credalis.plans.q_resample import NULLS, RESAMPLES, SPLITS
 from credalis.plans.q_score import scope
 from credalis.plans.views import CUTOFF, Tables, spread
 from credalis.session import checkpointed
@@ -84,7 +85,7 @@ def recalibration_maps(t: Tables) -> DataFrame:
 
 @query("cross_fitted_maps")
 def cross_fitted_maps(t: Tables) -> DataFrame:
-    panels = P.half_month_panels(P.month_level_counts(t.rows), 50)
+    panels = P.half_month_panels(P.month_level_counts(t.rows), SPLITS)
     return rnd(P.gap_summary(P.cross_fitted_maps(panels)), digits=6)
 
 
@@ -101,7 +102,7 @@ def interval_partition(t: Tables) -> DataFrame:
 
 @query("partition_crossfit")
 def partition_crossfit(t: Tables) -> DataFrame:
-    return rnd(P.partition_crossfit(t.rows, 50, 200), digits=6)
+    return rnd(P.partition_crossfit(t.rows, SPLITS, NULLS), digits=6)
 
 
 def errors(t: Tables) -> DataFrame:
@@ -142,7 +143,7 @@ def boosted_oof(t: Tables) -> DataFrame:
 
 @query("combined_signal")
 def combined_signal(t: Tables) -> DataFrame:
-    return rnd(X.combined_signal(errors(t), "p_known", "month", ["unit"], 100), digits=4)
+    return rnd(X.combined_signal(errors(t), "p_known", "month", [], RESAMPLES), digits=4)
 
 
 @query("interaction_glm")
@@ -154,7 +155,7 @@ def interaction_glm(t: Tables) -> DataFrame:
 def step_trend(t: Tables) -> DataFrame:
     """A step in monthly accuracy under four trends."""
     df = t.rows.withColumn("ok", F.col("correct").cast("double"))
-    return rnd(TR.step_trend(df, ["set_name"], "ok", CUTOFF, 200), digits=5)
+    return rnd(TR.step_trend(df, ["set_name"], "ok", CUTOFF, RESAMPLES), digits=5)
 
 
 @query(
@@ -172,7 +173,7 @@ def item_ols(t: Tables) -> DataFrame:
 @query("item_ols_interval")
 def item_ols_interval(t: Tables) -> DataFrame:
     df = t.rows.withColumn("ok", F.col("correct").cast("double"))
-    return rnd(TR.item_ols_interval(df, "ok", CUTOFF, 100), digits=6)
+    return rnd(TR.item_ols_interval(df, "ok", CUTOFF, RESAMPLES), digits=6)
 
 
 ACC = "h AS (SELECT split_no, supp, row_number() OVER (PARTITION BY split_no ORDER BY md5('accept|' || split_no || '|' || supp)) <= count(*) OVER (PARTITION BY split_no) // 2 AS fit FROM (SELECT DISTINCT supp FROM rows), (SELECT unnest(range(0, 4)) AS split_no))"
@@ -194,7 +195,7 @@ def heldout_acceptance(t: Tables) -> DataFrame:
 @query("heldout_acceptance_full")
 def heldout_acceptance_full(t: Tables) -> DataFrame:
     """50 splits."""
-    return rnd(RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", 50))
+    return rnd(RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", SPLITS))
 
 
 @query("t_distribution")

@@ -1,7 +1,7 @@
 """Resampling, inference and time-split queries.
 
 Item draws with checking SQL use few resamples, as a check of the draws only. For
-results, each has a sibling at full counts, ``_levels`` (level-wise) or ``_full``.
+results, each has a sibling at full counts, ``_levels`` (from the count tree) or ``_full``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from credalis.plans.views import Tables
 
 NB = 8
 """Resamples of a query whose SQL repeats every draw; its sibling ``_levels`` or ``_full`` takes the counts below."""
-RESAMPLES, CALL_DRAWS, SPLITS = 2000, 500, 50
+RESAMPLES, CALL_DRAWS, SPLITS, NULLS = 2000, 500, 50, 200
 
 
 def weights_sql(src: str, unit: str, seed: str, b: int = NB) -> str:
@@ -51,13 +51,13 @@ GAPS = "g AS (SELECT *, p_max - correct::INT AS gap FROM rows)"
     "rows",
 )
 def bootstrap_mean(t: Tables) -> DataFrame:
-    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", ["unit"], NB, 0.1))
+    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", ["unit"], NB, 0.1, scheme="item"))
 
 
 @query("bootstrap_mean_levels")
 def bootstrap_mean_levels(t: Tables) -> DataFrame:
-    """The same interval from 2,000 level-wise resamples, at a cost independent of the rows."""
-    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", ["unit"], RESAMPLES, 0.1, scheme="level"))
+    """The same interval from 2,000 resamples of the count tree, at a cost independent of the rows."""
+    return rnd(I.bootstrap_mean(gap_rows(t), ["set_name"], "gap", [], RESAMPLES, 0.1))
 
 
 @query(
@@ -84,14 +84,14 @@ def bootstrap_stat(t: Tables) -> DataFrame:
     def metric(df: DataFrame, keys, w: str) -> DataFrame:
         return C.ece(df, keys, "p_max", "correct", 10, w)
 
-    return rnd(I.bootstrap_stat(t.rows, ["set_name"], metric, "ece", ["unit"], ["p_max", "correct"], NB))
+    return rnd(I.bootstrap_stat(t.rows, ["set_name"], metric, "ece", ["unit"], ["p_max", "correct"], NB, scheme="item"))
 
 
 @query("bootstrap_stat_levels")
 def bootstrap_stat_levels(t: Tables) -> DataFrame:
-    """The same interval from 2,000 level-wise resamples."""
+    """The same interval from 2,000 resamples of the count tree."""
     return rnd(
-        I.bootstrap_stat(t.rows, ["set_name"], lambda df, keys, w: C.ece(df, keys, "p_max", "correct", 10, w), "ece", [], ["p_max", "correct"], RESAMPLES, scheme="level")
+        I.bootstrap_stat(t.rows, ["set_name"], lambda df, keys, w: C.ece(df, keys, "p_max", "correct", 10, w), "ece", [], ["p_max", "correct"], RESAMPLES)
     )
 
 
@@ -119,13 +119,13 @@ def cluster_bootstrap(t: Tables) -> DataFrame:
     "rows",
 )
 def auroc_interval(t: Tables) -> DataFrame:
-    return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", NB, ["unit"], threshold=0.7))
+    return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", NB, ["unit"], threshold=0.7, scheme="item"))
 
 
 @query("auroc_interval_levels")
 def auroc_interval_levels(t: Tables) -> DataFrame:
-    """The same interval from 2,000 level-wise resamples."""
-    return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", RESAMPLES, threshold=0.7, scheme="level"))
+    """The same interval from 2,000 resamples of the count tree."""
+    return rnd(I.auroc_interval(t.rows, ["set_name"], "p_max", "correct", RESAMPLES, threshold=0.7))
 
 
 SEP = """SELECT b, sum(pos * (before + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY {s} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -154,7 +154,7 @@ def detection_interval(t: Tables) -> DataFrame:
     df = scope(t).select(
         "unit", "replicate", "set_name", F.round(1 - F.col("p_max"), 3).alias("score"), (F.col("gold") == "D").alias("oos")
     )
-    return rnd(I.detection_interval(df, ["set_name"], "score", "oos", ["unit"], 200, scheme="level"))
+    return rnd(I.detection_interval(df, ["set_name"], "score", "oos", [], RESAMPLES))
 
 
 @query(
@@ -169,13 +169,13 @@ def detection_interval(t: Tables) -> DataFrame:
     "rows",
 )
 def paired_auroc_difference(t: Tables) -> DataFrame:
-    return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", NB, ["unit"]))
+    return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", NB, ["unit"], scheme="item"))
 
 
 @query("paired_auroc_difference_levels")
 def paired_auroc_difference_levels(t: Tables) -> DataFrame:
-    """The same intervals from 2,000 level-wise resamples."""
-    return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", RESAMPLES, scheme="level"))
+    """The same intervals from 2,000 resamples of the count tree."""
+    return rnd(I.paired_auroc_difference(t.rows, [], "p_max", "p_known", "correct", RESAMPLES))
 
 
 @query("best_score_paired")
@@ -187,7 +187,7 @@ def best_score_paired(t: Tables) -> DataFrame:
     for names in families.values():
         a = R.auroc(I.stack_scores(df, names, ["correct"]), ["name"], "score", "correct")
         best.append(a.agg(F.max_by("name", "auroc").alias("n")).first()["n"])
-    d = I.paired_auroc_difference(df, [], best[0], best[1], "correct", 100, ["unit"], scheme="level")
+    d = I.paired_auroc_difference(df, [], best[0], best[1], "correct", RESAMPLES)
     return rnd(d.select(F.lit(best[0]).alias("best_a"), F.lit(best[1]).alias("best_b"), "diff", "lo", "hi"))
 
 
@@ -220,14 +220,14 @@ def month_block_bootstrap(t: Tables) -> DataFrame:
 )
 def stratified_resample(t: Tables) -> DataFrame:
     """Each month resampled on its own."""
-    s = TS.within_month_draws(t.rows, ["unit"], NB)
+    s = TS.within_month_draws(t.rows, ["unit"], NB, scheme="item")
     return rnd(s.select("month", "b", (F.col("k") / F.col("n")).alias("accuracy")))
 
 
 @query("stratified_resample_levels")
 def stratified_resample_levels(t: Tables) -> DataFrame:
-    """Each month resampled on its own, 2,000 times by levels."""
-    return rnd(TS.within_month_draws(t.rows, [], RESAMPLES, scheme="level").select("month", "b", (F.col("k") / F.col("n")).alias("accuracy")))
+    """Each month resampled on its own, 2,000 times by the count tree."""
+    return rnd(TS.within_month_draws(t.rows, [], RESAMPLES).select("month", "b", (F.col("k") / F.col("n")).alias("accuracy")))
 
 
 @query(
@@ -238,13 +238,13 @@ def stratified_resample_levels(t: Tables) -> DataFrame:
     "rows",
 )
 def mean_difference(t: Tables) -> DataFrame:
-    return rnd(I.mean_difference(t.rows, [], "p_max", "post", ["unit"], NB))
+    return rnd(I.mean_difference(t.rows, [], "p_max", "post", ["unit"], NB, scheme="item"))
 
 
 @query("mean_difference_levels")
 def mean_difference_levels(t: Tables) -> DataFrame:
-    """The same interval from 2,000 level-wise resamples."""
-    return rnd(I.mean_difference(t.rows, [], "p_max", "post", [], RESAMPLES, scheme="level"))
+    """The same interval from 2,000 resamples of the count tree."""
+    return rnd(I.mean_difference(t.rows, [], "p_max", "post", [], RESAMPLES))
 
 
 @query(
@@ -255,19 +255,19 @@ def mean_difference_levels(t: Tables) -> DataFrame:
     "rows",
 )
 def equivalence(t: Tables) -> DataFrame:
-    return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, ["unit"], NB))
+    return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, ["unit"], NB, scheme="item"))
 
 
 @query("equivalence_levels")
 def equivalence_levels(t: Tables) -> DataFrame:
-    """The same check from 2,000 level-wise resamples."""
-    return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, [], RESAMPLES, scheme="level"))
+    """The same check from 2,000 resamples of the count tree."""
+    return rnd(I.equivalence(gap_rows(t), ["set_name"], "gap", 0.09, [], RESAMPLES))
 
 
 @query("spearman_interval")
 def spearman_interval(t: Tables) -> DataFrame:
     """Bootstrap interval and Fisher z test of the rank correlation."""
-    a = I.spearman_interval(t.rows, ["set_name"], "p_max", "p_known", ["unit"], 200, scheme="level")
+    a = I.spearman_interval(t.rows, ["set_name"], "p_max", "p_known", [], RESAMPLES)
     z = I.spearman_test(t.rows, ["set_name"], "p_max", "p_known").select("set_name", "z", "p")
     return rnd(a.join(z, "set_name"), digits=6)
 
@@ -285,18 +285,18 @@ def t_tests(t: Tables) -> DataFrame:
     "rows",
 )
 def sign_flip_test(t: Tables) -> DataFrame:
-    return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", ["unit"], 10, 0.1))
+    return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", ["unit"], 10, 0.1, scheme="item"))
 
 
 @query("sign_flip_test_levels")
 def sign_flip_test_levels(t: Tables) -> DataFrame:
-    """2,000 sign patterns, whose sums are binomial by level."""
-    return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", [], RESAMPLES, 0.1, scheme="level"))
+    """2,000 sign patterns, whose sums are binomial by bucket."""
+    return rnd(I.sign_flip_test(gap_rows(t), ["month"], "gap", [], RESAMPLES, 0.1))
 
 
 @query("bca_bound")
 def bca_bound(t: Tables) -> DataFrame:
-    return rnd(I.bca_bound(gap_rows(t), ["set_name"], "gap", ["unit"], 400, scheme="level"), digits=6)
+    return rnd(I.bca_bound(gap_rows(t), ["set_name"], "gap", [], RESAMPLES), digits=6)
 
 
 @query(
@@ -313,12 +313,12 @@ def within_value_permutation(t: Tables) -> DataFrame:
 @query("within_value_permutation_levels")
 def within_value_permutation_levels(t: Tables) -> DataFrame:
     """2,000 permutations drawn from the level table."""
-    null = I.within_value_permutation_levels(C.level_table(t.rows, []), [], 2000)
+    null = I.within_value_permutation_levels(C.level_table(t.rows, []), [], RESAMPLES)
     obs = C.every_map_lower_bound(C.level_table(t.rows, []), []).withColumnRenamed("lower_bound", "obs")
     j = null.join(F.broadcast(obs), F.lit(True))
     return rnd(j.agg(
         F.first("obs").alias("observed"), F.avg("lower_bound").alias("null_mean"), F.percentile("lower_bound", 0.95).alias("null_p95"),
-        ((1 + F.count_if(F.col("lower_bound") >= F.col("obs"))) / F.lit(2001.0)).alias("p"),
+        ((1 + F.count_if(F.col("lower_bound") >= F.col("obs"))) / F.lit(float(RESAMPLES + 1))).alias("p"),
     ), digits=6)
 
 
@@ -330,17 +330,17 @@ def within_value_permutation_levels(t: Tables) -> DataFrame:
     "rows",
 )
 def random_months_null(t: Tables) -> DataFrame:
-    return rnd(I.random_months_null(t.rows, 200))
+    return rnd(I.random_months_null(t.rows, NULLS))
 
 
 @query("smece_interval")
 def smece_interval(t: Tables) -> DataFrame:
-    return rnd(I.smece_interval(t.rows, ["set_name"], "p_max", "correct", 200), digits=6)
+    return rnd(I.smece_interval(t.rows, ["set_name"], "p_max", "correct", RESAMPLES), digits=6)
 
 
 @query("smece_bounds")
 def smece_bounds(t: Tables) -> DataFrame:
-    """Four schemes per set; the half-samples draw rows without replacement, by levels."""
+    """Four schemes per set; the half-samples draw rows without replacement."""
     return rnd(I.smece_bounds(t.rows, ["set_name"], "p_max", "correct", RESAMPLES, []), digits=6)
 
 
@@ -402,17 +402,17 @@ def cutoff_stats(t: Tables) -> DataFrame:
 
 @query("selection_bootstrap")
 def selection_bootstrap(t: Tables) -> DataFrame:
-    """The change point re-selected in 100 resamples inside months."""
-    d = TS.selection_bootstrap(t.rows, ["unit"], 100)
+    """The change point re-selected in resamples inside months."""
+    d = TS.selection_bootstrap(t.rows, [], RESAMPLES)
     return rnd(d.groupBy("first_post_month").agg(
-        (F.count(F.lit(1)) / 100.0).alias("share"), F.avg("post_gap").alias("post_gap"), F.avg("drop").alias("drop")
+        (F.count(F.lit(1)) / float(RESAMPLES)).alias("share"), F.avg("post_gap").alias("post_gap"), F.avg("drop").alias("drop")
     ))
 
 
 @query("block_selection_bootstrap")
 def block_selection_bootstrap(t: Tables) -> DataFrame:
     """Blocks of months joined end to end; the split is re-selected per resample."""
-    d = TS.block_selection_bootstrap(t.rows, 60)
+    d = TS.block_selection_bootstrap(t.rows, RESAMPLES)
     return rnd(d.groupBy("band").agg(
         *B.interval(d, ["band"], "difference"), F.avg((F.col("shift") == 0).cast("double")).alias("share_at_boundary")
     ))
@@ -427,17 +427,17 @@ def block_selection_bootstrap(t: Tables) -> DataFrame:
     "rows",
 )
 def split_selection(t: Tables) -> DataFrame:
-    return rnd(TS.split_selection(t.rows, ["unit"], 3))
+    return rnd(TS.split_selection(t.rows, ["unit"], 3, scheme="item"))
 
 
 @query("split_selection_levels")
 def split_selection_levels(t: Tables) -> DataFrame:
-    """50 splits, whose halves are hypergeometric by level."""
-    return rnd(TS.split_selection(t.rows, [], SPLITS, scheme="level"))
+    """50 splits, whose halves are hypergeometric by bucket."""
+    return rnd(TS.split_selection(t.rows, [], SPLITS))
 
 
-EQ_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER BY month) - 1 AS idx, count(*) OVER (PARTITION BY post) AS m FROM (SELECT DISTINCT post, month FROM rows)),
-   dr AS (SELECT post, b, floor(m * (('0x' || substr(md5('eq|' || post || '|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM ix, (SELECT unnest(range(0, 2000)) AS b)),
+EQ_W = f"""ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER BY month) - 1 AS idx, count(*) OVER (PARTITION BY post) AS m FROM (SELECT DISTINCT post, month FROM rows)),
+   dr AS (SELECT post, b, floor(m * (('0x' || substr(md5('eq|' || post || '|' || b || '|' || idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE))::BIGINT AS idx FROM ix, (SELECT unnest(range(0, {RESAMPLES})) AS b)),
    ew AS (SELECT ix.post, ix.month, b, count(*)::DOUBLE AS w FROM dr JOIN ix ON ix.post = dr.post AND ix.idx = dr.idx GROUP BY ALL)"""
 
 
@@ -451,7 +451,7 @@ EQ_W = """ix AS (SELECT post, month, row_number() OVER (PARTITION BY post ORDER
     "rows",
 )
 def equal_confidence(t: Tables) -> DataFrame:
-    return rnd(TS.equal_confidence(t.rows, 40))
+    return rnd(TS.equal_confidence(t.rows, RESAMPLES))
 
 
 @query(
@@ -465,7 +465,7 @@ def alternative_cutoffs(t: Tables) -> DataFrame:
 
 @query("matched_coverage_interval")
 def matched_coverage_interval(t: Tables) -> DataFrame:
-    return rnd(TS.matched_coverage_interval(paired(t), (0.25, 0.5), 40), digits=6)
+    return rnd(TS.matched_coverage_interval(paired(t), (0.25, 0.5), RESAMPLES), digits=6)
 
 
 @query(

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from credalis.functions import sql as SQLF
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import rnd
+from credalis.plans.q_sources import LAST, event_log
 from credalis.plans.views import Tables
 from credalis.session import scratch_dir
+from credalis.sources import call_log
 from credalis.streaming import jobs
 
 
@@ -26,12 +28,31 @@ def run(t: Tables, df: DataFrame) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def run_latest(t: Tables, latest: DataFrame) -> DataFrame:
+    """Run a stream of newest rows to its end and read the rows that count."""
+    base = scratch_dir(t.spark)
+    jobs.write_changes(latest, f"{base}/out", f"{base}/state").awaitTermination()
+    return jobs.current_rows(t.spark, f"{base}/out", latest.schema)
+
+
 @query("stream_ingest", "SELECT DISTINCT user_id || '-' || event_type AS key FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
     """One row per key leaves the stream."""
-    e = event_stream(t).withColumn("key", F.concat_ws("-", F.col("user_id").cast("string"), "event_type"))
-    first = jobs.first_per_key(e.select("key", "ts", "event_id"))
-    return run(t, first).select("key")
+    e = event_stream(t).select(
+        F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("double").alias("timestamp"),
+        F.col("event_id").cast("string").alias("request_id"), F.lit("").alias("response"),
+    )
+    return run_latest(t, call_log.last_per_key(e)).select("key")
+
+
+@query("stream_last_calls", f"SELECT key, event_id::DOUBLE AS timestamp, CAST(event_id AS VARCHAR) AS request_id, round(value / 10, 8) AS latency_s FROM ({LAST})")
+def stream_last_calls(t: Tables) -> DataFrame:
+    """The call log as a growing folder of many files, taken a few at a time: the newest entry of each key, as the batch ingest keeps."""
+    folder = f"{scratch_dir(t.spark)}/log"
+    event_log(t).repartition(12, "value").write.text(folder)
+    calls = jobs.answered_calls(jobs.read_log_stream(t.spark, folder, max_files=5))
+    done = run_latest(t, call_log.last_per_key(calls))
+    return done.select("key", "timestamp", "request_id", F.round("latency_s", 8).alias("latency_s"))
 
 
 @query(

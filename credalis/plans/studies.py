@@ -2,7 +2,7 @@
 
 The studies read the derived views, so the same code runs on any scored rows with
 those columns. Results are long tables of (part, group, metric values). Intervals
-come from level-wise resamples, whose cost does not grow with the rows.
+come from resamples of the count tree, whose cost does not grow with the rows.
 """
 
 from __future__ import annotations
@@ -31,12 +31,11 @@ from credalis.operators import trend as TR
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import paired
 from credalis.plans.q_recal import errors
-from credalis.plans.q_resample import RESAMPLES, gap_rows
+from credalis.plans.q_resample import RESAMPLES as B
+from credalis.plans.q_resample import NULLS, SPLITS, gap_rows
 from credalis.plans.q_score import _balance, _orders, scope
 from credalis.plans.views import CUTOFF, Tables
 
-B = 200
-"""Resamples per interval."""
 
 
 def long(df: DataFrame, part: str, group: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +57,7 @@ def holm_parts(results: DataFrame, p: str) -> DataFrame:
 
 
 def level_mean(df: DataFrame, keys: Sequence[str], value: str, threshold: float, side: str = "ge") -> DataFrame:
-    return I.bootstrap_mean(df, keys, value, [], B, threshold, side, scheme="level")
+    return I.bootstrap_mean(df, keys, value, [], B, threshold, side)
 
 
 def cells(t: Tables) -> DataFrame:
@@ -102,7 +101,7 @@ def scope_detection(t: Tables) -> DataFrame:
         F.round("known", 2).alias("p_fits"), F.round(1 - F.col("p_max"), 2).alias("unsure"), F.round(1 - F.col("known"), 2).alias("unfit"),
     )
     d = I.stack_scores(s, ["unsure", "unfit"], ["set_name", "oos"])
-    det = I.detection_interval(d, ["set_name", "name"], "score", "oos", [], B, scheme="level")
+    det = I.detection_interval(d, ["set_name", "name"], "score", "oos", [], B)
     return stack(long(SU.scope_rates(s, ["set_name"], "D"), "rates", ["set_name"]), long(det, "detection", ["set_name", "name"]))
 
 
@@ -129,7 +128,7 @@ def classifier_compare(t: Tables) -> DataFrame:
 @query("error_detection")
 def error_detection(t: Tables) -> DataFrame:
     e = errors(t).withColumns({"unsure": 1 - F.col("p_max"), "correct": ~F.col("error")})
-    a = I.auroc_interval(e, ["set_name"], "unsure", "error", B, scheme="level")
+    a = I.auroc_interval(e, ["set_name"], "unsure", "error", B)
     ap = R.average_precision(e, ["set_name"], "unsure", "error")
     rc = R.risk_coverage(e, ["set_name"], "p_max", "correct")
     s = scope(t)
@@ -146,17 +145,17 @@ def synthetic_scores(t: Tables) -> DataFrame:
     )
     modes = SU.mode_share(o, ["set_name", "replicate"])
     valid = o.select("set_name", F.round(D.subset_mass("dist", F.array(F.lit("A"), F.lit("B"))), 3).alias("mass"))
-    eq = I.equivalence(valid.withColumn("d", F.col("mass") - 0.5), ["set_name"], "d", 0.05, [], B, scheme="level")
+    eq = I.equivalence(valid.withColumn("d", F.col("mass") - 0.5), ["set_name"], "d", 0.05, [], B)
     return stack(long(exp, "expected", ["set_name", "replicate"]), long(modes, "modes", ["set_name", "replicate"]), long(eq, "valid_mass", ["set_name"]))
 
 
 @query("knowledge_boundary")
 def knowledge_boundary(t: Tables) -> DataFrame:
     g = R.rank_groups(R.with_tie(gap_rows(t).withColumn("pop", F.col("supp").cast("double")), "unit"), [], "pop", 5, "tie")
-    eq = I.equivalence(g, ["group"], "gap", 0.05, [], B, scheme="level")
-    ends = I.mean_difference(g.filter(F.col("group").isin(0, 4)).withColumn("low", F.col("group") == 0), [], "p_max", "low", [], B, scheme="level")
+    eq = I.equivalence(g, ["group"], "gap", 0.05, [], B)
+    ends = I.mean_difference(g.filter(F.col("group").isin(0, 4)).withColumn("low", F.col("group") == 0), [], "p_max", "low", [], B)
     cp = TS.change_point(TS.monthly(t.rows, []), []).drop("first_post_month")
-    cal = I.smece_interval(t.rows, ["set_name"], "p_max", "correct", 50)
+    cal = I.smece_interval(t.rows, ["set_name"], "p_max", "correct", B)
     by = R.auroc(g, ["group"], "p_known", "correct")
     fam = eq.select(F.concat(F.lit("quintile "), F.col("group").cast("string")).alias("name"), "p")
     return stack(long(eq, "quintiles", ["group"]), long(ends, "ends"), long(cp, "change_point"), long(cal, "calibration", ["set_name"]), long(by, "known", ["group"]), holm_parts(fam, "p"))
@@ -166,7 +165,7 @@ def knowledge_boundary(t: Tables) -> DataFrame:
 def evidence(t: Tables) -> DataFrame:
     s = DO.within_item_slope(t.conversations, ["conv_id"], F.col("turn"), F.length("text") / 1000)
     fl = DO.first_last_contrast(t.conversations, ["conv_id"], "turn", F.length("text") / 1000)
-    cal = I.smece_interval(cells(t).select("set_name", F.round("p_max", 4).alias("p_max"), "correct"), ["set_name"], "p_max", "correct", 50)
+    cal = I.smece_interval(cells(t).select("set_name", F.round("p_max", 4).alias("p_max"), "correct"), ["set_name"], "p_max", "correct", B)
     return stack(
         long(I.bootstrap_mean(s, [], "slope", ["conv_id"], B), "slope"), long(I.bootstrap_mean(fl, [], "first_minus_last", ["conv_id"], B), "first_last"),
         long(cal, "calibration", ["set_name"]), long(SU.group_summary(t.rows, [["set_name"], ["post"]]), "summary", ["set_name", "post"]),
@@ -175,12 +174,12 @@ def evidence(t: Tables) -> DataFrame:
 
 @query("benchmarks")
 def benchmarks(t: Tables) -> DataFrame:
-    a = I.auroc_interval(t.rows, ["set_name"], "p_known", "correct", B, threshold=0.6, scheme="level")
-    cal = I.smece_interval(t.rows, ["set_name"], "p_max", "correct", 50)
+    a = I.auroc_interval(t.rows, ["set_name"], "p_known", "correct", B, threshold=0.6)
+    cal = I.smece_interval(t.rows, ["set_name"], "p_max", "correct", B)
     opts = F.array(*[F.lit(o) for o in "ABCD"])
     human = F.map_from_arrays(opts, F.reverse(F.map_values("dist")))
     agree = SU.human_agreement(t.answers.withColumns({"human": human, "panel": F.lit(None).cast("map<string,double>")}), ["set_name"])
-    rho = I.spearman_interval(t.rows, ["set_name"], "p_max", "p_known", [], B, scheme="level")
+    rho = I.spearman_interval(t.rows, ["set_name"], "p_max", "p_known", [], B)
     fam = a.select(F.col("set_name").alias("name"), F.col("tail").alias("p"))
     return stack(
         long(a, "auroc", ["set_name"]), long(cal, "calibration", ["set_name"]), long(SU.threshold_coverage(t.rows, ["set_name"]), "selective", ["set_name"]),
@@ -190,7 +189,7 @@ def benchmarks(t: Tables) -> DataFrame:
 
 @query("follow_up")
 def follow_up(t: Tables) -> DataFrame:
-    a = I.auroc_interval(t.rows, ["post"], "p_known", "correct", B, threshold=0.5, scheme="level")
+    a = I.auroc_interval(t.rows, ["post"], "p_known", "correct", B, threshold=0.5)
     cov = SU.coverage_table(scope(t), ["replicate", "post"], "D", 0.5)
     read = t.answers.select("set_name", F.abs(D.percent_reading("level") - F.col("known")).alias("e")).groupBy("set_name").agg(F.avg("e").alias("reading_error"))
     return stack(long(a, "known", ["post"]), long(cov, "coverage", ["replicate", "post"]), long(read, "readings", ["set_name"]), long(level_mean(gap_rows(t), ["post"], "gap", 0.05), "gap", ["post"]))
@@ -199,7 +198,7 @@ def follow_up(t: Tables) -> DataFrame:
 @query("second_look")
 def second_look(t: Tables) -> DataFrame:
     e = errors(t).withColumns({"s1": 1 - F.col("p_max"), "s2": 1 - F.col("p_known"), "ok": (~F.col("error")).cast("double")})
-    gain = I.paired_auroc_difference(e, ["set_name"], "s2", "s1", "error", B, scheme="level")
+    gain = I.paired_auroc_difference(e, ["set_name"], "s2", "s1", "error", B)
     by = e.groupBy("set_name").agg(F.corr("p_max", "ok").alias("r_first"), F.corr("p_known", "ok").alias("r_second"), F.avg("ok").alias("accuracy"))
     cal = C.smece(t.rows, ["set_name"], "p_known", "correct")
     return stack(long(gain, "gain", ["set_name"]), long(by, "tracking", ["set_name"]), long(cal, "calibration", ["set_name"]))
@@ -211,7 +210,7 @@ def contrast_cases(t: Tables) -> DataFrame:
     p = t.answers.select("replicate", F.round(D.prob("dist", F.col("gold")), 3).alias("p_gold"))
     m = level_mean(p, ["replicate"], "p_gold", 0.5, "le")
     s = scope(t).select("unit", F.round(1 - F.col("known"), 2).alias("doubt"), (F.col("gold") == "D").alias("undecidable"))
-    a = I.auroc_interval(s, [], "doubt", "undecidable", B, scheme="level")
+    a = I.auroc_interval(s, [], "doubt", "undecidable", B)
     fam = m.select(F.concat(F.lit("variant "), F.col("replicate").cast("string")).alias("name"), F.col("tail").alias("p"))
     return stack(long(v, "variants", ["set_name", "variant"]), long(m, "p_gold", ["replicate"]), long(a, "enough"), holm_parts(fam, "p"))
 
@@ -219,7 +218,7 @@ def contrast_cases(t: Tables) -> DataFrame:
 @query("option_count")
 def option_count(t: Tables) -> DataFrame:
     k = t.rows.withColumn("K", F.col("line"))
-    cal = I.smece_interval(k, ["K"], "p_max", "correct", 50)
+    cal = I.smece_interval(k, ["K"], "p_max", "correct", B)
     a = R.auroc(k, ["K"], "p_max", "correct")
     fam = cal.select(F.concat(F.lit("K "), F.col("K").cast("string")).alias("name"), F.col("tail").alias("p"))
     return stack(long(cal, "calibration", ["K"]), long(a, "auroc", ["K"]), long(SU.group_summary(k, [["K"]]), "summary", ["K"]), holm_parts(fam, "p"))
@@ -244,8 +243,8 @@ def open_answers(t: Tables) -> DataFrame:
         "set_name", F.round(D.valid_spread("dist", keys), 3).alias("spread"), F.round(D.verification_confidence("known"), 3).alias("conf"),
         ((F.col("known") >= 0.5) == F.col("gold").isin("A", "B")).alias("right"), F.round(D.prob("dist", F.lit("D")), 3).alias("p_idk"), (F.col("gold") == "D").alias("wrong"),
     )
-    a = I.auroc_interval(s, ["set_name"], "p_idk", "wrong", B, scheme="level")
-    cal = I.smece_interval(s, ["set_name"], "conf", "right", 50)
+    a = I.auroc_interval(s, ["set_name"], "p_idk", "wrong", B)
+    cal = I.smece_interval(s, ["set_name"], "conf", "right", B)
     sp = level_mean(s, ["set_name"], "spread", 0.5, "le")
     fam = sp.select(F.col("set_name").alias("name"), F.col("tail").alias("p"))
     return stack(long(a, "idk", ["set_name"]), long(cal, "verification", ["set_name"]), long(sp, "spread", ["set_name"]), holm_parts(fam, "p"))
@@ -277,7 +276,7 @@ def surface_controls(t: Tables) -> DataFrame:
 def cutoff_calibration(t: Tables) -> DataFrame:
     eq = TS.equal_confidence(t.rows, B)
     gaps = stack(long(C.single_map_gaps(t.rows, [], C.COARSE_BANDS), "map_coarse"), long(C.single_map_gaps(t.rows, [], C.FINE_BANDS), "map_fine"))
-    mix = TS.matched_coverage_interval(paired(t), (0.05, 0.25, 0.5, 0.8), 100)
+    mix = TS.matched_coverage_interval(paired(t), (0.05, 0.25, 0.5, 0.8), B)
     return stack(long(eq, "bands", ["band"]), gaps, long(mix, "mix", ["share"]))
 
 
@@ -288,7 +287,7 @@ def knowledge_cutoff(t: Tables) -> DataFrame:
     at = TS.cutoff_stats(m, cp.select(F.col("first_post_month").alias("cutoff")), [])
     boot = TS.selection_bootstrap(t.rows, [], B)
     sel = boot.groupBy("first_post_month").agg((F.count(F.lit(1)) / float(B)).alias("share"), F.avg("post_gap").alias("post_gap"))
-    halves = TS.split_selection(t.rows, ["unit"], 4).agg(F.min("post_gap").alias("gap_min"), F.max("post_gap").alias("gap_max"), F.avg("drop").alias("drop"))
+    halves = TS.split_selection(t.rows, [], SPLITS).agg(F.min("post_gap").alias("gap_min"), F.max("post_gap").alias("gap_max"), F.avg("drop").alias("drop"))
     shape = TR.item_ols_interval(t.rows, "p_known", CUTOFF, B)
     return stack(long(at, "selected", ["cutoff"]), long(sel, "selection", ["first_post_month"]), long(halves, "halves"), long(shape, "shape"), long(TS.cutoff_stats(m, TS.cutoff_table(t.spark, TS.SENSITIVITY), []), "sensitivity", ["cutoff"]))
 
@@ -296,9 +295,9 @@ def knowledge_cutoff(t: Tables) -> DataFrame:
 @query("recalibration")
 def recalibration(t: Tables) -> DataFrame:
     lv = C.level_table(t.rows, [])
-    nulls = I.within_value_permutation_levels(lv, [], 1000).agg(F.avg("lower_bound").alias("mean"), F.percentile("lower_bound", 0.95).alias("p95"))
-    months = I.random_months_null(t.rows, 200).agg(F.avg("lower_bound").alias("mean"), F.percentile("lower_bound", 0.95).alias("p95"))
-    cross = P.gap_summary(P.cross_fitted_maps(P.half_month_panels(P.month_level_counts(t.rows), 50)))
+    nulls = I.within_value_permutation_levels(lv, [], B).agg(F.avg("lower_bound").alias("mean"), F.percentile("lower_bound", 0.95).alias("p95"))
+    months = I.random_months_null(t.rows, NULLS).agg(F.avg("lower_bound").alias("mean"), F.percentile("lower_bound", 0.95).alias("p95"))
+    cross = P.gap_summary(P.cross_fitted_maps(P.half_month_panels(P.month_level_counts(t.rows), SPLITS)))
     blocks = TS.block_selection_bootstrap(t.rows, B).groupBy("band").agg(F.avg("difference").alias("difference"), F.avg((F.col("shift") == 0).cast("double")).alias("at_boundary"))
     bands = TS.range_band_join(t.rows).agg(F.count(F.lit(1)).alias("intervals"), F.min("difference").alias("min_difference"), F.avg((F.col("difference") > 0).cast("double")).alias("share_positive"))
     return stack(
@@ -321,13 +320,13 @@ def abstention(t: Tables) -> DataFrame:
     sel = stack(*[long(R.selective_at(j, ["post"], s, "base_ok", F.col("cov"), "p_max", "tie"), f"threshold_{s}", ["post"]) for s in ("p_max", "p_known")])
     area = stack(*[long(R.risk_coverage(p, ["post"], s, "base_ok", ()), f"aurc_{s}", ["post"]) for s in ("p_max", "p_known")])
     sep = I.auroc_interval(t.rows.withColumn("unknown", 1 - F.col("p_known")), [], "unknown", "post", B, cluster="month")
-    return stack(long(cov, "option", ["post"]), sel, area, long(sep, "separability"), long(TR.step_trend(t.rows, [], "p_known", CUTOFF, 100), "trend", ["spec"]))
+    return stack(long(cov, "option", ["post"]), sel, area, long(sep, "separability"), long(TR.step_trend(t.rows, [], "p_known", CUTOFF, B), "trend", ["spec"]))
 
 
 @query("popularity_dose")
 def popularity_dose(t: Tables) -> DataFrame:
     g = R.rank_groups(R.with_tie(t.rows.withColumn("pop", F.col("supp").cast("double")), "unit"), [], "pop", 5, "tie")
-    bounds = I.smece_bounds(g.select("group", "unit", "p_max", "correct"), ["group"], "p_max", "correct", RESAMPLES, [])
+    bounds = I.smece_bounds(g.select("group", "unit", "p_max", "correct"), ["group"], "p_max", "correct", B, [])
     full = DO.complete_items(t.cells, "item", "dose", (1, 2, 3, 4, 5))
     slopes = {"per_unit": F.log2(F.col("dose") + 1), "per_doubling": F.log2("dose")}
     parts = [long(I.bootstrap_mean(DO.within_item_slope(full, ["item"], x, F.col("value")), [], "slope", ["item"], B), n) for n, x in slopes.items()]
@@ -349,9 +348,9 @@ def shortcut_baselines(t: Tables) -> DataFrame:
     prop = SU.proper_scores(t.answers.withColumn("correct", D.top_option("dist", "options") == F.col("gold")), ["set_name"])
     within = R.stratified_auroc(t.rows, ["post"], "p_known", "correct", "month")
     pair = I.paired_auroc_difference(t.rows, [], "p_known", "p_max", "correct", B, cluster="month")
-    acc = RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", 10)
+    acc = RC.heldout_acceptance(t.rows, "supp", ["p_max", "p_known"], "correct", SPLITS)
     return stack(
         long(prop, "proper", ["set_name"]), long(cov, "coverage", ["replicate", "post"]), long(within, "within_period", ["post"]), long(pair, "paired"),
-        long(SU.label_balance(_balance(t)).filter("grouping < 2"), "balance", ["post", "category", "month"]), long(P.partition_crossfit(t.rows, 10, 50), "partition"),
+        long(SU.label_balance(_balance(t)).filter("grouping < 2"), "balance", ["post", "category", "month"]), long(P.partition_crossfit(t.rows, SPLITS, NULLS), "partition"),
         long(P.forward_chaining(t.rows).groupBy("kind", "late").agg(F.avg("gap").alias("gap"), F.avg("raw_gap").alias("raw_gap")), "forward", ["kind", "late"]), long(acc, "acceptance", ["name", "coverage"]),
     )

@@ -46,10 +46,14 @@ def ingest(lines: DataFrame) -> DataFrame:
     ``max_by`` keeps one candidate per key and task, so a key repeated very often
     is not sorted in one place.
     """
-    good = parse_lines(lines).filter("ok").drop("ok", "value")
-    order = F.struct(F.coalesce("timestamp", F.lit(float("-inf"))), F.coalesce("request_id", F.lit("")))
-    cols = [c for c in good.columns if c != "key"]
-    last = good.groupBy("key").agg(F.max_by(F.struct(*cols), order).alias("_e"))
+    return last_per_key(parse_lines(lines).filter("ok").drop("ok", "value"))
+
+
+def last_per_key(calls: DataFrame) -> DataFrame:
+    """The newest entry of each key, of a table or a stream; equal times go by request and response."""
+    order = F.struct(F.coalesce("timestamp", F.lit(float("-inf"))), F.coalesce("request_id", F.lit("")), F.coalesce("response", F.lit("")))
+    cols = [c for c in calls.columns if c != "key"]
+    last = calls.groupBy("key").agg(F.max_by(F.struct(*cols), order).alias("_e"))
     return last.select("key", "_e.*")
 
 

@@ -1,15 +1,19 @@
 """Two streams over an append-only log of answers.
 
-The ingest remembers every key it has written, however late a repeat comes; its state
-holds one entry for each distinct key and belongs into a state store on disk
-(``spark.sql.streaming.stateStore.providerClass``). Windows are emitted once, when the
-watermark has passed, and dropped.
+The ingest keeps the newest entry of every key, however late a repeat comes, as the batch
+ingest does. Its state holds one entry for each distinct key, in a state store on disk; each
+batch writes the keys it changed, and the newest batch of a key counts. Windows are emitted
+once, when the watermark has passed, and dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from credalis.sources.call_log import parse_lines
@@ -26,13 +30,49 @@ def answered_calls(lines: DataFrame) -> DataFrame:
     return good.withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
-def first_per_key(calls: DataFrame, key: str = "key") -> DataFrame:
-    """One row per key over all batches and restarts; the first entry wins.
+ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+"""Settings of a session whose streams remember many keys."""
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the start of a query, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def write_changes(latest: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the keys that each batch changed, and stop when the available input is processed.
 
-    The batch ingest keeps the last entry instead: a stream cannot take back a row
-    it has already written.
+    ``latest`` is a stream of one row a key, as ``call_log.last_per_key`` gives. A batch that
+    runs again after a failure overwrites its own folder. A restart with the same checkpoint
+    continues where the last run ended.
     """
-    return calls.dropDuplicates([key])
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with settings(latest.sparkSession, ON_DISK):
+        return (
+            latest.writeStream.outputMode("update").foreachBatch(keep)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+
+
+def current_rows(spark: SparkSession, out: str, schema: T.StructType, key: str = "key") -> DataFrame:
+    """The newest row of each key from what ``write_changes`` wrote."""
+    changes = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    rest = [c for c in schema.names if c != key]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(key, "_r.*")
 
 
 def window_calibration(

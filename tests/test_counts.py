@@ -1,11 +1,10 @@
-"""Full counts of draws, and level-wise draws against brute force."""
+"""Full counts of draws, and draws from the count tree against brute force."""
 
 import itertools
 
 import __spark_entry__ as entry
 import numpy as np
 from credalis.operators import inference as I
-from credalis.operators import resample as B
 from credalis.operators import timesplit as TS
 
 SF = "/root/testdata/sf0.001"
@@ -19,32 +18,20 @@ def test_full_counts(spark):
     assert q["split_selection_levels"](spark, SF).select("split_no").distinct().count() == 50
 
 
-def test_half_levels(spark):
-    """Half of the rows each time, with the mean and variance of draws without replacement."""
-    n = {"a": 7, "b": 1, "c": 13}
-    df = spark.createDataFrame([("k", v, c) for v, c in n.items()], "k string, v string, n long")
-    got = B.half_levels(df, ["k"], ["v"], "n", 3000).toPandas().pivot(index="b", columns="v", values="w")
-    assert len(got) == 3000 and (got.sum(axis=1) == 10).all()
-    for v, c in n.items():
-        assert got[v].between(0, c).all()
-        assert abs(got[v].mean() - c * 10 / 21) < 0.1
-        assert abs(got[v].var() - 10 * c / 21 * (1 - c / 21) * 11 / 20) < 0.15
-
-
-def test_sign_flips_by_level(spark):
+def test_sign_flips(spark):
     d = [0.5, 0.5, 0.5, -0.25, -0.25, 1.0, -0.75, 0.125, 0.125, 0.125]
     df = spark.createDataFrame([("m", i, x) for i, x in enumerate(d)], "month string, unit long, gap double")
-    got = I.sign_flip_test(df, ["month"], "gap", [], 4000, scheme="level").first()
+    got = I.sign_flip_test(df, ["month"], "gap", [], 4000).first()
     all_signs = np.array(list(itertools.product([-1, 1], repeat=len(d))))
     assert got["n"] == len(d) and abs(got["p"] - ((all_signs * d).mean(axis=1) <= np.mean(d) + 1e-12).mean()) < 0.03
 
 
-def test_split_halves_by_level(spark):
-    """Both halves of each month, by level as by row."""
+def test_split_halves(spark):
+    """Both halves of each month, from the tree as by row."""
     rows = [(f"{m}-{i}", f"2000-{m:02d}", 0.5 + (i % 4) / 10, i % 3 < (2 if m < 8 else 1)) for m in range(1, 17) for i in range(20 + m)]
     df = spark.createDataFrame(rows, "unit string, month string, p_max double, correct boolean")
     total = len(rows) - sum((20 + m) // 2 for m in range(1, 17))
-    for scheme in ("item", "level"):
+    for scheme in ("item", "tree"):
         got = TS.split_selection(df, ["unit"], 40, scheme=scheme).toPandas()
         assert len(got) == 40 and (got["n_pre"] + got["n_post"] == total).all()
         assert (got["cutoff"] == "2000-08").mean() > 0.6

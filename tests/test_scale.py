@@ -58,7 +58,7 @@ def test_metrics_do_not_depend_on_partitions(skewed):
         got = (
             R.risk_coverage(d, [], "s", "y", (0.8,), "input_order", "tie").first().asDict(),
             I.bootstrap_mean(d, [], "s", ["unit"], 8).first().asDict(),
-            I.bootstrap_mean(d, [], "s", ["unit"], 20, scheme="level").first().asDict(),
+            I.bootstrap_mean(d, [], "s", [], 20).first().asDict(),
         )
         if n == 1:
             want = got
@@ -104,15 +104,6 @@ def test_replicate_spread_equals_all_pairs(spark):
         assert got[u] == pytest.approx(np.mean(pairs))
 
 
-def test_level_weights_are_poisson(spark):
-    lv = spark.createDataFrame([("a", 4.0), ("b", 400.0)], "v string, n double")
-    w = B.level_weights(lv, ["v"], "n", 4000).groupBy("v").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).toPandas().set_index("v")
-    for v, lam in (("a", 4.0), ("b", 400.0)):
-        mean = w.loc[v, "s"] / 4000
-        var = w.loc[v, "q"] / 4000 - mean**2
-        assert mean == pytest.approx(lam, rel=0.05) and var == pytest.approx(lam, rel=0.1)
-
-
 def test_clusters_stay_whole(spark):
     df = spark.range(60).select((F.col("id") % 6).cast("string").alias("c"))
     w = B.cluster_weights(df, [], "c", 30)

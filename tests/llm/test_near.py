@@ -187,7 +187,7 @@ def test_runs_of_one_anchor_are_told_apart(spark, monkeypatch):
     gram = say(24)
     texts = [say(30) + gram + say(30) for _ in range(40)]
     schema = arrow_of(passages.PACKED)
-    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(range(40), pa.int64())], ["id", "t", "key"])
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64())], ["id", "t", "key", "key2"])
     sent = pa.Table.from_batches(list(passages._send(1, schema)(iter([batch]))))
     runs = sent.filter(pc.equal(sent["kind"], "runs"))
     told = passages._answer((pa.scalar(0, pa.int32()),), runs).to_pylist()
@@ -202,6 +202,22 @@ def test_runs_of_one_anchor_are_told_apart(spark, monkeypatch):
         assert (least == lead.doc[own]).all()
 
 
+def test_strings_of_one_digest_are_ordered(monkeypatch):
+    """Classes come from the suffix order where digests agree, in one array or dealt by anchor."""
+    rng = random.Random(3)
+    piece = "".join(rng.choices("ab", k=90))
+    texts = [("".join(rng.choices("ab", k=rng.randint(0, 40))) + piece + "".join(rng.choices("ab", k=30))).encode() for _ in range(12)]
+    stream, starts = stream_of(texts)
+    begin = np.concatenate([np.arange(starts[d], starts[d] + len(t) - 49) for d, t in enumerate(texts)])
+    strings = [stream[b : b + 50].tobytes() for b in begin]
+    anchor = np.array([hash(s) % 5 for s in strings], np.uint64) << np.uint64(7)
+    for limit in (1 << 19, 300):
+        monkeypatch.setattr(passages, "SORT_BYTES", limit)
+        for digest in (np.zeros(len(begin), np.uint64), passages.digests(stream, begin)[0]):
+            kind = passages.equal_strings(stream, begin, anchor, digest)
+            assert len(set(kind.tolist())) == len(set(strings)) == len(set(zip(kind.tolist(), strings, strict=True)))
+
+
 def stream_and_hashes(texts):
     stream, starts = stream_of([t.encode() for t in texts])
     return stream, starts, passages.Hashes.of(stream)

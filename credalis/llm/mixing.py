@@ -22,12 +22,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, column_bytes, stored, text_chunks, with_text
-from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, feature_lists, features, fit_lists, used
+from credalis.llm.frames import arrow_of, batch_of, stored, text_chunks, with_text
+from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, compact, feature_lists, features, fit_lists, ordered_texts, used
 from credalis.llm.words import ALPHANUMERIC, words_of
 
 MAX_ROWS = 6_000
@@ -47,12 +48,12 @@ def domain_labels(labels: DataFrame, domains: Sequence[tuple[int, int]], id_col:
 
 def _fit_shard(k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("draw")
-        lists = feature_lists(column_bytes(table.column("text").combine_chunks()))
-        domain = table.column("domain").to_numpy()
+        order = pc.sort_indices(table.column("draw"))
+        lists = compact(feature_lists(ordered_texts(table, order)))
+        domain = table.column("domain").take(order).to_numpy()
         rows: list[tuple[int, int, float]] = []
         for d in range(k):
-            model = fit_lists(lists, (domain == d).astype(float))
+            model = fit_lists(*lists, (domain == d).astype(float))
             rows += [(d, int(a), float(w)) for a, w in zip([*model.at, 1 << BITS], [*model.weight, model.bias], strict=True)]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("domain", "at", "weight"), zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)})
 

@@ -16,24 +16,25 @@ Columns beside id and text are never inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, column_bytes, text_chunks, with_text
+from credalis.llm.frames import ROWS_AT_ONCE, arrow_of, batch_of, column_bytes, text_chunks, with_text
 from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 
 BITS = 22
 MAX_ROWS = 32_000
 SHARD_ROWS = 4_000
-FIT_BYTES = 1 << 21
-SCORE_BYTES = 1 << 22
+FIT_BYTES = 1 << 20
+SCORE_BYTES = 1 << 21
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 THRESHOLD = 0.3
@@ -86,30 +87,50 @@ def used(models: list[Model]) -> np.ndarray:
     return out
 
 
-def feature_lists(texts: list[bytes], limit: int = FIT_BYTES) -> list[np.ndarray]:
+def feature_lists(texts: Iterable[bytes], limit: int = FIT_BYTES) -> list[np.ndarray]:
     """Coordinates of each text, worked out over a bounded amount of text at a time."""
     out: list[np.ndarray] = []
-    start, held = 0, 0
-    for i, text in enumerate(texts):
+
+    def add(part: list[bytes]) -> None:
+        doc, feature = features(words_of(part, ALPHANUMERIC))
+        cut = np.searchsorted(doc, np.arange(len(part) + 1))
+        out.extend(feature[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
         held += len(text)
-        if held >= limit or i == len(texts) - 1:
-            doc, feature = features(words_of(texts[start : i + 1], ALPHANUMERIC))
-            cut = np.searchsorted(doc, np.arange(i + 2 - start))
-            out += [feature[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            start, held = i + 1, 0
+        if held >= limit:
+            add(part)
+            part, held = [], 0
+    if part:
+        add(part)
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+def ordered_texts(table: pa.Table, order: pa.Array) -> Iterator[bytes]:
+    """Texts of a shard in the given order, a few at a time."""
+    column = table.column("text").combine_chunks()
+    for k in range(0, len(order), ROWS_AT_ONCE):
+        yield from column_bytes(column.take(order.slice(k, ROWS_AT_ONCE)))
+
+
+def fit(texts: Iterable[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     """FTRL-proximal over the examples in the given order."""
-    return fit_lists(feature_lists(texts), labels, epochs)
+    return fit_lists(*compact(feature_lists(texts)), labels, epochs)
 
 
-def fit_lists(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """The same from the coordinates of each text; one more for the bias stands last and is not shrunk."""
+def compact(lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Coordinates that occur, and each text's places among them, with one for the bias last; ``lists`` is taken over."""
     seen = np.unique(np.concatenate([*lists, np.zeros(0, np.int32)]))
+    for k, x in enumerate(lists):
+        lists[k] = np.append(np.searchsorted(seen, x), len(seen)).astype(np.int32)
+    return seen, lists
+
+
+def fit_lists(seen: np.ndarray, own: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """The same from ``compact``; the bias is not shrunk."""
     bias = len(seen)
-    own = [np.append(np.searchsorted(seen, x), bias).astype(np.int32) for x in lists]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weight(z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
@@ -132,8 +153,8 @@ def held_out(id_column: Column) -> Column:
 
 
 def _fit_shard(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("draw")
-    model = fit(column_bytes(table.column("text").combine_chunks()), table.column("label").to_numpy())
+    order = pc.sort_indices(table.column("draw"))
+    model = fit(ordered_texts(table, order), table.column("label").take(order).to_numpy())
     return pa.table({"at": pa.array([*model.at, 1 << BITS], pa.int64()), "weight": pa.array([*model.weight, model.bias], pa.float64())})
 
 

@@ -95,3 +95,48 @@ def test_mixing(tables):
     none = docs.limit(0)
     assert mixing.mixing_rates(none, domains, [0.5, 0.2, 0.2, 0.1]).count() == mixing.mixed_rows(none, domains, [0.5, 0.2, 0.2, 0.1]).count() == 0
     assert {tuple(r.posterior) for r in mixing.mixing_rates(docs, domains.limit(0), [1, 1, 1, 1]).collect()} == {(0.25, 0.25, 0.25, 0.25)}
+
+
+def plain_ftrl(examples, epochs=toxicity.EPOCHS):
+    """Follow the proximally regularised leader, one named feature after the other."""
+    z, n = {}, {}
+
+    def weight(f):
+        l1 = 0.0 if f == "bias" else toxicity.L1
+        if abs(z.get(f, 0.0)) <= l1:
+            return 0.0
+        return ((1 if z[f] > 0 else -1) * l1 - z[f]) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for found, y in examples:
+            w = {f: weight(f) for f in [*found, "bias"]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for f, v in w.items():
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * v
+                n[f] = old + g * g
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def named_features(text):
+    w = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+    pairs = [("near", a, b) for a, b in zip(w, w[1:], strict=False)] + [("far", a, b) for a, b in zip(w, w[2:], strict=False)]
+    return set(w) | {("stem", x[: toxicity.STEM]) for x in w} | set(pairs)
+
+
+def test_ftrl_against_named_features():
+    """Hashed training gives the scores of plain training on explicit words, heads, pairs and skip pairs."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdef", k=6)) for _ in range(40)]
+    examples = []
+    for i in range(150):
+        text = rng.choices(words, k=rng.randint(0, 15)) + (["Vile!", "thing"] if i % 3 == 0 else [])
+        rng.shuffle(text)
+        examples.append((" ".join(text), float(i % 3 == 0)))
+    model = toxicity.fit([t.encode() for t, _ in examples], np.array([y for _, y in examples]))
+    plain = plain_ftrl([(named_features(t), y) for t, y in examples])
+    assert len(model.at) == len(plain) - ("bias" in plain)
+    for t, _ in examples[:40]:
+        want = 1 / (1 + np.exp(-sum(plain.get(f, 0.0) for f in [*named_features(t), "bias"])))
+        got = model.scores(*toxicity.features(toxicity.words_of([t.encode()], toxicity.ALPHANUMERIC)), 1)[0]
+        assert got == pytest.approx(want, abs=1e-9)

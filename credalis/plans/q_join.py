@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credalis.functions import dist as D
 from credalis.functions import text
 from credalis.operators import joins as J
+from credalis.operators import replicates as RP
 from credalis.operators import scoring as S
 from credalis.operators import timesplit as TS
 from credalis.plans.catalog import query
@@ -27,16 +28,25 @@ def align_by_unit(t: Tables) -> DataFrame:
     return rnd(j.groupBy("set_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")), digits=6)
 
 
+PAIRS = "(SELECT unnest([0, 0, 1]) AS i, unnest([1, 2, 2]) AS j)"
+"""Every pair of the three replicates."""
+
+
+def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First and second replicate of every pair, with the pair as ``pair``."""
+    both = RP.every_pair(df, 3)
+    return both.filter("side = 'a'"), both.filter("side = 'b'")
+
+
 @query(
     "pair_conditions",
-    """SELECT a.set_name, count(*) AS n, round(avg(a.known - b.known), 8) AS difference, round(avg((a.gold = b.gold)::INT), 8) AS same_gold
-       FROM answers a JOIN answers b USING (unit) WHERE a.replicate = 0 AND b.replicate = 2 GROUP BY 1""",
+    f"""SELECT i || '-' || j AS pair, a.set_name, count(*) AS n, round(avg(a.known - b.known), 8) AS difference, round(avg((a.gold = b.gold)::INT), 8) AS same_gold
+       FROM {PAIRS} JOIN answers a ON a.replicate = i JOIN answers b ON b.replicate = j AND a.unit = b.unit GROUP BY 1, 2""",
     "answers",
 )
 def pair_conditions(t: Tables) -> DataFrame:
-    df = t.answers.withColumn("cond", F.col("replicate").cast("string"))
-    w = J.pair_conditions(df, ["set_name", "unit"], "cond", "0", "2", ["known", "gold"])
-    return rnd(w.groupBy("set_name").agg(
+    w = J.pair_conditions(RP.every_pair(t.answers, 3), ["pair", "set_name", "unit"], "side", "a", "b", ["known", "gold"])
+    return rnd(w.groupBy("pair", "set_name").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("known_a") - F.col("known_b")).alias("difference"),
         F.avg((F.col("gold_a") == F.col("gold_b")).cast("double")).alias("same_gold"),
     ))
@@ -60,15 +70,14 @@ def join_features(t: Tables) -> DataFrame:
 
 @query(
     "model_agreement",
-    f"""WITH {TOP_CTE}, j AS (SELECT a.set_name, a.known AS x, b.known AS y, a.top = a.gold AS ca, b.top = b.gold AS cb FROM t a JOIN t b USING (unit) WHERE a.replicate = 0 AND b.replicate = 1),
-       r AS (SELECT *, rank() OVER (PARTITION BY set_name ORDER BY x) + (count(*) OVER (PARTITION BY set_name, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY set_name ORDER BY y) + (count(*) OVER (PARTITION BY set_name, y) - 1) / 2.0 AS ry FROM j)
-       SELECT set_name, round(avg((ca = cb)::INT), 8) AS error_agreement, count(*) FILTER (NOT ca AND NOT cb) AS both_wrong, round(corr(rx, ry), 8) AS rho, count(*) AS n FROM r GROUP BY 1""",
+    f"""WITH {TOP_CTE}, j AS (SELECT i || '-' || j AS pair, a.set_name, a.known AS x, b.known AS y, a.top = a.gold AS ca, b.top = b.gold AS cb FROM {PAIRS} JOIN t a ON a.replicate = i JOIN t b ON b.replicate = j AND a.unit = b.unit),
+       r AS (SELECT *, rank() OVER (PARTITION BY pair, set_name ORDER BY x) + (count(*) OVER (PARTITION BY pair, set_name, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY pair, set_name ORDER BY y) + (count(*) OVER (PARTITION BY pair, set_name, y) - 1) / 2.0 AS ry FROM j)
+       SELECT pair, set_name, round(avg((ca = cb)::INT), 8) AS error_agreement, count(*) FILTER (NOT ca AND NOT cb) AS both_wrong, round(corr(rx, ry), 8) AS rho, count(*) AS n FROM r GROUP BY 1, 2""",
     "answers",
 )
 def model_agreement(t: Tables) -> DataFrame:
-    s = scope(t)
-    a, b = s.filter("replicate = 0"), s.filter("replicate = 1").drop("set_name")
-    return rnd(J.model_agreement(a, b, ["unit"], ["set_name"], "known"))
+    a, b = sides(scope(t))
+    return rnd(J.model_agreement(a, b, ["pair", "unit"], ["pair", "set_name"], "known"))
 
 
 def _requests(t: Tables) -> DataFrame:
@@ -192,14 +201,15 @@ def range_band_join(t: Tables) -> DataFrame:
 
 @query(
     "confused_pair_overlap",
-    f"""WITH {TOP_CTE}, a AS (SELECT set_name, month, gold, top, count(*) AS n FROM t WHERE replicate = 0 AND top <> gold GROUP BY ALL), b AS (SELECT set_name, month, gold, top, count(*) AS n FROM t WHERE replicate = 1 AND top <> gold GROUP BY ALL)
-       SELECT set_name, month, count(a.n) AS pairs_a, count(b.n) AS pairs_b, count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS shared, round(sum(a.n) FILTER (b.n IS NOT NULL) / sum(a.n), 8) AS share_on_shared
-       FROM a FULL JOIN b USING (set_name, month, gold, top) GROUP BY 1, 2""",
+    f"""WITH {TOP_CTE}, c AS (SELECT replicate, set_name, month, gold, top, count(*) AS n FROM t WHERE top <> gold GROUP BY ALL),
+       a AS (SELECT i || '-' || j AS pair, c.* FROM {PAIRS} JOIN c ON replicate = i), b AS (SELECT i || '-' || j AS pair, c.* FROM {PAIRS} JOIN c ON replicate = j)
+       SELECT pair, set_name, month, count(a.n) AS pairs_a, count(b.n) AS pairs_b, count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS shared, round(sum(a.n) FILTER (b.n IS NOT NULL) / sum(a.n), 8) AS share_on_shared
+       FROM a FULL JOIN b USING (pair, set_name, month, gold, top) GROUP BY 1, 2, 3""",
     "answers",
 )
 def confused_pair_overlap(t: Tables) -> DataFrame:
-    s = scope(t)
-    return rnd(J.confused_pair_overlap(s.filter("replicate = 0"), s.filter("replicate = 1"), ["set_name", "month"]))
+    a, b = sides(scope(t))
+    return rnd(J.confused_pair_overlap(a, b, ["pair", "set_name", "month"]))
 
 
 @query(

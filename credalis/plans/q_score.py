@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from credalis.functions import dist as D
 from credalis.operators import scoring as S
 from credalis.operators import summaries as SU
+from credalis.operators.replicates import every_pair
 from credalis.plans.catalog import query
 from credalis.plans.q_rank import rnd
 from credalis.plans.views import OPTIONS, Tables
@@ -317,18 +318,23 @@ def human_agreement(t: Tables) -> DataFrame:
 
 @query(
     "paired_proposals",
-    """WITH w AS (SELECT unit, any_value(post) AS post, max(known) FILTER (replicate = 0) AS py, max(known) FILTER (replicate = 1) AS pn, max(level / 9) FILTER (replicate = 0) AS wy, max(level / 9) FILTER (replicate = 1) AS wn, bool_or(gold = 'A') AS g
-         FROM answers WHERE replicate < 2 GROUP BY 1)
-       SELECT post, count(*) AS n, round(avg(py + pn), 8) AS mean_sum, round(avg((py < 0.5 AND pn < 0.5)::INT), 8) AS rejects_both, round(avg((py > 0.5 AND pn > 0.5)::INT), 8) AS accepts_both, round(avg((py > pn)::INT), 8) AS implied_yes,
-       round(avg(((py > pn) = g)::INT), 8) AS implied_accuracy, round(avg(py + wy), 8) AS coherence_yes, round(avg(pn + wn), 8) AS coherence_no, round(avg(((py > pn) = (wn > wy))::INT), 8) AS implied_agree, round(avg(wy - wn), 8) AS wrong_yes_minus_no FROM w GROUP BY 1""",
+    """WITH p AS (SELECT unnest([0, 0, 1]) AS i, unnest([1, 2, 2]) AS j),
+       w AS (SELECT i || '-' || j AS pair, unit, any_value(post) AS post, max(known) FILTER (replicate = i) AS py, max(known) FILTER (replicate = j) AS pn, max(level / 9) FILTER (replicate = i) AS wy, max(level / 9) FILTER (replicate = j) AS wn, bool_or(gold = 'A') AS g
+         FROM answers, p WHERE replicate IN (i, j) GROUP BY 1, 2)
+       SELECT pair, post, count(*) AS n, round(avg(py + pn), 8) AS mean_sum, round(avg((py < 0.5 AND pn < 0.5)::INT), 8) AS rejects_both, round(avg((py > 0.5 AND pn > 0.5)::INT), 8) AS accepts_both, round(avg((py > pn)::INT), 8) AS implied_yes,
+       round(avg(((py > pn) = g)::INT), 8) AS implied_accuracy, round(avg(py + wy), 8) AS coherence_yes, round(avg(pn + wn), 8) AS coherence_no, round(avg(((py > pn) = (wn > wy))::INT), 8) AS implied_agree, round(avg(wy - wn), 8) AS wrong_yes_minus_no FROM w GROUP BY 1, 2""",
     "answers",
 )
 def paired_proposals(t: Tables) -> DataFrame:
-    df = t.answers.filter("replicate < 2").select(
-        "post", "unit", F.when(F.col("replicate") == 0, "yes").otherwise("no").alias("proposed"), F.col("known").alias("p_correct"),
+    return rnd(SU.paired_proposals(proposals(t), ["pair", "post"], ["unit"]))
+
+
+def proposals(t: Tables) -> DataFrame:
+    """Every pair of answers to a unit as a proposal and its opposite."""
+    return every_pair(t.answers, 3).select(
+        "pair", "post", "unit", F.when(F.col("side") == "a", "yes").otherwise("no").alias("proposed"), F.col("known").alias("p_correct"),
         (F.col("level") / 9).alias("p_wrong"), (F.col("gold") == "A").alias("gold_yes"),
     )
-    return rnd(SU.paired_proposals(df, ["post"], ["unit"]))
 
 
 @query(

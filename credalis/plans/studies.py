@@ -29,11 +29,12 @@ from credalis.operators import summaries as SU
 from credalis.operators import timesplit as TS
 from credalis.operators import trend as TR
 from credalis.plans.catalog import query
+from credalis.plans.q_join import sides
 from credalis.plans.q_rank import paired
 from credalis.plans.q_recal import errors
 from credalis.plans.q_resample import RESAMPLES as B
 from credalis.plans.q_resample import NULLS, SPLITS, gap_rows
-from credalis.plans.q_score import _balance, _orders, scope
+from credalis.plans.q_score import _balance, _orders, proposals, scope
 from credalis.plans.views import CUTOFF, Tables
 
 
@@ -109,20 +110,22 @@ def scope_detection(t: Tables) -> DataFrame:
 def ensemble_compare(t: Tables) -> DataFrame:
     members = t.answers.select("set_name", "unit", "replicate", "gold", F.explode("dist").alias("label", "p"))
     e = S.ensemble_decompose(members, ["set_name", "unit", "gold"]).withColumn("correct", F.col("top") == F.col("gold"))
-    one = scope(t).filter("replicate = 0").select("unit", "correct", D.norm_entropy("dist").alias("mi"))
-    agree = J.model_agreement(e.select("set_name", "unit", "mi", "correct"), one, ["unit"], ["set_name"], "mi")
+    one = scope(t).select("replicate", "unit", "correct", D.norm_entropy("dist").alias("mi"))
+    each = e.select("set_name", "unit", "mi", "correct").join(t.spark.range(3).select(F.col("id").cast("int").alias("replicate")))
+    agree = J.model_agreement(each, one, ["replicate", "unit"], ["replicate", "set_name"], "mi")
     summary = e.groupBy("set_name").agg(F.avg("mi").alias("mi"), F.avg("total").alias("total"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
-    return stack(long(summary, "ensemble", ["set_name"]), long(agree, "agreement", ["set_name"]))
+    return stack(long(summary, "ensemble", ["set_name"]), long(agree, "agreement", ["replicate", "set_name"]))
 
 
 @query("classifier_compare")
 def classifier_compare(t: Tables) -> DataFrame:
     s = scope(t).withColumn("cond", F.col("replicate").cast("string"))
-    w = J.pair_conditions(s.withColumn("ok", F.col("correct").cast("double")), ["set_name", "unit"], "cond", "0", "1", ["ok", "p_max"])
+    both = RP.every_pair(s.withColumn("ok", F.col("correct").cast("double")), 3)
+    w = J.pair_conditions(both, ["pair", "set_name", "unit"], "side", "a", "b", ["ok", "p_max"])
     w = w.withColumn("gain", F.col("ok_a") - F.col("ok_b"))
     rel = C.reliability_bins(R.with_tie(s.select("cond", "unit", F.round("p_max", 4).alias("p_max"), "correct"), "unit"), ["cond"], "p_max", "correct", 10, "tie")
     cal = C.smece(s, ["cond"], "p_max", "correct")
-    return stack(long(level_mean(w, ["set_name"], "gain", 0.0), "paired", ["set_name"]), long(rel, "reliability", ["cond", "bin"]), long(cal, "calibration", ["cond"]))
+    return stack(long(level_mean(w, ["pair", "set_name"], "gain", 0.0), "paired", ["pair", "set_name"]), long(rel, "reliability", ["cond", "bin"]), long(cal, "calibration", ["cond"]))
 
 
 @query("error_detection")
@@ -131,10 +134,9 @@ def error_detection(t: Tables) -> DataFrame:
     a = I.auroc_interval(e, ["set_name"], "unsure", "error", B)
     ap = R.average_precision(e, ["set_name"], "unsure", "error")
     rc = R.risk_coverage(e, ["set_name"], "p_max", "correct")
-    s = scope(t)
-    over = J.confused_pair_overlap(s.filter("replicate = 0"), s.filter("replicate = 1"), ["set_name"])
+    over = J.confused_pair_overlap(*sides(scope(t)), ["pair", "set_name"])
     gain = X.combined_signal(errors(t), "p_known", "month", ["unit"], B)
-    return stack(long(a, "auroc", ["set_name"]), long(ap, "auprc", ["set_name"]), long(rc, "selective", ["set_name"]), long(over, "confusions", ["set_name"]), long(gain, "gain", ["name"]))
+    return stack(long(a, "auroc", ["set_name"]), long(ap, "auprc", ["set_name"]), long(rc, "selective", ["set_name"]), long(over, "confusions", ["pair", "set_name"]), long(gain, "gain", ["name"]))
 
 
 @query("synthetic_scores")
@@ -263,11 +265,8 @@ def surface_controls(t: Tables) -> DataFrame:
     date = q.withColumns({"date": F.coalesce(latest_date("question"), F.lit(0.0)), "date_masked": F.coalesce(latest_date("masked"), F.lit(0.0)), "post": F.col("month") >= CUTOFF})
     auc = R.auroc(I.stack_scores(date, ["date", "date_masked"], ["post"]), ["name"], "score", "post")
     obscure = R.quantile_filter(t.questions, ["relation"], "value", 0.2).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
-    two = t.answers.filter("replicate < 2").select(
-        "post", "unit", F.when(F.col("replicate") == 0, "yes").otherwise("no").alias("proposed"), F.col("known").alias("p_correct"), (F.col("level") / 9).alias("p_wrong"), (F.col("gold") == "A").alias("gold_yes"),
-    )
     return stack(
-        long(auc, "date_cue", ["name"]), long(obscure, "obscure", ["relation"]), long(SU.paired_proposals(two, ["post"], ["unit"]), "polarity", ["post"]),
+        long(auc, "date_cue", ["name"]), long(obscure, "obscure", ["relation"]), long(SU.paired_proposals(proposals(t), ["pair", "post"], ["unit"]), "polarity", ["pair", "post"]),
         long(SU.arm_contrast(t.answers.withColumn("arm", F.concat(F.lit("r"), F.col("replicate").cast("string"))), ["set_name"], ["unit"], "known", ("r0", "r1")), "arms", ["set_name"]),
     )
 

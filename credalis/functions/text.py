@@ -135,36 +135,40 @@ def month_number(name: Column) -> Column:
     return F.when(pos > 0, pos)
 
 
-def _mentions(c: Column, begin: str) -> Column:
-    """(word before, year) of each year; a day number may stand between."""
-    pattern = F.lit(rf"{UNICODE}{begin}(?:(\p{{L}}+)\s+(?:\d{{1,2}},?\s+)?)?{begin}((?:19|20)\d\d){begin}")
-    words, years = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    return F.arrays_zip(words.alias("name"), years.alias("year"))
+def _dated_words(c: Column, edge: str) -> Column:
+    """(year, word before) of every year in a text, word by word.
+
+    Only a year that begins its word has a word before it, and a day number between them is
+    passed over. ``edge`` is what stands on both sides of a year.
+    """
+    words = F.split(F.trim(c), rf"{UNICODE}\s+")
+    century = r"(?:19|20)\d\d"
+
+    def before(i: Column) -> Column:
+        one, two = F.get(words, i - 1), F.get(words, i - 2)
+        return F.regexp_extract(F.when(one.rlike(rf"{UNICODE}^\d{{1,2}},?$"), two).otherwise(one), rf"{UNICODE}{edge}(\p{{L}}+)$", 1)
+
+    def years(word: Column, i: Column) -> Column:
+        found = F.regexp_extract_all(word, F.lit(rf"{UNICODE}{edge}({century}){edge}"), F.lit(1))
+        name = F.when(word.rlike(rf"{UNICODE}^{century}{edge}"), before(i))
+        return F.transform(found, lambda y, k: F.struct(y.alias("year"), F.when(k == 0, name).alias("name")))
+
+    return F.flatten(F.transform(words, years))
 
 
 def latest_date(c: Column | str) -> Column:
     """Latest year (plus month fraction) mentioned; null without a year."""
-    return F.array_max(
-        F.transform(
-            _mentions(_c(c), ""),
-            lambda m: m["year"].cast("double")
-            + (F.coalesce(month_number(m["name"]), F.lit(1)) - 1) / F.lit(12.0),
-        )
-    )
+    when = F.transform(_dated_words(_c(c), ""), lambda m: m["year"].cast("double") + (F.coalesce(month_number(m["name"]), F.lit(1)) - 1) / F.lit(12.0))
+    return F.array_max(when)
 
 
 def settled_by(question: Column | str, month: Column | str) -> Column:
     """Latest ``YYYY-MM`` mentioned, a bare year counting as December, at least ``month``."""
-    latest = F.array_max(
-        F.transform(
-            _mentions(_c(question), r"\b"),
-            lambda m: F.concat(
-                m["year"], F.lit("-"),
-                F.lpad(F.coalesce(month_number(m["name"]), F.lit(12)).cast("string"), 2, "0"),
-            ),
-        )
+    last = F.transform(
+        _dated_words(_c(question), r"\b"),
+        lambda m: F.concat(m["year"], F.lit("-"), F.lpad(F.coalesce(month_number(m["name"]), F.lit(12)).cast("string"), 2, "0")),
     )
-    return F.greatest(_c(month), latest)
+    return F.greatest(_c(month), F.array_max(last))
 
 
 def month_after_end(month: Column | str) -> Column:

@@ -11,11 +11,6 @@ from credalis.plans.catalog import query
 from credalis.plans.views import Tables, spread
 
 MONTH_LIST = "['January','February','March','April','May','June','July','August','September','October','November','December']"
-# For the checking SQL: a year with the word before it, anywhere or between word boundaries.
-YEAR = "(?:([A-Za-z]+) (?:[0-9][0-9]?,? )?)?((?:19|20)[0-9][0-9])"
-BOUNDED_YEAR = r"\b(?:([A-Za-z]+) (?:[0-9][0-9]?,? )?)?\b((?:19|20)[0-9][0-9])\b"
-
-
 @query(
     "normalise_answer",
     r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents""",
@@ -75,13 +70,12 @@ def mask_dates_documents(t: Tables) -> DataFrame:
 
 @query(
     "latest_date",
-    rf"""SELECT unit, round(list_max(list_transform(list_zip(
-           regexp_extract_all(question, '{YEAR}', 1), regexp_extract_all(question, '{YEAR}', 2)),
-           lambda m: m[2]::DOUBLE + (coalesce(nullif(list_position({MONTH_LIST}, m[1]), 0), 1) - 1) / 12.0::DOUBLE)), 8) AS latest,
-         greatest(month, list_max(list_transform(list_zip(
-           regexp_extract_all(question, '{BOUNDED_YEAR}', 1), regexp_extract_all(question, '{BOUNDED_YEAR}', 2)),
-           lambda m: m[2] || '-' || lpad(coalesce(nullif(list_position({MONTH_LIST}, m[1]), 0), 12)::VARCHAR, 2, '0')))) AS settled
-         FROM questions""",
+    rf"""WITH w AS (SELECT unit, month, string_split(question, ' ') AS w FROM questions), x AS (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM w),
+       y AS (SELECT unit, CASE WHEN w[k - 1] SIMILAR TO '[0-9]{{1,2}},?' THEN w[k - 2] ELSE w[k - 1] END AS before, w[k] SIMILAR TO '(19|20)[0-9][0-9].*' AS leads,
+         regexp_extract_all(w[k], '(?:19|20)[0-9][0-9]') AS free, regexp_extract_all(w[k], '\b(?:19|20)[0-9][0-9]\b') AS bound FROM x),
+       f AS (SELECT unit, max(year::DOUBLE + (coalesce(nullif(list_position({MONTH_LIST}, before), 0), 1) - 1) / 12.0::DOUBLE) AS latest FROM (SELECT unit, unnest(free) AS year, CASE WHEN leads AND generate_subscripts(free, 1) = 1 THEN before END AS before FROM y) GROUP BY 1),
+       b AS (SELECT unit, max(year || '-' || lpad(coalesce(nullif(list_position({MONTH_LIST}, before), 0), 12)::VARCHAR, 2, '0')) AS last FROM (SELECT unit, unnest(bound) AS year, CASE WHEN leads AND generate_subscripts(bound, 1) = 1 THEN before END AS before FROM y) GROUP BY 1)
+       SELECT unit, round(latest, 8) AS latest, greatest(month, last) AS settled FROM w LEFT JOIN f USING (unit) LEFT JOIN b USING (unit)""",
     "questions",
 )
 def latest_date(t: Tables) -> DataFrame:

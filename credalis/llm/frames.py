@@ -42,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed now; Spark does so when the driver collects what refers to them."""
+    spark._jvm.java.lang.System.gc()
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each string; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

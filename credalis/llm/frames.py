@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -47,6 +48,14 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers serve many tasks, and what one held would stay beside the next."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if release:
+        release(0)
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each string; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -71,6 +80,7 @@ def row_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> It
         if texts:
             yield number, batch.slice(start), texts
             number += 1
+    trim()
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[int, pa.Array, list[bytes]]]:

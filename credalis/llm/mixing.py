@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, stored, text_chunks, with_text
+from credalis.llm.frames import arrow_of, batch_of, stored, text_chunks, trim, with_text
 from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, compact, feature_lists, features, fit_lists, ordered_texts, used
 from credalis.llm.words import ALPHANUMERIC, words_of
 
@@ -48,6 +48,7 @@ def domain_labels(labels: DataFrame, domains: Sequence[tuple[int, int]], id_col:
 
 def _fit_shard(k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         order = pc.sort_indices(table.column("draw"))
         lists = compact(feature_lists(ordered_texts(table, order)))
         domain = table.column("domain").take(order).to_numpy()

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import ROWS_AT_ONCE, arrow_of, batch_of, column_bytes, text_chunks, with_text
+from credalis.llm.frames import ROWS_AT_ONCE, arrow_of, batch_of, column_bytes, text_chunks, trim, with_text
 from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 
 BITS = 22
@@ -153,6 +153,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def _fit_shard(key: tuple, table: pa.Table) -> pa.Table:
+    trim()
     order = pc.sort_indices(table.column("draw"))
     model = fit(ordered_texts(table, order), table.column("label").take(order).to_numpy())
     return pa.table({"at": pa.array([*model.at, 1 << BITS], pa.int64()), "weight": pa.array([*model.weight, model.bias], pa.float64())})

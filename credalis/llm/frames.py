@@ -80,7 +80,8 @@ def row_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> It
         if texts:
             yield number, batch.slice(start), texts
             number += 1
-    trim()
+        del column, texts
+        trim()
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[int, pa.Array, list[bytes]]]:

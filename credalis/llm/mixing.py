@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credalis.llm.frames import arrow_of, batch_of, stored, text_chunks, trim, with_text
-from credalis.llm.toxicity import BITS, SCORE_BYTES, Model, compact, feature_lists, features, fit_lists, ordered_texts, used
+from credalis.llm.toxicity import BITS, Model, compact, feature_lists, features, fit_lists, ordered_texts, used
 from credalis.llm.words import ALPHANUMERIC, words_of
 
 MAX_ROWS = 6_000
 """Labelled rows the classifier is fitted on at most."""
 SHARD_ROWS = 2_000
+SCORE_BYTES = 1 << 21
 STEPS = 24
 RIDGE = 1e-3
 CLOSE = 1e-3

@@ -34,7 +34,7 @@ BITS = 22
 MAX_ROWS = 32_000
 SHARD_ROWS = 4_000
 FIT_BYTES = 1 << 20
-SCORE_BYTES = 1 << 21
+SCORE_BYTES = 1 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 THRESHOLD = 0.3

@@ -43,11 +43,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs removed now; Spark does so when the driver collects what refers to them."""
-    spark._jvm.java.lang.System.gc()
-
-
 def trim() -> None:
     """Give freed memory back to the system: workers serve many tasks, and what one held would stay beside the next."""
     pa.default_memory_pool().release_unused()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from credalis.functions import dist as D
 from credalis.functions.seeded import key_hash
-from credalis.operators.prefix import attach, hash_rank, null_safe_join, score_edges
+from credalis.operators.prefix import FEW_KEYS, attach, hash_rank, null_safe_join, score_edges
 from credalis.operators.ranking import weighted_percentiles
+from credalis.session import checkpointed
 
 
 def _f(c: Column | str) -> Column:
@@ -198,15 +199,26 @@ def averaging_curve(df: DataFrame, keys: Sequence[str], unit: Sequence[str], siz
     """Mean distance from the ideal when ``k`` random orders are averaged.
 
     A draw takes the ``k`` smallest hashes of a key; nested sizes share a draw,
-    so each draw is ranked once for all sizes.
+    so each draw is ranked once for all sizes. Hashes above a bound that leaves enough of
+    them are dropped where they are made, so neither a sort nor a shuffle sees every row.
     """
+    keys, most = list(keys), max(sizes)
     base = df.select(*keys, *unit, "dist", "ideal")
-    t = df.select(*keys, *unit).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    t = t.withColumn("_key", key_hash(seed, *unit, "draw"))
-    # only the smallest hashes can be drawn; the limit is applied before the shuffle
+    rows = checkpointed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    sized = attach(df.select(*keys, *unit), F.broadcast(rows) if rows.count() <= FEW_KEYS else rows, keys)
+    sized = sized.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_key", key_hash(seed, *unit, "draw"))
     w = Window.partitionBy(*keys, "draw").orderBy("_key")
-    t = t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(sizes))
-    t = null_safe_join(base, t.drop("_key"), [*keys, *unit])
+    room = 4 * most
+    while True:
+        # hashes are uniform: only those below a share of their range can be among the smallest
+        cut = F.lpad(F.lower(F.hex((F.lit(room * 2.0**32) / F.col("_n")).cast("long"))), 8, "0")
+        low = sized.filter((F.col("_n") <= room) | (F.col("_key") < cut)).drop("_n")
+        t = checkpointed(low.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_key"))
+        got = attach(rows, t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got")), keys, "left")
+        if got.filter(F.coalesce("_got", F.lit(0)) < draws * F.least("_n", F.lit(most))).isEmpty():
+            break
+        room *= 16  # many rows of one unit share their hash
+    t = null_safe_join(base, t, [*keys, *unit])
     ks = F.array(*[F.lit(int(k)) for k in sizes])
     t = t.withColumn("k", F.explode(F.filter(ks, lambda k: k >= F.col("_r"))))
     long = t.select(*keys, "draw", "k", "dist", F.explode("ideal").alias("label", "q"))
@@ -299,7 +311,8 @@ def length_shift(df: DataFrame, keys: Sequence[str], item: Sequence[str], words:
 
 def contrast_variants(df: DataFrame, keys: Sequence[str], item: Sequence[str], fallback: str, base: str) -> DataFrame:
     """Fallback mass, P(gold) and distance to the base variant, per variant."""
-    ref = df.filter(F.col("variant") == base).select(*item, F.col("dist").alias("_base"))
+    # the guessed size of exploded rows is far too small: no broadcast
+    ref = df.filter(F.col("variant") == base).select(*item, F.col("dist").alias("_base")).hint("merge")
     j = null_safe_join(df, ref, item, "left")
     return j.groupBy(*keys, "variant").agg(
         F.count(F.lit(1)).alias("n"), F.avg(D.prob("dist", F.lit(fallback))).alias("mean_fallback"),

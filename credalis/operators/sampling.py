@@ -150,13 +150,14 @@ def first_per_question(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
 
 
-def recombine_names(names: DataFrame, existing: DataFrame, n: int, seed: str = "recombine") -> DataFrame:
+def recombine_names(names: DataFrame, existing: DataFrame, n: int, seed: str = "recombine", fewer: bool = False) -> DataFrame:
     """``n`` new names: first word of one person, the rest of another.
 
     ``names`` and ``existing`` have ``name``. Candidates are hashed pairs of donor
     positions; those that exist, repeat, or keep the first name are dropped and the
-    first ``n`` of the rest stay. More candidates are drawn until there are ``n``;
-    an error is raised when the donors' pairs are used up.
+    first ``n`` of the rest stay. More candidates are drawn until there are ``n``.
+    When the donors' pairs are used up, ``fewer`` returns every new name there is,
+    from all pairs; otherwise an error is raised.
     """
     tries = 6 * n
     while True:
@@ -165,17 +166,22 @@ def recombine_names(names: DataFrame, existing: DataFrame, n: int, seed: str = "
             return made
         people = names.filter(is_person_name("name")).select("name").distinct().count()
         if tries > 20 * people * people:
+            if fewer:
+                return _recombined(names, existing, people * people, seed, every=True).orderBy("j").limit(n)
             raise ValueError(f"{people} donors do not give {n} new names")
         tries *= 4
 
 
-def _recombined(names: DataFrame, existing: DataFrame, tries: int, seed: str) -> DataFrame:
-    """Fresh names from ``tries`` candidates, each with the number ``j`` of its first one."""
+def _recombined(names: DataFrame, existing: DataFrame, tries: int, seed: str, every: bool = False) -> DataFrame:
+    """Fresh names from ``tries`` candidates, or from every pair, each with the number ``j`` of its first one."""
     donors = names.filter(is_person_name("name")).select("name").distinct()
     ranked = hash_rank(donors.withColumn("_key", key_hash(seed, "name")), [], "_key").select("name", (F.col("rank") - 1).alias("pos"))
     size = donors.agg(F.count(F.lit(1)).alias("m"))
     c = names.sparkSession.range(tries).select(F.col("id").alias("j")).join(F.broadcast(size), F.lit(True))
-    c = c.withColumns({"pa": pick(F.col("m"), seed, F.lit("a"), "j").cast("long"), "pb": pick(F.col("m"), seed, F.lit("b"), "j").cast("long")})
+    if every:
+        c = c.withColumns({"pa": F.expr("j div m"), "pb": F.col("j") % F.col("m")})
+    else:
+        c = c.withColumns({"pa": pick(F.col("m"), seed, F.lit("a"), "j").cast("long"), "pb": pick(F.col("m"), seed, F.lit("b"), "j").cast("long")})
     a = ranked.select(F.col("name").alias("first_of"), F.col("pos").alias("pa"))
     b = ranked.select(F.col("name").alias("last_of"), F.col("pos").alias("pb"))
     j = c.join(a, "pa").join(b, "pb")

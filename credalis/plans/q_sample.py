@@ -147,9 +147,9 @@ def people(t: Tables) -> DataFrame:
 
 @query("recombine_names")
 def recombine_names(t: Tables) -> DataFrame:
-    """New names that no part of the smallest size has."""
+    """New names that no part of the smallest size has: 20, or all when fewer exist."""
     taken = t.part.filter("p_size = 1").select(F.initcap(F.concat_ws(" ", "p_name", F.element_at(F.split("p_type", " "), 1))).alias("name"))
-    return SM.recombine_names(people(t), taken, 20)
+    return SM.recombine_names(people(t), taken, 20, fewer=True)
 
 
 @query(

@@ -145,7 +145,7 @@ def top2_correlation(answers: DataFrame, series: Sequence[str]) -> DataFrame:
     """Correlation across replicates of the two options with the highest mean.
 
     Means come from a first aggregate; the two winners are joined back, so no
-    series is collected.
+    series is collected, and one with most of the rows is not dealt to one task.
     """
     long = answers.select(*series, "dist", F.posexplode("options").alias("pos", "option"))
     means = long.groupBy(*series, "option").agg(F.avg(D.prob("dist", F.col("option"))).alias("m"), F.min("pos").alias("pos"))
@@ -154,7 +154,9 @@ def top2_correlation(answers: DataFrame, series: Sequence[str]) -> DataFrame:
     best = means.groupBy(*series).agg(F.max(order).alias("_b1"))
     rest = null_safe_join(means, best, series).filter(F.col("option") != F.col("_b1.option"))
     two = rest.groupBy(*series).agg(F.first("_b1.option").alias("_o1"), F.max(order)["option"].alias("_o2"))
-    j = null_safe_join(answers.select(*series, "dist"), two, series)
+    two = checkpointed(two)
+    # with few series, their answers stay where they are
+    j = attach(answers.select(*series, "dist"), F.broadcast(two) if two.count() <= FEW_KEYS else two, series)
     a, b = D.prob("dist", F.col("_o1")), D.prob("dist", F.col("_o2"))
     return j.groupBy(*series).agg(
         F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b)).alias("top2_corr")

@@ -119,3 +119,17 @@ def test_fewer_new_names_than_wanted(spark):
     got = SM.recombine_names(some, some, 5, fewer=True).collect()
     assert {r["name"] for r in got} == {"Cy Lake", "Ann Stone"}
     assert SM.recombine_names(names, names, 5, fewer=True).isEmpty()
+
+
+def test_two_best_options_deal_no_series(spark):
+    """A series with all the rows is not dealt to one task for its two winners."""
+    df = spark.range(200).select(F.lit("s").alias("s"), (F.rand(1) / 2).alias("a"), (F.rand(2) / 3).alias("b"))
+    df = df.select("s", "a", "b", F.create_map(F.lit("A"), F.col("a"), F.lit("B"), F.col("b"), F.lit("C"), F.lit(0.01)).alias("dist"), F.array(*map(F.lit, "ABC")).alias("options"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = SU.top2_correlation(df, ["s"])
+        assert "SortMergeJoin" not in plan(got)
+        assert got.first()["top2_corr"] == pytest.approx(df.agg(F.corr("a", "b")).first()[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -61,7 +61,7 @@ WRITE = {
 # The rules of a vocabulary of word ends, whose words may be cut before they are encoded.
 WORD_RULES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"  # not U+0130, which lower-cases to a letter and a mark
 SIGNS = r"\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F"
 PLAIN_PARTS = re.compile(rf"[{SIGNS}]*'[0-9{LETTERS}]+|[0-9{LETTERS}]+|[{SIGNS}]+")
 """Runs of letters and digits, and runs of ASCII signs, which go with what follows an apostrophe."""

@@ -275,3 +275,9 @@ def test_refined_eigen(values):
     assert np.allclose(value, sorted(values, reverse=True), atol=1e-15 * max(1, max(values)))
     assert np.abs(x.T @ x - np.eye(d)).max() < 5e-16
     assert np.abs(a @ x - x * value).max() <= 5e-16 * max(values, default=0)
+
+
+def test_a_letter_that_gets_a_mark_is_not_cut(tokenizer, encoder):
+    """Lower-cased, U+0130 is a letter and a mark, which goes with the signs that follow."""
+    for text in ("İ'", "İ! aİ?b", "Xİ'sİ"):
+        assert encoder.ids([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids

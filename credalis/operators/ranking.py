@@ -55,9 +55,11 @@ def auroc(
     weight: Column | str | None = None, edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Mann-Whitney AUROC, ties half; null for a single class."""
+    lv = levels(df, keys, score, positive, weight)
     if edges is None:
-        edges = score_edges(df, score, keys=keys)
-    return auroc_of_levels(levels(df, keys, score, positive, weight), keys, edges)
+        lv = checkpointed(lv)  # edges, totals and running sums read the levels; the rows are read once
+        edges = score_edges(lv, "score", keys=keys)
+    return auroc_of_levels(lv, keys, edges)
 
 
 def stratified_auroc(

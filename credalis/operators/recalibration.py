@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -15,21 +16,29 @@ from pyspark.sql import functions as F
 from credalis.functions import dist as D
 from credalis.functions.seeded import key_hash
 from credalis.operators import calibration as C
-from credalis.operators.prefix import hash_rank, null_safe_join
+from credalis.operators.prefix import attach, attach_rows, hash_rank, null_safe_join
 from credalis.operators.ranking import weighted_percentiles
+from credalis.session import checkpointed
 
 UNPENALISED = 1e6
 """Inverse penalty of the scalar maps (fixed value)."""
 
 
 def split_half(df: DataFrame, key: str, seed: str = "half", by: Sequence[str] = ()) -> DataFrame:
-    """Add ``fit``: whether the row's key falls in the random half of the distinct keys."""
-    ids = df.select(*by, key).distinct().withColumn("_key", key_hash(seed, *by, key))
+    """Add ``fit``: whether the row's key falls in the random half of the distinct keys.
+
+    Only the keys' hashes are ranked. The hash in the middle is the cut, and every row
+    compares its own with it, so rows are not moved. Rows with a null key are left out.
+    """
+    h = key_hash(seed, *by, key)
+    ids = checkpointed(df.select(*by, key).distinct().select(*by, h.alias("_key")))
     n = ids.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = hash_rank(ids, list(by), "_key")
-    j = null_safe_join(ranked, n, list(by)) if by else ranked.join(F.broadcast(n), F.lit(True))
-    half = j.select(*by, key, (F.col("rank") <= F.floor(F.col("_n") / 2)).alias("fit"))
-    return df.join(half, [*by, key])
+    ranked = attach(hash_rank(ids, list(by), "_key"), n, by)
+    middle = ranked.where(F.col("rank") == F.floor(F.col("_n") / 2)).select(*by, F.col("_key").alias("_cut"))
+    cut = checkpointed(attach(n, middle, by, "left").select(*by, "_cut"))  # one row for each of ``by``
+    keyed = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, key)]))
+    rest = [c for c in df.columns if c not in (*by, key)]
+    return attach_rows(keyed, cut, by).select(*by, key, *rest, F.coalesce(h <= F.col("_cut"), F.lit(False)).alias("fit"))
 
 
 def _stepper(step, x: float):

@@ -58,7 +58,7 @@ def split_half(t: Tables) -> DataFrame:
 def heldout(t: Tables) -> DataFrame:
     """Fit on half of the earlier units, evaluate on the other half and on the later period."""
     s = scope(t).select("unit", "post", "dist", "gold", "p_max", "correct", "known")
-    h = checkpointed(RC.split_half(s, "unit"))
+    h = checkpointed(RC.split_half(s, "unit").drop("unit"))
     fit = h.filter(F.col("fit") & ~F.col("post"))
     temp, ab = RC.fit_temperature(fit), RC.fit_platt(fit)
     m = RC.logistic_map(fit, ["p_max", "known"], "correct")

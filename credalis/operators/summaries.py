@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from credalis.functions import dist as D
 from credalis.functions.seeded import key_hash
-from credalis.operators.prefix import FEW_KEYS, attach, hash_rank, null_safe_join, score_edges
+from credalis.operators.prefix import FEW_KEYS, attach, few_values, hash_rank, null_safe_join, score_edges
 from credalis.operators.ranking import weighted_percentiles
 from credalis.session import checkpointed
 
@@ -129,9 +129,16 @@ REFERENCE_N = 100
 def replicate_variance(long: DataFrame, keys: Sequence[str], series: Sequence[str]) -> DataFrame:
     """Pooled effective sample size ``sum p(1-p) / sum var`` and variance ratio range.
 
-    ``long`` is (keys, series, option, p), one row per replicate.
+    ``long`` is (keys, series, option, p), one row per replicate. With few options in all, a
+    series is one row of the exchange, with a column of sums for each option.
     """
-    per = long.groupBy(*keys, *series, "option").agg(F.avg("p").alias("m"), F.var_samp("p").alias("v"))
+    options = few_values(long, "option")
+    if options is None:
+        per = long.groupBy(*keys, *series, "option").agg(F.avg("p").alias("m"), F.var_samp("p").alias("v"))
+    else:
+        own = [F.when(F.col("option").eqNullSafe(F.lit(o)), F.col("p")) for o in options]
+        wide = long.groupBy(*keys, *series).agg(*[a for i, x in enumerate(own) for a in (F.avg(x).alias(f"_m{i}"), F.var_samp(x).alias(f"_v{i}"))])
+        per = wide.select(*keys, F.inline(F.array(*[F.struct(F.col(f"_m{i}").alias("m"), F.col(f"_v{i}").alias("v")) for i in range(len(options))])))
     mid = per.filter((F.col("m") >= MID[0]) & (F.col("m") <= MID[1]))
     pq = F.col("m") * (1 - F.col("m"))
     ratio = F.col("v") / (pq / REFERENCE_N)

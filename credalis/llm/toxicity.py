@@ -33,7 +33,7 @@ from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 BITS = 22
 MAX_ROWS = 32_000
 SHARD_ROWS = 4_000
-FIT_BYTES = 1 << 20
+FIT_BYTES = 1 << 17
 SCORE_BYTES = 1 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
@@ -155,7 +155,11 @@ def held_out(id_column: Column) -> Column:
 def _fit_shard(key: tuple, table: pa.Table) -> pa.Table:
     trim()
     order = pc.sort_indices(table.column("draw"))
-    model = fit(ordered_texts(table, order), table.column("label").take(order).to_numpy())
+    seen, own = compact(feature_lists(ordered_texts(table, order)))
+    labels = table.column("label").take(order).to_numpy()
+    del table
+    trim()  # the texts and what their features were made from
+    model = fit_lists(seen, own, labels)
     return pa.table({"at": pa.array([*model.at, 1 << BITS], pa.int64()), "weight": pa.array([*model.weight, model.bias], pa.float64())})
 
 

@@ -152,6 +152,29 @@ def test_passages(spark, monkeypatch, seed):
     assert passages.repeated_passages(frame(spark, [(1, None), (2, "q" * 80)])).count() == 2
 
 
+def test_bucket_is_ordered_in_parts(spark, monkeypatch):
+    """Answers of a bucket do not depend on how many of its runs are ordered together, and no more are than that."""
+    rng = np.random.default_rng(3)
+    schema, rows = passages.arrow_of(passages.PACKED), []
+    for c in range(4):
+        lead = rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(32)
+        digest = rng.integers(0, 3, 300).astype(np.uint64)
+        rows.append((5, c, "runs", *passages._pack(lead, digest, np.arange(300, dtype=np.uint32), rng.integers(0, 90, 300))))
+    table = pa.Table.from_batches([passages.batch_of(schema, *(list(c) for c in zip(*rows, strict=True)))])
+
+    def answers():
+        found = set()
+        for r in passages._answer((pa.scalar(5),), table).to_pylist():
+            found |= {(r["chunk"], *x) for x in zip(*(passages._unpack(r[c], k).tolist() for c, k in zip("abc", ("uint32", "int64", "uint8"), strict=True)), strict=True)}
+        return found
+
+    whole, sizes, told = answers(), [], passages._told
+    monkeypatch.setattr(passages, "RUNS_AT_ONCE", 100)
+    monkeypatch.setattr(passages, "_told", lambda lead, *x: (sizes.append(len(lead)), told(lead, *x))[1])
+    assert answers() == whole and whole
+    assert sum(sizes) == 1200 and max(sizes) < 300
+
+
 def test_passages_over_many_batches(spark, monkeypatch):
     """Several Arrow batches a partition, and several chunks a batch: each chunk has a number of its own."""
     monkeypatch.setattr(passages, "BUCKET_BYTES", 3000)

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credalis.llm.frames import arrow_of, batch_of, column_bytes, id_type, stored, text_chunks
+from credalis.llm.frames import arrow_of, batch_of, column_bytes, id_type, stored, text_chunks, with_text
 from credalis.llm.words import ALPHANUMERIC, Words, mixed, words_of
 
 WINDOW = 10
 PART_BYTES = 8 << 20
 """Benchmark text in one search table, on average."""
 LANE_WORDS = 256
+SEARCH_BYTES = 1 << 20
+"""Bytes of text that a task searches together, apart from a single longer text."""
 
 
 @dataclass(frozen=True)
@@ -116,12 +118,14 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(tables: list[Patterns], schema: pa.Schema, more: bool):
+def _search(tables: list[Patterns], schema: pa.Schema, more: bool, text_in_row: str | None = None):
+    """Batches of (id, text, earlier runs and items), or of (row that holds the text, earlier runs and items)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            earlier = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for _, ids, texts in text_chunks(iter([batch])):
+            earlier = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
+            for _, ids, texts in text_chunks(with_text(iter([batch]), text_in_row), SEARCH_BYTES):
                 words = words_of(texts, ALPHANUMERIC)
                 hashes = words.hashes()[words.ids]
                 runs = [[(r["b"], r["e"]) for r in x or []] for x in earlier[0][at : at + len(texts)]]
@@ -133,8 +137,8 @@ def _search(tables: list[Patterns], schema: pa.Schema, more: bool):
                         runs[d].append((b - int(words.starts[d]), b - int(words.starts[d]) + table.length))
                         items[d] |= table.items[p]
                 merged = [[{"b": b, "e": e} for b, e in _merged(x)] for x in runs]
-                text = batch.column(1).slice(at, len(texts)) if more else [None] * len(texts)
-                yield batch_of(schema, ids, text, merged, [sorted(x) for x in items], words.counts)
+                text = [] if text_in_row else [batch.column(1).slice(at, len(texts)) if more else [None] * len(texts)]
+                yield batch_of(schema, ids, *text, merged, [sorted(x) for x in items], words.counts)
                 at += len(texts)
 
     return run
@@ -147,14 +151,14 @@ def benchmark_hits(
     """Per row: id, n_words, runs of hit words (b, e), items (sorted ids as strings). ``keep`` carries the whole row as ``row`` instead of the id."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
-    ident = F.struct("*") if keep else F.col(id_col)
-    rows = docs.select(ident.alias("i"), F.col(text_col).alias("t"), F.lit(None).cast("array<struct<b:int,e:int>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    kind = rows.schema["i"].dataType.simpleString()
-    ddl = f"i {kind}, t string, runs array<struct<b:int,e:int>>, items array<string>, n_words long"
+    own = [F.struct("*").alias("i")] if keep else [F.col(id_col).alias("i"), F.col(text_col).alias("t")]  # a carried row holds its text once
+    rows = docs.select(*own, F.lit(None).cast("array<struct<b:int,e:int>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
+    names = rows.columns
+    ddl = f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in rows.schema)}, n_words long"
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).toArrow().combine_chunks()
-        pairs = list(zip(own.column("item").to_pylist(), column_bytes(own.column("text")), strict=True))
-        rows = rows.select("i", "t", "runs", "items").mapInArrow(_search(search_tables(pairs, window), arrow_of(ddl), part < parts - 1), ddl)
+        found = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).toArrow().combine_chunks()
+        pairs = list(zip(found.column("item").to_pylist(), column_bytes(found.column("text")), strict=True))
+        rows = rows.select(*names).mapInArrow(_search(search_tables(pairs, window), arrow_of(ddl), part < parts - 1, text_col if keep else None), ddl)
         rows = stored(rows) if part < parts - 1 else rows
     out = rows.select("i", "n_words", "runs", "items")
     return out.withColumnRenamed("i", "row" if keep else id_col)

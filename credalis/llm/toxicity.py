@@ -110,7 +110,8 @@ def feature_lists(texts: Iterable[bytes], limit: int = FIT_BYTES) -> list[np.nda
 
 def ordered_texts(table: pa.Table, order: pa.Array) -> Iterator[bytes]:
     """Texts of a shard in the given order, a few at a time."""
-    column = table.column("text").combine_chunks()
+    column = table.column("text")
+    column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
     for k in range(0, len(order), ROWS_AT_ONCE):
         yield from column_bytes(column.take(order.slice(k, ROWS_AT_ONCE)))
 
@@ -122,9 +123,13 @@ def fit(texts: Iterable[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Mod
 
 def compact(lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Coordinates that occur, and each text's places among them, with one for the bias last; ``lists`` is taken over."""
-    seen = np.unique(np.concatenate([*lists, np.zeros(0, np.int32)]))
+    place = np.zeros(1 << BITS, np.int32)
+    for x in lists:
+        place[x] = 1
+    seen = np.flatnonzero(place).astype(np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
     for k, x in enumerate(lists):
-        lists[k] = np.append(np.searchsorted(seen, x), len(seen)).astype(np.int32)
+        lists[k] = np.append(place[x], np.int32(len(seen)))
     return seen, lists
 
 
@@ -160,6 +165,8 @@ def _fit_shard(key: tuple, table: pa.Table) -> pa.Table:
     del table
     trim()  # the texts and what their features were made from
     model = fit_lists(seen, own, labels)
+    del seen, own
+    trim()  # what the examples took would stay beside the scoring that this worker does next
     return pa.table({"at": pa.array([*model.at, 1 << BITS], pa.int64()), "weight": pa.array([*model.weight, model.bias], pa.float64())})
 
 

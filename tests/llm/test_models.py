@@ -1,5 +1,6 @@
 """Toxicity on held-out rows, mixing rates against a direct solution."""
 
+import gc
 import random
 import zlib
 
@@ -140,3 +141,20 @@ def test_ftrl_against_named_features():
         want = 1 / (1 + np.exp(-sum(plain.get(f, 0.0) for f in [*named_features(t), "bias"])))
         got = model.scores(*toxicity.features(toxicity.words_of([t.encode()], toxicity.ALPHANUMERIC)), 1)[0]
         assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_fit_leaves_no_memory():
+    """Places are those of the sorted distinct coordinates, the bias last; nothing of a shard stays behind its fit."""
+    rng = np.random.default_rng(6)
+    lists = [np.unique(rng.integers(0, 1 << toxicity.BITS, n)).astype(np.int32) for n in (0, 3, 400, 400)] + [np.array([0, (1 << toxicity.BITS) - 1], np.int32)]
+    seen, own = toxicity.compact(list(lists))
+    want = np.unique(np.concatenate(lists))
+    assert (seen == want).all() and len(seen) == len(want)
+    assert all(x.dtype == np.int32 and (x == [*np.searchsorted(want, y), len(want)]).all() for x, y in zip(own, lists, strict=True))
+    gc.collect()
+    gc.disable()
+    try:
+        toxicity.fit([b"vile thing", b"good thing"] * 20, np.array([1.0, 0.0] * 20))
+        assert gc.collect() == 0
+    finally:
+        gc.enable()

@@ -1,12 +1,13 @@
 """Benchmark passages and word pieces against brute force."""
 
+import gc
 import hashlib
 import random
 import re
 
 import pytest
 
-from credalis.llm import catalog, decontaminate, pieces
+from credalis.llm import catalog, decontaminate, pieces, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, item_id int, runs string, items int, i int, t string"
@@ -83,3 +84,15 @@ def test_piece_counts(spark):
     unknown = pieces.piece_counts(df, pieces.piece_trie([b"The"], [b"x"])).where("doc_id = 3").first()
     assert (unknown.n_pieces, unknown.n_unknown) == (4, 3)
     assert pieces.piece_counts(df.limit(0), pieces.piece_trie([], [])).count() == 0
+
+
+def test_words_leave_no_cycle():
+    """What a batch of words took is free with its last reference, not when Python next looks for cycles."""
+    texts = [b"some words of a text", b"words of another"]
+    gc.collect()
+    gc.disable()
+    try:
+        words.words_of(texts)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()

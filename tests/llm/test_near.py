@@ -251,3 +251,44 @@ def test_suffix_array():
     for _ in range(500):
         s = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 60))] + [0]
         assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:])  # noqa: B023
+
+
+@pytest.mark.parametrize("hot", [0, 1])
+def test_neighbouring_strings_travel_as_text(hot):
+    """Open strings of two batches meet in buckets, at a few bytes each unless their anchors have very many surroundings."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    shared = [say(rng.choice([50, 60, 90, 200])) for _ in range(8)]
+    rows = [(i, say(rng.randint(0, 400)) + rng.choice(shared) + say(rng.randint(0, 400))) for i in range(80)]
+    rows += [(None, shared[0] + "tail"), (90, "é" * 60), (91, "x" * 49)]
+    rng.shuffle(rows)
+    cover = passages.COVER.replace("ID", "long")
+    batches = []
+    for part in (rows[:40], rows[40:]):
+        opens = []
+        for _, t in part:
+            stream, starts = stream_of([t.encode()])
+            n = len(passages.batch_runs(stream, starts)[0].doc)
+            opens += passages._pack((2 * np.arange(n) + hot).astype(np.uint32)) if n else [None]
+        batches.append(pa.record_batch([pa.array(c, k) for c, k in zip([*zip(*part, strict=True), [False] * len(part), [None] * len(part), opens], (pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["id", "t", "whole", "taken", "open"]))
+    covered = pa.Table.from_batches(list(passages._cover(3, passages.arrow_of(cover))(iter(batches))))
+    names = ["id", "chunk", "kind", "t", "a", "b", "c"]
+    classes = covered.filter(pc.is_in(covered["kind"], pa.array(["class", "piece"]))).select(["bucket", *names])
+    size = sum(len(x) for c in "abc" for x in classes[c].to_pylist())
+    strings = sum(len(passages._unpack(x, "int64")) for x in classes["b"].to_pylist())
+    assert strings > 20000 and set(classes["kind"].to_pylist()) == {("piece", "class")[hot]} and (size < 5 * strings) != hot
+    told = [passages._merge((pa.scalar(b),), classes.filter(pc.equal(classes["bucket"], b))) for b in range(3)]
+    left = pa.concat_tables([covered.filter(pc.equal(covered["kind"], "text")).select(names), *told])
+    finish = passages._finish(passages.arrow_of(f"id long, {passages.RESULT}"))
+    done = covered.filter(pc.equal(covered["kind"], "done")).select(["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    parts = [done, *(finish((), left.filter(pc.equal(left["chunk"], c))) for c in set(left["chunk"].to_pylist()))]
+    got = sorted((tuple(r.values()) for p in parts for r in p.to_pylist()), key=str)
+    assert got == passage_brute(rows) and len(told) == 3
+
+
+def test_anchors_in_many_surroundings_are_told(monkeypatch):
+    lead = np.array([1, 1, 2, 2, 2, 3], np.uint64) << np.uint64(32)
+    args = lead, np.array([1, 2, 1, 2, 3, 1], np.uint64), np.arange(6, dtype=np.uint32), np.zeros(6, np.int64), np.zeros(6, np.int32)
+    monkeypatch.setattr(passages, "HOT", 2)
+    own, _, kinds, _ = passages._told(*args)
+    assert dict(zip(own.tolist(), kinds.tolist(), strict=True)) == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}

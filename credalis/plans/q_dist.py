@@ -273,8 +273,7 @@ def max_abs_diff(t: Tables) -> DataFrame:
 )
 def ensemble_decompose(t: Tables) -> DataFrame:
     """Replicates play the ensemble members."""
-    long = t.answers.select("set_name", "unit", "replicate", F.explode("dist").alias("label", "p"))
-    e = S.ensemble_decompose(long, ["set_name", "unit"])
+    e = S.ensemble_decompose(t.answers, ["set_name", "unit"], OPTIONS)
     return e.groupBy("set_name").agg(
         F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 8).alias(c) for c in ("total", "aleatoric", "mi", "p_max")]
     )

@@ -126,14 +126,20 @@ REFERENCE_N = 100
 """Mid-range bounds and the reference sample size of the binomial ratio (fixed values)."""
 
 
-def replicate_variance(long: DataFrame, keys: Sequence[str], series: Sequence[str]) -> DataFrame:
+def replicate_variance(long: DataFrame, keys: Sequence[str], series: Sequence[str], dist_options: Sequence[str] = ()) -> DataFrame:
     """Pooled effective sample size ``sum p(1-p) / sum var`` and variance ratio range.
 
     ``long`` is (keys, series, option, p), one row per replicate. With few options in all, a
-    series is one row of the exchange, with a column of sums for each option.
+    series is one row of the exchange, with a column of sums for each option. With ``dist_options``,
+    rows are (keys, series, dist) over exactly these: no pass looks for options, no row is repeated for each.
     """
-    options = few_values(long, "option")
-    if options is None:
+    options = dist_options or few_values(long, "option")
+    if dist_options:
+        rows = long.select(*keys, *series, *[x.alias(f"_p{i}") for i, x in enumerate(D.exactly("dist", options))])
+        k = range(len(options))
+        wide = rows.groupBy(*keys, *series).agg(*[a for i in k for a in (F.avg(f"_p{i}").alias(f"_m{i}"), F.var_samp(f"_p{i}").alias(f"_v{i}"))])
+        per = wide.select(*keys, F.inline(F.array(*[F.struct(F.col(f"_m{i}").alias("m"), F.col(f"_v{i}").alias("v")) for i in k])))
+    elif options is None:
         per = long.groupBy(*keys, *series, "option").agg(F.avg("p").alias("m"), F.var_samp("p").alias("v"))
     else:
         own = [F.when(F.col("option").eqNullSafe(F.lit(o)), F.col("p")) for o in options]

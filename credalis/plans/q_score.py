@@ -216,8 +216,7 @@ def scope_rates(t: Tables) -> DataFrame:
     "answers_long",
 )
 def replicate_variance(t: Tables) -> DataFrame:
-    long = t.answers.select("set_name", "unit", F.explode("dist").alias("option", "p"))
-    return rnd(SU.replicate_variance(long, ["set_name"], ["unit"]), digits=7)
+    return rnd(SU.replicate_variance(t.answers, ["set_name"], ["unit"], OPTIONS), digits=7)
 
 
 @query(

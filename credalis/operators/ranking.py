@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credalis.functions.seeded import key_hash
-from credalis.operators.prefix import attach, attach_rows, null_safe_join, running_sums, score_edges
+from credalis.operators.prefix import (
+    MAX_BUCKETS, attach, attach_rows, hot_buckets, null_safe_join, running_sums, score_edges, with_bucket,
+)
 from credalis.operators.selection import numbered_groups, take_first
 from credalis.session import checkpointed
 
@@ -288,21 +290,48 @@ def average_ranks(
     return cum.select(*keys, value, (F.col("before__c") + (F.col("_c") + 1) / 2).alias(out))
 
 
+def _bucket_ranks(df: DataFrame, keys: Sequence[str], value: str, other: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Add the average rank of ``value`` under weights ``_w``: each row moves once, to its bucket.
+
+    All rows of a bucket of one value share a rank that follows from the bucket sizes, so such a
+    bucket is dealt by ``other`` and a hot value is no single task.
+    """
+    hot = [float(i) for i in hot_buckets(edges)]
+    b = with_bucket(df.withColumn("_v", F.col(value).cast("double")), "_v", edges, "_b")
+    sizes = b.groupBy(*keys, "_b").agg(F.sum("_w").alias("_size"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = checkpointed(sizes.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0.0))))
+    b = b.withColumn("_part", F.when(F.col("_b").isin(hot), F.pmod(F.xxhash64(other), F.lit(256))).otherwise(F.lit(0)) if hot else F.lit(0))
+    at = Window.partitionBy(*keys, "_b", "_part")
+    upto = at.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy(*keys, "_b", "_part", "_v")
+    b = b.withColumns({"_upto": F.sum("_w").over(upto), "_same": F.sum("_w").over(same)})
+    j = attach(b, F.broadcast(sizes) if sizes.count() <= MAX_BUCKETS * 32 else sizes, [*keys, "_b"])
+    inside = F.col("_upto") - (F.col("_same") - 1) / 2
+    rank = F.when(F.col("_b").isin(hot), (F.col("_size") + 1) / 2).otherwise(inside) if hot else inside
+    return j.withColumn(out, F.col("_before") + rank).drop("_v", "_b", "_part", "_upto", "_same", "_size", "_before")
+
+
 def spearman(
     df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None,
     edges: tuple[Sequence[float], Sequence[float]] | None = None,
 ) -> DataFrame:
     """Pearson correlation of average ranks; null when either side is constant.
 
-    Rows collapse to (x, y) pairs before ranks are joined.
+    Rows collapse to (x, y) pairs before ranks are joined. Where both scores have many values, pairs
+    hardly collapse: each row then moves to its bucket of ``x`` and to its bucket of ``y``, and no rank is joined.
     """
     ex, ey = edges if edges is not None else (score_edges(df, x, keys=keys), score_edges(df, y, keys=keys))
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
-    pairs = both.groupBy(*keys, x, y).agg(w.alias("_w"))
-    rx = average_ranks(pairs, keys, x, "_rx", "_w", ex)
-    ry = average_ranks(pairs, keys, y, "_ry", "_w", ey)
-    j = null_safe_join(null_safe_join(pairs, rx, [*keys, x]), ry, [*keys, y])
+    if ex and ey:
+        rows = both.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+        j = _bucket_ranks(_bucket_ranks(rows, keys, "_x", "_y", ex, "_rx"), keys, "_y", "_x", ey, "_ry")
+    else:
+        w = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
+        pairs = both.groupBy(*keys, x, y).agg(w.alias("_w"))
+        rx = average_ranks(pairs, keys, x, "_rx", "_w", ex)
+        ry = average_ranks(pairs, keys, y, "_ry", "_w", ey)
+        j = null_safe_join(null_safe_join(pairs, rx, [*keys, x]), ry, [*keys, y])
     n = F.sum("_w")
     mean = (n + 1) / 2
     wx, wy, c = F.col("_rx"), F.col("_ry"), F.col("_w")

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from credalis.operators import calibration as C
 from credalis.operators import ranking as R
+from credalis.operators import replicates as RP
 from credalis.operators import scoring as S
 from credalis.operators import summaries as SU
 
@@ -71,3 +73,61 @@ def test_ranks_by_bucket(spark):
         cut = R.spearman(df, ["k"], "x", "y", weight, (hot, [0.2, 0.5, 0.9]))
         assert cut.columns == plain.columns and len(exchanges(cut)) < len(exchanges(plain))
         close(cut, plain, ["k"])
+
+
+def test_orders_as_numbers(answers):
+    rows = answers.withColumn("options", F.array(*[F.lit(o) for o in OPTIONS]))
+    rows = rows.unionByName(rows.where("unit = 'u7'"))  # more than three orders
+    close(S.order_invariance(rows, ["set_name", "unit"], OPTIONS), S.order_invariance(rows, ["set_name", "unit"]), ["set_name", "unit"])
+
+
+@pytest.fixture
+def graded(answers):
+    consts = {"options": F.array(*[F.lit(o) for o in OPTIONS]), "gold": F.lit("a"), "first_listed": F.lit("b"), "swap_target": F.lit(None).cast("string")}
+    empty = answers.where("unit = 'u8'").withColumn("dist", F.expr("map('z', 1.0D)"))  # nothing on any listed option
+    short = answers.where("unit = 'u9'").withColumns({"unit": F.lit("few"), "dist": F.expr("map('a', 0.25D)")})
+    return answers.where("unit <> 'u8' or unit is null").unionByName(empty).unionByName(short).withColumns(consts)
+
+
+def test_cells_of_sums(graded, monkeypatch):
+    k = ["set_name", "unit"]
+    wide = S.aggregate_cells(graded, k)
+    assert len(exchanges(wide)) == 1
+    monkeypatch.setattr(S, "common_options", lambda *_: None)
+    general = S.aggregate_cells(graded, k)
+    assert wide.columns == general.columns and wide.dtypes == general.dtypes
+    close(wide, general, k)
+
+
+def test_modes_of_sums(graded, monkeypatch):
+    """Every mode, the random call among them, with repeated, missing and unasked replicates."""
+    k = ["set_name", "gold", "unit"]
+    rows = graded.unionByName(graded.where("unit = 'u5'")).where("not (unit = 'u6' and replicate = 0)")
+    wide = RP.replicate_modes(rows, k, 3)
+    assert not any("_r" in e for e in exchanges(wide)) and len(exchanges(wide)) == 1
+    monkeypatch.setattr(S, "common_options", lambda *_: None)
+    general = RP.replicate_modes(rows, k, 3)
+    assert wide.columns == general.columns
+    close(wide, general, ["mode", "frame", *k])
+    assert {"mean3", "mean2", "single", "single_random"} == {r[0] for r in wide.select("mode").distinct().collect()}
+
+
+def test_call_draws(spark):
+    """Each draw against its calls picked one by one; a pick is uniform and differs between draws."""
+    rng = np.random.default_rng(4)
+    rows = [(["s", "t", None][u % 3], f"u{u}", r, float(rng.random()), bool(rng.random() < 0.5)) for u in range(300) for r in range(3) if u != 5 or r]
+    df = spark.createDataFrame(rows, "k string, unit string, replicate int, p_max double, correct boolean")
+    got = {(r["k"], r["d"]): r for r in RP.call_draws(df.repartition(5), ["k"], ["unit"], 3, 60).collect()}
+    assert len(got) == 180
+    h = {r["unit"]: r["h"] for r in df.select("unit", F.xxhash64(F.lit("call"), F.coalesce("k", F.lit("\0")), "unit").alias("h")).distinct().collect()}
+    share = np.array([[RP.picked(np.array([h[u]]).view(np.uint64), d, 3)[0] for u in h] for d in range(60)])
+    assert abs(np.bincount(share.ravel().astype(int), minlength=3) / share.size - 1 / 3).max() < 0.02
+    pick = {(u, d): share[d, i] for i, u in enumerate(h) for d in range(60)}
+    for d in (0, 7, 59):
+        for key in ("s", "t", None):
+            mine = [(p, ok) for k, u, r, p, ok in rows if k == key and pick[u, d] == r]
+            row, grid = got[key, d], np.zeros(C.SMOOTH_GRID)
+            for p, ok in mine:
+                grid[min(int(p * C.SMOOTH_GRID), C.SMOOTH_GRID - 1)] += ok - p
+            assert row["n"] == len(mine) and row["accuracy"] == pytest.approx(np.mean([ok for _, ok in mine]))
+            assert row["smece"] == pytest.approx(C.smooth_eces(grid[None] / len(mine))[0])

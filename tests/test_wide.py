@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from credalis.functions.md5 import Heads
 from credalis.operators import calibration as C
 from credalis.operators import ranking as R
 from credalis.operators import replicates as RP
@@ -131,3 +134,25 @@ def test_call_draws(spark):
                 grid[min(int(p * C.SMOOTH_GRID), C.SMOOTH_GRID - 1)] += ok - p
             assert row["n"] == len(mine) and row["accuracy"] == pytest.approx(np.mean([ok for _, ok in mine]))
             assert row["smece"] == pytest.approx(C.smooth_eces(grid[None] / len(mine))[0])
+
+
+def test_call_sums(spark):
+    """Every draw as random_calls gives it, with one hash a unit and draw, not one an answer."""
+    rng = np.random.default_rng(6)
+    rows = [("s" if u % 2 else None, None if u == 4 else f"u{u}", r, None if u == 6 else float(rng.random()), None if u == 8 else u % 3 > (r or 0)) for u in range(60) for r in (0, 1, 2, 2 if u % 7 else 5, None)]
+    df = spark.createDataFrame(rows, "k string, unit string, replicate int, p_max double, correct boolean")
+    calls = RP.random_calls(df, ["unit"], 3, 30).groupBy("k", "d").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("p_max").alias("mean_confidence")
+    )
+    got = RP.call_sums(df, ["k"], ["unit"], 3, 30)
+    assert got.columns == calls.columns and got.dtypes == calls.dtypes
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and len(exchanges(got)) == 1  # no answer is repeated or moved
+    close(got, calls, ["k", "d"])
+
+
+def test_many_digests_at_once():
+    texts = [b"", b"a", b"call|1|2", *[bytes(range(65, 65 + n % 50)) * (1 + n // 50) for n in range(40, 140)], "h\u00e9|\0".encode()]
+    heads = Heads(texts)
+    ends = [b"", b"|7", b"|499", b"x" * 20]
+    assert heads.of(ends).tolist() == [[int(hashlib.md5(t + end).hexdigest()[:8], 16) for t in texts] for end in ends]
